@@ -62,11 +62,9 @@ def distinct_counts(
 
 
 def share_of_total(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
-    """Count and percentage per value; the total comes from the counted, hence small, result."""
+    """Count and percentage per value; the total is a scalar over the counted, hence small, result."""
     counted = df.groupBy(column).agg(F.count("*").alias("n"))
     if not keep_null:
         counted = counted.filter(F.col(column).isNotNull())
-    total = counted.agg(F.sum("n").alias("_total"))
-    # one-row total: a scalar join, not a product of two relations
-    return counted.join(F.broadcast(total)).select(
-        column, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 4).alias("pct"))
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.select(column, "n", F.round(F.col("n") * 100.0 / total, 4).alias("pct"))

@@ -67,24 +67,28 @@ def count_on_or_after(left: DataFrame, facts: DataFrame, keys: Sequence[str], le
             .withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint")).drop("_day"))
 
 
-def exact_counts_at_or_after(times: DataFrame, keys: Sequence[str], time: str, hits: str, name: str) -> DataFrame:
-    """Running total from the end of ``hits`` over a frame with one row per key and timestamp.
+def exact_counts_at_or_after(times: DataFrame, keys: Sequence[str], time: str, hits: str,
+                             name: str, total: str) -> DataFrame:
+    """Running total of ``hits`` from the end, on a frame with one row per key and timestamp.
 
-    Totals are built per minute inside the day, per day, and per timestamp inside the minute, so no
-    window holds more than 1,440 minutes, the days of a key, or the timestamps of one minute.
+    Totals are built per day, per minute inside the day and per timestamp inside the minute, so no
+    window holds more than the days of a key, 1,440 minutes, or the timestamps of one minute.
+    ``total`` is the sum over the whole key.
     """
     rows = times.withColumns({"_minute": F.date_trunc("minute", time).cast("timestamp_ntz"), "_day": F.to_date(time)})
     before = (W.unboundedPreceding, -1)
     minutes = rows.groupBy(*keys, "_day", "_minute").agg(F.sum(hits).alias("_h"))
-    days = (minutes.groupBy(*keys, "_day").agg(F.sum("_h").alias("_h"))
+    by_day = W.partitionBy(*keys)
+    days = (minutes.groupBy(*keys, "_day").agg(F.sum("_h").alias("_d"))
+            .withColumn(total, F.sum("_d").over(by_day))
             .withColumn("_after_day", F.coalesce(
-                F.sum("_h").over(W.partitionBy(*keys).orderBy(F.desc("_day")).rowsBetween(*before)), F.lit(0)))
-            .drop("_h"))
+                F.sum("_d").over(by_day.orderBy(F.desc("_day")).rowsBetween(*before)), F.lit(0)))
+            .drop("_d"))
     minutes = (minutes.withColumn("_after_minute", F.coalesce(
                    F.sum("_h").over(W.partitionBy(*keys, "_day").orderBy(F.desc("_minute")).rowsBetween(*before)),
                    F.lit(0)))
                .join(days, [*keys, "_day"])
-               .select(*keys, "_minute", (F.col("_after_minute") + F.col("_after_day")).alias("_after")))
+               .select(*keys, "_minute", total, (F.col("_after_minute") + F.col("_after_day")).alias("_after")))
     inside = W.partitionBy(*keys, "_minute").orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (rows.withColumn("_inside", F.sum(hits).over(inside))
             .join(minutes, [*keys, "_minute"])
