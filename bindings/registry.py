@@ -91,6 +91,6 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: build(Context(spark, folder))
         if sql is not None:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = sql
         return build
     return register

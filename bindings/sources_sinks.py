@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F, types as T
 
 from bindings.registry import Context, query
@@ -61,7 +63,7 @@ def _(c: Context):
 def _(c: Context):
     return c.spark.sql(
         "SELECT o_custkey, count(*) AS n FROM {orders} WHERE to_date(o_orderdate) BETWEEN :start AND :end GROUP BY o_custkey",
-        args={"start": F.lit("1996-01-01").cast("date"), "end": F.lit("1997-12-31").cast("date")}, orders=c.orders)
+        args={"start": date(1996, 1, 1), "end": date(1997, 12, 31)}, orders=c.orders)
 
 
 @query("s7_cohort_parameters", """

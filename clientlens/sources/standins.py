@@ -277,7 +277,7 @@ ROLE_SQL = {
         SELECT package_name, split_part('{"|".join(APP_CATEGORIES)}', '|', cast(1 + min(p_partkey) % {len(APP_CATEGORIES)} as int)) AS category,
                split_part('rated for 3+|rated for 12+|rated for 16+|rated for 18+', '|', cast(1 + min(p_size) % 4 as int)) AS rating,
                CASE WHEN min(p_size) % 7 = 0 THEN NULL ELSE 'content ' || cast(min(p_size) % 3 as string) END AS rating_description,
-               CASE WHEN max(p_retailprice) > 990 THEN 'pay' WHEN max(p_retailprice) > 950 THEN 'free' WHEN max(p_retailprice) > 930 THEN 'undefined' END AS is_paid
+               CASE WHEN min(p_size) % 8 = 7 THEN NULL WHEN min(p_size) % 4 = 0 THEN 'pay' WHEN min(p_size) % 4 = 3 THEN 'undefined' ELSE 'free' END AS is_paid
         FROM (SELECT *, CASE WHEN p_size = 1 THEN 'com.LinkedIn.android' WHEN p_size = 2 THEN 'ms.Word_office'
                              ELSE p_name || '.' || p_brand END AS package_name FROM {{part}}) p
         GROUP BY package_name""",
