@@ -209,7 +209,7 @@ def _(c: Context):
 @query("f33_type_casts", """
     SELECT c_custkey, cast(cast(c_custkey AS double) AS bigint) AS whole, cast(c_custkey AS varchar) AS text FROM customer""")
 def _(c: Context):
-    return c.customer.select("c_custkey", F.round(F.col("c_custkey").cast("double"), 0).cast("bigint").alias("whole"), sc.text_key(F.col("c_custkey")).alias("text"))
+    return c.customer.select("c_custkey", F.round(F.col("c_custkey").cast("double"), 0).cast("bigint").alias("whole"), sc.whole_text_key(F.col("c_custkey").cast("double")).alias("text"))
 
 
 @query("f34_struct_field", """

@@ -9,9 +9,13 @@ DAYS_PER_MONTH = 30.44
 
 
 def text_key(key: Column) -> Column:
-    """Customer key as text: whole numbers lose their fraction, text stays as it is."""
-    return F.coalesce(F.try_to_number(key.cast("string"), F.lit("9999999999999999999")).cast("bigint").cast("string"),
-                      key.cast("string"))
+    """Customer key as text."""
+    return key.cast("string")
+
+
+def whole_text_key(key: Column) -> Column:
+    """Text of a key that an outer join turned into a fractional number: 12.0 becomes '12'."""
+    return F.round(key, 0).try_cast("bigint").cast("string")
 
 
 def number_key(key: Column) -> Column:

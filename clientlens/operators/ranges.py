@@ -71,29 +71,21 @@ def exact_counts_at_or_after(times: DataFrame, keys: Sequence[str], time: str, h
                              name: str, total: str) -> DataFrame:
     """Running total of ``hits`` from the end, on a frame with one row per key and timestamp.
 
-    Totals are built per day, per minute inside the day and per timestamp inside the minute, so no
-    window holds more than the days of a key, 1,440 minutes, or the timestamps of one minute.
-    ``total`` is the sum over the whole key.
+    Totals are built per minute of a key and per timestamp inside the minute, so a window holds at
+    most the minutes of the observed period or the timestamps of one minute, never the rows of a
+    key. ``total`` is the sum over the whole key.
     """
-    rows = times.withColumns({"_minute": F.date_trunc("minute", time).cast("timestamp_ntz"), "_day": F.to_date(time)})
-    before = (W.unboundedPreceding, -1)
-    minutes = rows.groupBy(*keys, "_day", "_minute").agg(F.sum(hits).alias("_h"))
-    by_day = W.partitionBy(*keys)
-    days = (minutes.groupBy(*keys, "_day").agg(F.sum("_h").alias("_d"))
-            .withColumn(total, F.sum("_d").over(by_day))
-            .withColumn("_after_day", F.coalesce(
-                F.sum("_d").over(by_day.orderBy(F.desc("_day")).rowsBetween(*before)), F.lit(0)))
-            .drop("_d"))
-    minutes = (minutes.withColumn("_after_minute", F.coalesce(
-                   F.sum("_h").over(W.partitionBy(*keys, "_day").orderBy(F.desc("_minute")).rowsBetween(*before)),
-                   F.lit(0)))
-               .join(days, [*keys, "_day"])
-               .select(*keys, "_minute", total, (F.col("_after_minute") + F.col("_after_day")).alias("_after")))
+    rows = times.withColumn("_minute", F.date_trunc("minute", time).cast("timestamp_ntz"))
+    of_key = W.partitionBy(*keys)
+    later = of_key.orderBy(F.desc("_minute")).rowsBetween(W.unboundedPreceding, -1)
+    minutes = (rows.groupBy(*keys, "_minute").agg(F.sum(hits).alias("_m"))
+               .withColumns({total: F.sum("_m").over(of_key), "_after": F.coalesce(F.sum("_m").over(later), F.lit(0))})
+               .drop("_m"))
     inside = W.partitionBy(*keys, "_minute").orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (rows.withColumn("_inside", F.sum(hits).over(inside))
             .join(minutes, [*keys, "_minute"])
             .withColumn(name, (F.col("_inside") + F.col("_after")).cast("bigint"))
-            .drop("_minute", "_day", "_inside", "_after"))
+            .drop("_minute", "_inside", "_after"))
 
 
 def as_of_cutoff(spine: DataFrame, facts: DataFrame, key: str, date: str, cutoff: str, how: str = "inner") -> DataFrame:

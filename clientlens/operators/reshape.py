@@ -18,6 +18,28 @@ def pivot_nunique(df: DataFrame, key: str, column: str, value: str, values: Sequ
     return cells.groupBy(key).pivot(column, list(values)).agg(F.count(value))
 
 
+def pivot_many(df: DataFrame, key: str, value: str, cells: Mapping[str, tuple[str, Sequence[str]]],
+               present: Mapping[str, str] | None = None) -> DataFrame:
+    """Several distinct-count pivots of one frame in a single pass over it.
+
+    ``cells`` maps a column prefix to (category column, listed categories); output columns are
+    named prefix:category and are NULL where a key has none. ``present`` maps an output name to a
+    category column and tells (1 or NULL) whether the key has any category in it.
+    """
+    stacked = [F.concat(F.lit(f"{prefix}:"), F.col(column)) for prefix, (column, _) in cells.items()]
+    stacked += [F.when(F.col(column).isNotNull(), F.lit(name)) for name, column in (present or {}).items()]
+    # a presence mark needs one row per key, whatever the value
+    marks = list(present or {})
+    cell = F.col("_cell")
+    rows = (df.filter(F.col(key).isNotNull())
+            .select(key, value, F.explode(F.array_compact(F.array(*stacked))).alias("_cell"))
+            .select(key, "_cell", F.when(cell.isin(*marks), F.lit("")).otherwise(F.col(value).cast("string")).alias("_value")
+                    if marks else F.col(value).alias("_value"))
+            .distinct())
+    listed = [f"{prefix}:{c}" for prefix, (_, values) in cells.items() for c in values] + marks
+    return rows.groupBy(key).pivot("_cell", listed).agg(F.count("_value"))
+
+
 def spread_by_kind(kind: Column, values: Mapping[str, Mapping[str, Column]]) -> dict[str, Column]:
     """One column per (kind, field): the field where the row is of that kind, else NULL."""
     return {name: F.when(kind == k, c) for k, fields in values.items() for name, c in fields.items()}

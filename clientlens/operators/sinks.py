@@ -21,15 +21,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_snapshot(df: DataFrame, path: str, partition: Sequence[str], files_per_partition: int | None = None) -> None:
-    """Write date partitions; a rerun replaces only the dates it holds.
+def write_snapshot(df: DataFrame, path: str, partition: Sequence[str]) -> None:
+    """Write date partitions; a rerun replaces only the partitions it holds.
 
-    Rows are grouped by partition value first, so that a task does not open a file per date. The
-    shuffle is split by size at run time: a heavy date goes to several tasks.
+    Rows are rebalanced on the partition columns, so a task does not open a file per date, and a
+    heavy partition is split over several tasks by size at run time.
     """
-    clustered = df.hint("rebalance", *[F.col(c) for c in partition])
-    if files_per_partition:
-        clustered = df.repartition(*[F.col(c) for c in partition],
-                                   F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_partition)))
-    (clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition).parquet(path))
+    (df.hint("rebalance", *[F.col(c) for c in partition])
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path))

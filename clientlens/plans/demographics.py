@@ -70,11 +70,18 @@ def highest_education_with_ties(education: DataFrame, lookup: DataFrame, loans:
     return latest_with_ties(rows, ["customerId"], "education_id").distinct()
 
 
+def _members(df: DataFrame, key: str, cohort: DataFrame | None) -> DataFrame:
+    """Rows of the cohort; everything when the caller joins a cohort spine anyway."""
+    if cohort is None:
+        return df
+    return df.join(cohort.select(F.col("cust_id").alias(key)), key, "left_semi")
+
+
 def product_type(product: Column) -> Column:
     return first_match([(product == code, label) for code, label in PRODUCT_TYPES.items()], product)
 
 
-def client_telco(customers: DataFrame, details: DataFrame, track: DataFrame, dump: DataFrame, cohort: DataFrame,
+def client_telco(customers: DataFrame, details: DataFrame, track: DataFrame, dump: DataFrame, cohort: DataFrame | None,
                  latest_only: bool = False) -> DataFrame:
     """Customer master with product type and network operator of the tracked device.
 
@@ -88,27 +95,26 @@ def client_telco(customers: DataFrame, details: DataFrame, track: DataFrame, dum
         operators = dump.select("deviceId", name.alias("telcoProvider")).distinct()
     refs = (details.select(F.col("custId").alias("cust_id"), F.col("deviceRef").cast("string").alias("deviceId"))
             .join(track.select(F.col("refno").cast("string").alias("deviceId")).distinct(), "deviceId", "left_semi"))
-    people = customers.join(cohort, "cust_id", "left_semi").withColumn("type", product_type(F.col("product")))
+    people = _members(customers, "cust_id", cohort).withColumn("type", product_type(F.col("product")))
     return (people.join(refs, "cust_id").join(operators, "deviceId", "left")
             .select("cust_id", "user_id", "device_id", "created_dt", "gender", "birthplace", "mobile_no", "product",
                     "type", "telcoProvider").distinct())
 
 
-def onboarding_details(details: DataFrame, cohort: DataFrame) -> DataFrame:
+def onboarding_details(details: DataFrame, cohort: DataFrame | None) -> DataFrame:
     """Customer details with the whole minutes between the two onboarding times."""
-    members = cohort.select(F.col("cust_id").alias("custId"))
     minutes = F.abs(minutes_between(F.col("created_dt"), parse_micro_timestamp(F.col("onboardingDate"))))
-    return details.join(members, "custId", "left_semi").withColumn("Minutestakentoonboard", minutes)
+    return _members(details, "custId", cohort).withColumn("Minutestakentoonboard", minutes)
 
 
 def region_of(province: Column, mapped: Column) -> Column:
     return first_match([(province == name, label) for name, label in REGION_OVERRIDES.items()], mapped)
 
 
-def region_mapping(customers: DataFrame, addresses: DataFrame, regions: DataFrame, cohort: DataFrame) -> DataFrame:
+def region_mapping(customers: DataFrame, addresses: DataFrame, regions: DataFrame, cohort: DataFrame | None) -> DataFrame:
     """Home address and region; the province meets the mapping on lowered names."""
     lookup = regions.select(F.lower("province").alias("_province"), F.col("Region_name").alias("_mapped"))
-    return (customers.join(cohort, "cust_id", "left_semi").select("user_id", "cust_id")
+    return (_members(customers, "cust_id", cohort).select("user_id", "cust_id")
             .join(addresses, "user_id", "left")
             .join(lookup, F.lower("hm_province") == F.col("_province"), "left")
             .select("user_id", "cust_id", "hm_postalcode", "hm_barangay", "hm_city", "hm_province",
@@ -119,7 +125,7 @@ def latest_locations(gps: DataFrame, cohort: DataFrame) -> DataFrame:
     """Latest position per customer and event source, spread into one row."""
     kinds = {k: {f"{v}_latitude": F.col("latitude"), f"{v}_longitude": F.col("longitude")} for k, v in LOCATION_SOURCES.items()}
     latest = first_per_key(
-        gps.join(cohort.select(F.col("cust_id").alias("customer_id")), "customer_id", "left_semi")
+        _members(gps, "customer_id", cohort)
         .filter(F.col("event_description").isin(*LOCATION_SOURCES)),
         ["customer_id", "event_description"], [F.desc("gps_collection_date"), F.asc("latitude"), F.asc("longitude")])
     spread = spread_by_kind(F.col("event_description"), kinds)
@@ -170,7 +176,7 @@ def demographic_details(customers: DataFrame, profiles: DataFrame, funds: DataFr
                         addresses: DataFrame, regions: DataFrame, cohort: DataFrame) -> DataFrame:
     """Source of funds, employment, income (also per year), address and region."""
     profile = profiles.select(F.col("deviceId").alias("device_id"), "sourceOfFundKey", "employmentStatusKey", "monthly_income")
-    home = region_mapping(customers, addresses, regions, cohort).drop("user_id")
+    home = region_mapping(customers, addresses, regions, None).drop("user_id")
     return (customers.join(cohort, "cust_id", "left_semi").select("user_id", "cust_id", "device_id")
             .join(profile, "device_id", "left")
             .join(funds.select(F.col("id").alias("sourceOfFundKey"), F.col("description").alias("source_of_funds")), "sourceOfFundKey", "left")

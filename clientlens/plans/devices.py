@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from clientlens.functions.rules import first_match
 from clientlens.functions.scalars import normalised_package
 from clientlens.operators.quality import reach
-from clientlens.operators.reshape import assemble, pivot_nunique
+from clientlens.operators.reshape import assemble, pivot_many
 from clientlens.params import Params
 from clientlens.plans.cohort import EXCLUDED_KYC
 from clientlens.sources.standins import APP_CATEGORIES
@@ -115,15 +115,20 @@ def categorised(packages: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def app_counts(rows: DataFrame) -> DataFrame:
-    """Distinct packages per customer by category, rating and price.
+    """Distinct packages per customer by category, rating and price, in one pass.
 
-    Categories and prices without a package count 0, ratings stay NULL.
+    Categories count 0 where a customer has none, ratings stay NULL, prices count 0 for customers
+    with any priced package.
     """
-    by_category = pivot_nunique(rows, "cust_id", "category", "package", category_columns()).fillna(0)
-    by_rating = pivot_nunique(rows, "cust_id", "rating", "package", RATINGS)
-    by_price = pivot_nunique(rows, "cust_id", "is_paid", "package", PRICES).fillna(0)
-    wide = assemble(by_category, [by_rating, by_price], "cust_id")
-    return wide.select("cust_id", *[F.col(f"`{c}`").cast("double").alias(published_name(c)) for c in (*category_columns(), *RATINGS, *PRICES)])
+    wide = pivot_many(rows, "cust_id", "package",
+                      {"category": ("category", category_columns()), "rating": ("rating", RATINGS), "price": ("is_paid", PRICES)},
+                      present={"priced": "is_paid"})
+    count = lambda prefix, label: F.col(f"`{prefix}:{label}`")
+    zero = F.lit(0)
+    cells = [(x, F.coalesce(count("category", x), zero)) for x in category_columns()]
+    cells += [(x, count("rating", x)) for x in RATINGS]
+    cells += [(x, F.when(F.col("priced").isNotNull(), F.coalesce(count("price", x), zero))) for x in PRICES]
+    return wide.select("cust_id", *[c.cast("double").alias(published_name(x)) for x, c in cells])
 
 
 def purchase_date(rows: DataFrame) -> DataFrame:
