@@ -25,6 +25,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return nth_per_key(df, keys, order, 1)
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+    """The first n rows of each key in the given order, with their rank kept."""
+    return _ranked(df, keys, order).filter(F.col("_rank") <= n).withColumnRenamed("_rank", rank)
+
+
 def mode_per_key(df: DataFrame, keys: Sequence[str], values: Sequence[str], count: str = "frequency") -> DataFrame:
     """Most frequent value tuple of each key, ties broken by the values."""
     counted = df.groupBy(*keys, *values).agg(F.count("*").alias(count))

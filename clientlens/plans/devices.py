@@ -54,40 +54,45 @@ def tracked_devices(cohort: DataFrame, details: DataFrame, track: DataFrame, p:
             .filter(F.to_date("createdOn") <= cutoff).drop("createdOn"))
 
 
-def device_snapshot(devices: DataFrame, dump: DataFrame, apps: DataFrame, p: Params) -> DataFrame:
+def installed_apps(apps: DataFrame) -> DataFrame:
+    """One row per array element; devices with an empty or missing array vanish."""
+    return apps.select("deviceId", F.explode("Application").alias("app")).select(
+        "deviceId", "app.package_name", "app.first_install_time")
+
+
+def device_packages(apps: DataFrame) -> DataFrame:
+    """Packages per device with their earliest install; repeated dumps collapse on the map side.
+
+    Everything about apps builds on this table. A caller with several uses writes it once.
+    """
+    return (installed_apps(apps).groupBy("deviceId", "package_name")
+            .agg(F.min("first_install_time").alias("first_install_time")))
+
+
+def device_snapshot(devices: DataFrame, dump: DataFrame, packages: DataFrame, p: Params) -> DataFrame:
     """Distinct device attributes dumped on or before the cutoff, for devices with any app.
 
     The cutoff belongs to the join with the dump: a customer whose dumps are all later keeps a row.
     """
     cutoff = F.col(f"day_{p.offsets[0]}")
     flat = dump.select(
-        "deviceId", "run_date", "GeneralInfo.brand", "Hardware.device__brand", "Hardware.device__manufacturer",
-        "Hardware.device__model", "GeneralData.telephony_info__network_operator_name",
-        "GeneralData.telephony_info__network_operator", "GeneralData.sim_operator_name").distinct()
-    with_apps = apps.filter(F.size("Application") > 0).select("deviceId")
-    mine = devices.join(with_apps, "deviceId", "left_semi")
-    dumps = flat.withColumnRenamed("deviceId", "_dumped")
-    joined = mine.join(dumps, (mine["deviceId"] == dumps["_dumped"]) & (F.to_date(dumps["run_date"]) <= cutoff), "left")
+        F.col("deviceId").alias("_dumped"), "run_date", "GeneralInfo.brand", "Hardware.device__brand",
+        "Hardware.device__manufacturer", "Hardware.device__model", "GeneralData.telephony_info__network_operator_name",
+        "GeneralData.telephony_info__network_operator", "GeneralData.sim_operator_name")
+    mine = devices.join(packages.select("deviceId"), "deviceId", "left_semi")
+    joined = mine.join(flat, (mine["deviceId"] == F.col("_dumped")) & (F.to_date("run_date") <= cutoff), "left")
     return joined.drop("_dumped", "deviceId").distinct()
 
 
-def installed_apps(apps: DataFrame) -> DataFrame:
-    """One row per array element; devices with an empty or missing array vanish."""
-    return apps.select("deviceId", F.explode("Application").alias("app")).select(
-        "deviceId", "app.package_name", "app.first_install_time")
-
-
-def earliest_install(devices: DataFrame, apps: DataFrame) -> DataFrame:
-    """Earliest install time per customer; apps shrink to one row per device before the join."""
-    per_device = installed_apps(apps).groupBy("deviceId").agg(F.min("first_install_time").alias("first_install_time"))
+def earliest_install(devices: DataFrame, packages: DataFrame) -> DataFrame:
+    """Earliest install time per customer; packages shrink to one row per device before the join."""
+    per_device = packages.groupBy("deviceId").agg(F.min("first_install_time").alias("first_install_time"))
     return devices.join(per_device, "deviceId").groupBy("cust_id").agg(F.min("first_install_time").alias("first_install_time"))
 
 
-def customer_packages(devices: DataFrame, apps: DataFrame) -> DataFrame:
-    """Distinct customer-package pairs; repeated dumps of a device collapse before the join."""
-    per_device = (installed_apps(apps).groupBy("deviceId", "package_name")
-                  .agg(F.min("first_install_time").alias("first_install_time")))
-    return (devices.select("cust_id", "deviceId").join(per_device, "deviceId")
+def customer_packages(devices: DataFrame, packages: DataFrame) -> DataFrame:
+    """Distinct customer-package pairs with their earliest install."""
+    return (devices.select("cust_id", "deviceId").join(packages, "deviceId")
             .groupBy("cust_id", "package_name").agg(F.min("first_install_time").alias("first_install_time")))
 
 

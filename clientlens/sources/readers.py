@@ -13,11 +13,16 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.schemas: dict[str, T.StructType] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self.schemas:
+            # footers are read once per table, not once per use
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
