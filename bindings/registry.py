@@ -30,6 +30,7 @@ class Context:
         self.spark = tune(spark)
         self.tables = Tables(spark, folder)
         self.p = PARAMS
+        self.roles: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -37,7 +38,9 @@ class Context:
         return getattr(self.tables, name)
 
     def role(self, name: str) -> DataFrame:
-        return standins.role(self.tables, name)
+        if name not in self.roles:
+            self.roles[name] = standins.role(self.tables, name)
+        return self.roles[name]
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
