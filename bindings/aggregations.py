@@ -113,9 +113,11 @@ def _(c: Context):
 
 
 @query("a15_redundant_distinct", """
-    SELECT DISTINCT o_custkey, quantile_cont(o_totalprice, 0.5) OVER (PARTITION BY o_custkey) AS median_price FROM orders""")
+    SELECT DISTINCT l_suppkey, quantile_cont(l_quantity, 0.5) OVER (PARTITION BY l_suppkey) AS median_quantity FROM lineitem""")
 def _(c: Context):
-    return c.orders.groupBy("o_custkey").agg(F.median("o_totalprice").alias("median_price"))
+    # values are counted first, so a median holds distinct quantities, not rows
+    counted = c.lineitem.groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    return counted.groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5, "n").alias("median_quantity"))
 
 
 @query("a16_aggregate_thresholds", """
