@@ -117,7 +117,7 @@ def _(c: Context):
 def _(c: Context):
     # values are counted first, so a median holds distinct quantities, not rows
     counted = c.lineitem.groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
-    return counted.groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5, "n").alias("median_quantity"))
+    return counted.groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5, F.col("n")).alias("median_quantity"))
 
 
 @query("a16_aggregate_thresholds", """

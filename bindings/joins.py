@@ -8,7 +8,7 @@ from bindings.registry import Context, query
 from clientlens.functions import scalars as sc
 from clientlens.operators import ranges
 from clientlens.operators.reshape import assemble
-from clientlens.plans import campaigns as ca, channels as ch, devices as dv, flags as fl
+from clientlens.plans import campaigns as ca, devices as dv, flags as fl
 from clientlens.sources import standins
 
 

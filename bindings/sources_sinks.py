@@ -103,11 +103,12 @@ def _(c: Context):
     return readers.read_csv(c.spark, path, _mart(c).schema)
 
 
-@query("k2_typed_load", TYPED_MART)
+@query("k2_typed_load", "SELECT * FROM flags")
 def _(c: Context):
-    path = c.scratch("typed")
-    sinks.write_typed(_mart(c), MART_SCHEMA, path)
-    return c.spark.read.schema(MART_SCHEMA).parquet(path)
+    path = c.scratch("flags")
+    flags = fl.all_flags(c.role("behaviour_mart"), c.role("loans"), c.role("loan_buckets"), c.role("delinquency"), c.p)
+    sinks.write_typed(flags, fl.FLAG_SCHEMA, path)
+    return c.spark.read.schema(fl.FLAG_SCHEMA).parquet(path)
 
 
 @query("k3_drop_and_create", TYPED_MART)

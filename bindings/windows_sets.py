@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from bindings.registry import Context, query, view
-from clientlens.functions import scalars as sc
 from clientlens.operators import dedupe, gaps, quality
 from clientlens.operators.reshape import assemble, pivot_nunique, spread_by_kind
 from clientlens.plans import devices as dv

@@ -42,13 +42,6 @@ def count_in_windows(
             .withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("bigint") for n in names}))
 
 
-def days_on_or_after(facts: DataFrame, keys: Sequence[str], date: Column, name: str = "n_after") -> DataFrame:
-    """Per key and day of the facts: how many facts are dated on that day or later."""
-    daily = (facts.withColumn("_day", F.to_date(date)).groupBy(*keys, "_day").agg(F.count("*").alias("_n")))
-    later = W.partitionBy(*keys).orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return daily.withColumn(name, F.sum("_n").over(later)).drop("_n")
-
-
 def count_on_or_after(left: DataFrame, facts: DataFrame, keys: Sequence[str], left_date: str, fact_date: str,
                       name: str = "n_after") -> DataFrame:
     """Left rows with the number of facts of the same key dated on or after their day.

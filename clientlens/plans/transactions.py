@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientlens.functions.rules import all_matches, first_match
-from clientlens.functions.scalars import contains, lacks, on_or_between
+from clientlens.functions.scalars import contains, lacks
 from clientlens.operators.condagg import distinct_counts, min_if_any
 from clientlens.operators.gaps import day_gap_stats
 from clientlens.params import Params

@@ -1,6 +1,5 @@
 """Feature plans: invariants on the driver tables, edge cases and a heavy customer on made frames."""
 
-import datetime as dt
 from dataclasses import replace
 
 import duckdb
