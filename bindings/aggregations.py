@@ -193,9 +193,11 @@ def _(c: Context):
     FROM behaviour_mart m""")
 def _(c: Context):
     start = F.to_date("registration_date")
-    spine = c.role("behaviour_mart").withColumn("_key", sc.number_key(F.col("customer_id")))
-    return ranges.count_in_windows(spine, c.role("loans"), "_key", "customerId", F.col("startApplyDateTime"),
-                                   {"applied": (F.lit(True), start, F.date_add(start, 120))}).select("customer_id", "applied")
+    spine = fl.loan_keyed(c.role("behaviour_mart"))
+    found = ranges.window_counts(spine, c.role("loans"), "_loan_key", "customerId",
+                                 streams={"all": (F.col("startApplyDateTime"), F.lit(True))},
+                                 windows={"applied": ("all", start, F.date_add(start, 120))})
+    return ranges.with_counts(spine, found, "_loan_key").select("customer_id", "applied")
 
 
 @query("a25_correlated_equality_count", """

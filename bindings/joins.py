@@ -128,8 +128,9 @@ def _(c: Context):
           AND d.min_inst_def30 IN (1, 2) AND l.new_loan_type IN ('Quick', 'Flex')) AS fspd304m
     FROM behaviour_mart m""")
 def _(c: Context):
-    spine = c.role("behaviour_mart").withColumn("_loan_key", sc.number_key(F.col("customer_id")))
-    return fl.default_counts(spine, c.role("loans"), c.role("loan_buckets"), c.role("delinquency"), c.p).select("customer_id", "fspd304m")
+    mart = c.role("behaviour_mart")
+    found = fl.default_counts(mart, c.role("loans"), c.role("loan_buckets"), c.role("delinquency"), c.p)
+    return ranges.with_counts(fl.loan_keyed(mart), found, "_loan_key").select("customer_id", "fspd304m")
 
 
 @query("j14_lateral_unnest", "SELECT deviceId, package_name, first_install_time FROM app_rows")

@@ -11,34 +11,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def daily_counts(facts: DataFrame, key: str, date: Column, measures: Mapping[str, Column]) -> DataFrame:
-    """Matching rows per key and day, one column per measure (a condition)."""
-    return (facts.withColumn("_day", F.to_date(date))
+def daily_counts(facts: DataFrame, key: str, streams: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Facts per key and day, one column per stream (date, condition), from one scan."""
+    dated = F.array(*[F.struct(F.lit(n).alias("stream"), F.when(c, F.to_date(at)).alias("day")) for n, (at, c) in streams.items()])
+    return (facts.filter(F.col(key).isNotNull())
+            .select(F.col(key).alias("_fact_key"), F.explode(dated).alias("_d"))
+            .select("_fact_key", F.col("_d.stream").alias("_stream"), F.col("_d.day").alias("_day"))
             .filter(F.col("_day").isNotNull())
-            .groupBy(key, "_day")
-            .agg(*[F.count(F.when(c, 1)).alias(n) for n, c in measures.items()]))
+            .groupBy("_fact_key", "_day")
+            .agg(*[F.count(F.when(F.col("_stream") == n, 1)).alias(f"_n_{n}") for n in streams]))
 
 
-def count_in_windows(
-    spine: DataFrame, facts: DataFrame, key: str, fact_key: str, date: Column,
-    windows: Mapping[str, tuple[Column, Column, Column]],
-) -> DataFrame:
-    """Facts dated inside per-row windows, as COUNT gives them (0 without any).
+def window_counts(spine: DataFrame, facts: DataFrame, key: str, fact_key: str,
+                  streams: Mapping[str, tuple[Column, Column]],
+                  windows: Mapping[str, tuple[str, Column, Column]]) -> DataFrame:
+    """Per spine key, the facts of a stream dated inside windows of the spine row.
 
-    ``windows`` maps an output name to (condition on facts, low, high), both ends inclusive. The
-    spine must be unique on its key; several windows share one pass over the facts.
+    ``windows`` maps an output name to (stream, low, high), both ends inclusive. The spine must be
+    unique on its key, so that the join repeats neither side; keys without facts are absent.
     """
-    names = list(windows)
-    daily = daily_counts(facts, fact_key, date, {f"_n_{n}": windows[n][0] for n in names})
-    daily = daily.withColumnRenamed(fact_key, "_fact_key")
-    low = {n: windows[n][1] for n in names}
-    high = {n: windows[n][2] for n in names}
-    bounds = spine.select(key, *[low[n].alias(f"_lo_{n}") for n in names], *[high[n].alias(f"_hi_{n}") for n in names])
-    counted = (daily.join(bounds, daily["_fact_key"] == bounds[key])
-               .groupBy(key)
-               .agg(*[F.sum(F.when(F.col("_day").between(F.col(f"_lo_{n}"), F.col(f"_hi_{n}")), F.col(f"_n_{n}")))
-                      .alias(n) for n in names]))
-    return (spine.join(counted, key, "left")
+    bounds = spine.select(key, *[c.alias(f"_{side}_{n}") for n, (_, low, high) in windows.items() for side, c in (("lo", low), ("hi", high))])
+    daily = daily_counts(facts, fact_key, streams)
+    return (daily.join(bounds, daily["_fact_key"] == bounds[key]).groupBy(key)
+            .agg(*[F.sum(F.when(F.col("_day").between(F.col(f"_lo_{n}"), F.col(f"_hi_{n}")), F.col(f"_n_{stream}"))).alias(n)
+                   for n, (stream, _, _) in windows.items()]))
+
+
+def with_counts(spine: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Join counts to the spine; a missing count is 0, as COUNT gives it."""
+    names = [c for c in counts.columns if c != key]
+    return (spine.join(counts, key, "left")
             .withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("bigint") for n in names}))
 
 

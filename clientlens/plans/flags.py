@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clientlens.functions.rules import flag
 from clientlens.functions.scalars import number_key
-from clientlens.operators.ranges import count_in_windows
+from clientlens.operators.ranges import window_counts, with_counts
 from clientlens.params import Params
 
 # fixed values: product lists and thresholds of the flag definitions
@@ -58,43 +58,49 @@ def churn_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({f"tx_Churn_flag_{m}": eligible(CHURN_PRODUCTS, F.col(f"tx_mau{m}_active") == 0) for m in ("4m", "5m")})
 
 
+def loan_keyed(mart: DataFrame) -> DataFrame:
+    """The mart with the numeric customer key of the loan tables."""
+    return mart.withColumn("_loan_key", number_key(F.col("customer_id")))
+
+
 def loan_counts(mart: DataFrame, loans: DataFrame, p: Params) -> DataFrame:
     """Applications up to the first offset and between both, cash-loan approvals between both.
 
-    Both windows include the first offset day. All counts share one pass over two dates of the loans.
+    Both windows include the first offset day. One pass over the loans serves all counts.
     """
     start = F.to_date("registration_date")
     near, far = F.date_add(start, p.offsets[0]), F.date_add(start, p.offsets[1])
-    spine = mart.withColumn("_loan_key", number_key(F.col("customer_id")))
-    everything = F.lit(True)
     approved = (F.col("flagApproval") == 1) & F.col("new_loan_type").isin(*CASH_LOANS)
-    known = loans.filter(F.col("customerId").isNotNull())
-    counted = count_in_windows(spine, known, "_loan_key", "customerId", F.col("startApplyDateTime"), {
-        "submittedappliction4m": (everything, start, near), "submittedappliction5m": (everything, near, far)})
-    return count_in_windows(counted, known, "_loan_key", "customerId", F.col("approvedDateTime"), {
-        "approved5m": (approved, near, far)})
+    return window_counts(
+        loan_keyed(mart), loans, "_loan_key", "customerId",
+        streams={"applied": (F.col("startApplyDateTime"), F.lit(True)), "approved": (F.col("approvedDateTime"), approved)},
+        windows={"submittedappliction4m": ("applied", start, near), "submittedappliction5m": ("applied", near, far),
+                 "approved5m": ("approved", near, far)})
 
 
-def default_counts(spine: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params) -> DataFrame:
-    """Rows of loan, bucket and delinquency on the two observation days, and the number of bad loans.
+def default_counts(mart: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params) -> DataFrame:
+    """Rows of loan, bucket and delinquency on the two observation days.
 
     Each table shrinks to counts per loan first; the number of joined rows is their product.
     """
     cash = (loans.filter(F.col("new_loan_type").isin(*CASH_LOANS)).groupBy("customerId", "loanAccountNumber")
-            .agg(F.count("*").alias("_loans"), F.count(F.when(F.col("Max_Ever_DPD") >= NPL_DAYS, 1)).alias("_npl")))
+            .agg(F.count("*").alias("_loans")))
     bad = (delinquency.filter(F.col("min_inst_def30").isin(*DEFAULTED)).groupBy("loanAccountNumber")
            .agg(F.count("*").alias("_bad")))
     seen = buckets.groupBy("loanAccountNumber", "bucketDate").agg(F.count("*").alias("_seen"))
-    hits = (seen.join(bad, "loanAccountNumber").join(cash, "loanAccountNumber")
+    hits = (seen.join(bad.join(cash, "loanAccountNumber"), "loanAccountNumber")
             .groupBy(F.col("customerId").alias("_hit_key"), "bucketDate")
             .agg(F.sum(F.col("_loans") * F.col("_bad") * F.col("_seen")).alias("_n")))
     start = F.to_date("registration_date")
-    days = spine.select("_loan_key", *[F.date_add(start, n).alias(f"_d{i}") for i, n in enumerate(p.offsets)])
-    matched = (hits.join(days, hits["_hit_key"] == days["_loan_key"]).groupBy("_loan_key").agg(
+    days = loan_keyed(mart).select("_loan_key", *[F.date_add(start, n).alias(f"_d{i}") for i, n in enumerate(p.offsets)])
+    return (hits.join(days, hits["_hit_key"] == days["_loan_key"]).groupBy("_loan_key").agg(
         *[F.sum(F.when(F.col("bucketDate") == F.col(f"_d{i}"), F.col("_n"))).alias(n) for i, n in enumerate(("fspd304m", "fspd305m"))]))
-    npl = cash.groupBy(F.col("customerId").alias("_loan_key")).agg(F.sum("_npl").alias("npl"))
-    joined = spine.join(matched, "_loan_key", "left").join(npl, "_loan_key", "left")
-    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in ("fspd304m", "fspd305m", "npl")})
+
+
+def bad_loan_counts(loans: DataFrame) -> DataFrame:
+    """Cash loans that were ever non-performing, per customer."""
+    bad = (F.col("Max_Ever_DPD") >= NPL_DAYS) & F.col("new_loan_type").isin(*CASH_LOANS)
+    return loans.filter(bad).groupBy(F.col("customerId").alias("_loan_key")).agg(F.count("*").alias("npl"))
 
 
 def loan_flags(df: DataFrame, products: Sequence[str] = LOAN_PRODUCTS) -> DataFrame:
@@ -115,8 +121,9 @@ def default_flags(df: DataFrame) -> DataFrame:
 def all_flags(mart: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params,
               products: Sequence[str] = LOAN_PRODUCTS) -> DataFrame:
     """Every flag and count, one row per customer of the mart, in the published order."""
-    df = loan_counts(churn_flags(active_flags(mart)), loans, p)
-    df = default_counts(df, loans, buckets, delinquency, p)
+    df = loan_keyed(churn_flags(active_flags(mart)))
+    for counts in (loan_counts(mart, loans, p), default_counts(mart, loans, buckets, delinquency, p), bad_loan_counts(loans)):
+        df = with_counts(df, counts, "_loan_key")
     return default_flags(loan_flags(df, products)).select(*FLAG_SCHEMA.fieldNames())
 
 

@@ -70,8 +70,9 @@ def test_windows_include_both_ends(spark):
     facts = spark.createDataFrame([("a", t(f"{day}T23:59:59")) for day in ("2023-12-31", "2024-01-01", "2024-04-30", "2024-05-30", "2024-05-31")]
                                   + [("a", None), (None, t("2024-01-01T00:00:00"))], "who string, at timestamp_ntz")
     start = F.col("start")
-    got = ranges.count_in_windows(spine, facts, "k", "who", F.col("at"), {
-        "near": (F.lit(True), start, F.date_add(start, 120)), "far": (F.lit(True), F.date_add(start, 120), F.date_add(start, 150))})
+    found = ranges.window_counts(spine, facts, "k", "who", {"all": (F.col("at"), F.lit(True))}, {
+        "near": ("all", start, F.date_add(start, 120)), "far": ("all", F.date_add(start, 120), F.date_add(start, 150))})
+    got = ranges.with_counts(spine, found, "k")
     assert rows(got, "k", "near", "far") == [("a", 2, 2), ("b", 0, 0)]  # day 120 belongs to both
 
 
