@@ -25,13 +25,17 @@ SENTINEL_DATE = "9999-12-31"
 
 
 def cohort_transactions(transactions: DataFrame, accounts: DataFrame, customers: DataFrame, p: Params) -> DataFrame:
-    """Successful transactions in the observation window on known accounts of registered customers."""
+    """Successful transactions in the observation window on known accounts of registered customers.
+
+    Accounts meet their customers first, so that transactions are shuffled once, by customer and
+    account, and a heavy customer is spread over its accounts.
+    """
     wanted = transactions.filter(
         F.col("transaction_date").between(F.lit(p.obs_from).cast("date"), F.lit(p.obs_to).cast("date"))
         & (F.col("status") == "Success"))
     owned = accounts.select(F.col("ubcustomercode").alias("customer_id"), "accountid", "opendate", "closed", "productid")
     people = registered(customers, p).withColumnRenamed("cust_id", "customer_id")
-    return wanted.join(owned, ["customer_id", "accountid"]).join(people, "customer_id")
+    return wanted.join(owned.join(people, "customer_id"), ["customer_id", "accountid"])
 
 
 def outgoing(p: Params) -> dict[str, Column]:
@@ -67,11 +71,8 @@ def sub_type_rules(p: Params) -> dict[str, Column]:
     }
 
 
-def classified(base: DataFrame, p: Params) -> DataFrame:
-    """One distinct row per transaction row and matching sub-type, from a single scan.
-
-    Partitioned by customer and transaction, which the distinct and the totals both reuse.
-    """
+def labelled(base: DataFrame, p: Params) -> DataFrame:
+    """One row per transaction row and matching sub-type, from a single scan; repeated rows stay."""
     rules = sub_type_rules(p)
     cash_in = list(rules)[:2]
     return (base.withColumn("sub_transaction_type", F.explode(all_matches(rules)))
@@ -79,9 +80,15 @@ def classified(base: DataFrame, p: Params) -> DataFrame:
                         F.when(F.col("sub_transaction_type").isin(*cash_in), NET_CASH_IN).otherwise(NET_CASH_OUT))
             .select("transaction_date", "opendate", "closed", "registration_date", "transaction_id", "customer_id",
                     "accountid", "account_type", "status", "channel", "credit_debit_indicator", "inter_exter_flag",
-                    "trx_amount", "core_narration", "main_transaction_type", "sub_transaction_type")
-            .repartition("customer_id", "transaction_id")
-            .distinct())
+                    "trx_amount", "core_narration", "main_transaction_type", "sub_transaction_type"))
+
+
+def classified(base: DataFrame, p: Params) -> DataFrame:
+    """One distinct row per transaction row and matching sub-type.
+
+    Partitioned by customer and transaction, which the distinct and the totals both reuse.
+    """
+    return labelled(base, p).repartition("customer_id", "transaction_id").distinct()
 
 
 def transaction_totals(rows: DataFrame, p: Params) -> DataFrame:
@@ -98,7 +105,10 @@ def transaction_totals(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def transaction_gaps(rows: DataFrame) -> DataFrame:
-    """Average and median days between distinct (day, direction) rows: overall, in, out."""
+    """Average and median days between distinct (day, direction) rows: overall, in, out.
+
+    Labelled rows will do: repeated ones collapse on the map side with the rest of their day.
+    """
     inflow = F.max(F.when(F.col("main_transaction_type") == NET_CASH_IN, 1).otherwise(0))
     outflow = F.max(F.when(F.col("main_transaction_type") == NET_CASH_OUT, 1).otherwise(0))
     daily = rows.groupBy("customer_id", "transaction_date").agg(inflow.alias("n_in"), outflow.alias("n_out"))
