@@ -6,11 +6,12 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from bindings import registry
 from tests.compare import connect, differences
 from tests.conftest import DATA
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 WRITERS = ("s2_", "s3_", "s4_", "s8_", "k")
 
 
