@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from clientlens.llm import bpe, exact_dedup, packing, quality_rules, secret_scan
+from clientlens.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
+    "op3_suffix_dedup": substring_dedup.op3_suffix_dedup,
     "op5_secret_scans": secret_scan.op5_secret_scans,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
