@@ -32,7 +32,9 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 700_000, 500_000, 1_000_000
+CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 1_000_000, 700_000, 1_000_000
+#: Lengths that a token can have whatever its end.
+SHORT = (2, 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,7 +82,12 @@ class TrieEncoder:
         for tokens in (self.inside, self.last):
             for key in [k for k, i in tokens.items() if not self._reachable(i)]:
                 del tokens[key]
-        self.longest = max(map(len, [*self.inside, *self.last]))
+        # by the last three bytes, which lengths a token with that end can have
+        lengths: dict[bytes, set[int]] = {}
+        for key in (*self.inside, *self.last):
+            if len(key) > 2:
+                lengths.setdefault(key[-3:], set(SHORT)).add(len(key))
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Symbols at the token's right (2) or left (1) edge from the first letter on, each with the rank at which it goes."""
@@ -126,7 +133,7 @@ class TrieEncoder:
         """Ids of distinct words. In sorted order the words are the trie's depth-first traversal: a word shares
         the states of the path that it has in common with the word before. A state is a prefix's last token
         and where that token starts; the word's own end looks among the tokens with a word end."""
-        inside, last, longest, fits, apart = self.inside.get, self.last.get, self.longest, self.fits, self._apart
+        inside, last, lengths, fits, apart = self.inside.get, self.last.get, self.lengths, self.fits, self._apart
         states: list[int] = []
         starts: list[int] = []
         before = b""
@@ -138,8 +145,10 @@ class TrieEncoder:
             del states[common:], starts[common:]
             for end in range(common + 1, size + 1):
                 tokens = inside if end < size else last
-                start = end - longest if end > longest else 0
-                while start < end:
+                for length in lengths.get(word[end - 3:end], SHORT) if end > 2 else SHORT:
+                    start = end - length
+                    if start < 0:
+                        continue
                     token = tokens(word[start:end])
                     if token is not None:
                         if not start:
@@ -150,7 +159,6 @@ class TrieEncoder:
                             fit = fits[pair] = apart(pair >> 16, token)
                         if fit:
                             break
-                    start += 1
                 else:
                     raise ValueError(f"no encoding of {word[:100]!r}")
                 states.append(token)
@@ -171,7 +179,8 @@ class TrieEncoder:
         if chunk.isascii():
             return ASCII_WORDS.findall(chunk.lower())
         text = unicodedata.normalize("NFC", chunk.decode())
-        return [w.encode() for w in WORDS.findall("".join(c.lower() for c in text))]
+        # letter by letter: a final sigma is an ordinary one
+        return [w.encode() for w in WORDS.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())]
 
     def encode_chunks(self, chunks: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of distinct chunks, two bytes each."""

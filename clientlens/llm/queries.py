@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from clientlens.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, substring_dedup
+from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, packing, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
     "op3_suffix_dedup": substring_dedup.op3_suffix_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_secret_scans": secret_scan.op5_secret_scans,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_lm_scoring": interpolated_lm.op8_lm_scoring,
 }
 
 ORACLES = {
