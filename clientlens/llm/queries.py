@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, packing, quality_rules, secret_scan, substring_dedup
+from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_lm_scoring": interpolated_lm.op8_lm_scoring,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLES = {
