@@ -230,13 +230,16 @@ def _(c: Context):
     return c.role("postings").select("transactionid", F.to_date("postingdate").alias("day"))
 
 
-@query("f37_null_counts", """
-    SELECT 'maritalStatus' AS column_name, count(*) - count(maritalStatus) AS n_null FROM loans
-    UNION ALL SELECT 'dependentsCount', count(*) - count(dependentsCount) FROM loans
-    UNION ALL SELECT 'decision_date', count(*) - count(decision_date) FROM loans
-    UNION ALL SELECT 'customerId', count(*) - count(customerId) FROM loans""")
+LOAN_COLUMNS = (
+    "customerId digitalLoanAccountId loanAccountNumber applicationStatus new_loan_type reloan_flag flagApproval flagDisbursement "
+    "startApplyDateTime approvedDateTime decision_date disbursementdatetime loanRequestTenure approvedLoanTenure loanRequestAmount "
+    "approvedLoanAmount disbursedLoanAmount obsFPD10 obsFPD30 Max_Ever_DPD maritalStatus dependentsCount monthlyIncome").split()
+
+
+@query("f37_null_counts", " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, count(*) FILTER ({name} IS NULL) AS n_null FROM loans" for name in LOAN_COLUMNS))
 def _(c: Context):
-    return quality.null_counts(c.role("loans").select("maritalStatus", "dependentsCount", "decision_date", "customerId"))
+    return quality.null_counts(c.role("loans"))
 
 
 @query("d1f_age_function", """

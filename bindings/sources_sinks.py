@@ -23,7 +23,7 @@ def _(c: Context):
     WHERE partition_date BETWEEN DATE '1995-01-05' AND DATE '1995-01-20' GROUP BY ALL""")
 def _(c: Context):
     path = c.scratch("installs")
-    c.role("installs").write.partitionBy("partition_date").parquet(path)
+    sinks.write_snapshot(c.role("installs"), path, ["partition_date"])
     stored = c.spark.read.parquet(path)
     return (stored.filter(F.col("partition_date").between(F.lit("1995-01-05").cast("date"), F.lit("1995-01-20").cast("date")))
             .groupBy("partition_date", "media_source").agg(F.count("*").alias("n")))
@@ -47,7 +47,7 @@ def _(c: Context):
     names = [("c_custkey", "cust_id"), ("c_name", "customer_name"), ("c_nationkey", "home_nation"), ("c_mktsegment", "segment")]
     path = c.scratch("mapping")
     sinks.write_csv(c.spark.createDataFrame(names, sheet), path)
-    mapping = readers.rename_map(readers.read_csv(c.spark, path, sheet), "Column", "Updated_Name")
+    mapping = readers.rename_map(readers.read_csv(c.spark, path, sheet), "Column", "Updated_Name", c.customer.columns)
     return rename_by_map(c.customer, mapping)
 
 
@@ -140,11 +140,10 @@ def _(c: Context):
 def _(c: Context):
     from clientlens.plans.cohort import cohort
     path = c.scratch("snapshot")
-    # a day of onboardings is small: the daily rows are filed by month
-    people = cohort(c.role("customers"), c.p).withColumn("month", F.date_format("onboarding_date", "yyyy-MM"))
-    late = people.filter(F.col("onboarding_date") >= F.lit("1997-01-01").cast("date"))
-    sinks.write_snapshot(people, path, ["month"])
-    sinks.write_snapshot(late, path, ["month"])  # the rerun replaces its own months only
+    people = cohort(c.role("customers"), c.p)
+    day = people.filter(F.col("onboarding_date") == F.lit("1997-03-04").cast("date"))
+    sinks.write_snapshot(people, path, ["onboarding_date"])
+    sinks.write_snapshot(day, path, ["onboarding_date"])  # a rerun replaces its own day only
     return c.spark.read.parquet(path).select("cust_id", "kyc_status", "onboarding_date", "day_120", "day_150")
 
 

@@ -150,11 +150,14 @@ view("app_rows", """
 @query("r1_pivot_nunique", """
     SELECT l_suppkey, nullif(count(DISTINCT CASE WHEN p_type = 'ECONOMY' THEN l_partkey END), 0) AS "ECONOMY",
            nullif(count(DISTINCT CASE WHEN p_type = 'SMALL' THEN l_partkey END), 0) AS "SMALL",
-           nullif(count(DISTINCT CASE WHEN p_type = 'LARGE' THEN l_partkey END), 0) AS "LARGE"
+           nullif(count(DISTINCT CASE WHEN p_type = 'LARGE' THEN l_partkey END), 0) AS "LARGE",
+           nullif(count(DISTINCT CASE WHEN p_type = 'MEDIUM' THEN l_partkey END), 0) AS "MEDIUM",
+           nullif(count(DISTINCT CASE WHEN p_type = 'PROMO' THEN l_partkey END), 0) AS "PROMO",
+           nullif(count(DISTINCT CASE WHEN p_type = 'STANDARD' THEN l_partkey END), 0) AS "STANDARD"
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey""")
 def _(c: Context):
     lines = c.lineitem.join(c.part, F.col("l_partkey") == F.col("p_partkey"))
-    return pivot_nunique(lines, "l_suppkey", "p_type", "l_partkey", ["ECONOMY", "SMALL", "LARGE"])
+    return pivot_nunique(lines, "l_suppkey", "p_type", "l_partkey", ["ECONOMY", "SMALL", "LARGE", "MEDIUM", "PROMO", "STANDARD"])
 
 
 def _categorised(c: Context):
@@ -191,13 +194,14 @@ def _(c: Context):
 
 
 @query("r4_assemble_wide", """
-    SELECT c_custkey, a."F" AS n_f, a."O" AS n_o, b.n_r FROM customer
-    LEFT JOIN (SELECT o_custkey, nullif(count(CASE WHEN o_orderstatus = 'F' THEN 1 END), 0) AS "F", nullif(count(CASE WHEN o_orderstatus = 'O' THEN 1 END), 0) AS "O"
+    SELECT c_custkey, a."F" AS n_f, a."O" AS n_o, a."P" AS n_p, b.n_r FROM customer
+    LEFT JOIN (SELECT o_custkey, nullif(count(CASE WHEN o_orderstatus = 'F' THEN 1 END), 0) AS "F", nullif(count(CASE WHEN o_orderstatus = 'O' THEN 1 END), 0) AS "O",
+                      nullif(count(CASE WHEN o_orderstatus = 'P' THEN 1 END), 0) AS "P"
                FROM orders GROUP BY 1) a ON a.o_custkey = c_custkey
     LEFT JOIN (SELECT o_custkey, count(*) AS n_r FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) b ON b.o_custkey = c_custkey""")
 def _(c: Context):
     key = F.col("o_custkey").alias("c_custkey")
-    status = pivot_nunique(c.orders, "o_custkey", "o_orderstatus", "o_orderkey", ["F", "O"]).toDF("c_custkey", "n_f", "n_o")
+    status = pivot_nunique(c.orders, "o_custkey", "o_orderstatus", "o_orderkey", ["F", "O", "P"]).toDF("c_custkey", "n_f", "n_o", "n_p")
     urgent = c.orders.filter(F.col("o_orderpriority") == "1-URGENT").groupBy(key).agg(F.count("*").alias("n_r"))
     return assemble(c.customer.select("c_custkey"), [status, urgent], "c_custkey")
 

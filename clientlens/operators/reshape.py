@@ -23,10 +23,12 @@ def pivot_many(df: DataFrame, key: str, value: str, cells: Mapping[str, tuple[st
     """Several distinct-count pivots of one frame in a single pass over it.
 
     ``cells`` maps a column prefix to (category column, listed categories); output columns are
-    named prefix:category and are NULL where a key has none. ``present`` maps an output name to a
+    named prefix:category and are NULL where a key has none. Categories that are not listed count
+    in prefix:*, so that a key's columns of one prefix add up to its values. ``present`` maps an output name to a
     category column and tells (1 or NULL) whether the key has any category in it.
     """
-    stacked = [F.concat(F.lit(f"{prefix}:"), F.col(column)) for prefix, (column, _) in cells.items()]
+    stacked = [F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{prefix}:"), F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(F.lit("*"))))
+               for prefix, (column, values) in cells.items()]
     stacked += [F.when(F.col(column).isNotNull(), F.lit(name)) for name, column in (present or {}).items()]
     # a presence mark needs one row per key, whatever the value
     marks = list(present or {})
@@ -36,7 +38,7 @@ def pivot_many(df: DataFrame, key: str, value: str, cells: Mapping[str, tuple[st
             .select(key, "_cell", F.when(cell.isin(*marks), F.lit("")).otherwise(F.col(value).cast("string")).alias("_value")
                     if marks else F.col(value).alias("_value"))
             .distinct())
-    listed = [f"{prefix}:{c}" for prefix, (_, values) in cells.items() for c in values] + marks
+    listed = [f"{prefix}:{c}" for prefix, (_, values) in cells.items() for c in (*values, "*")] + marks
     return rows.groupBy(key).pivot("_cell", listed).agg(F.count("_value"))
 
 

@@ -4,21 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast to the declared fields and order; a field the frame lacks is an error."""
-    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+#: Quotes inside a quoted field are doubled, as spreadsheets and warehouses write them.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def write_typed(df: DataFrame, schema: T.StructType, path: str, mode: str = "overwrite") -> None:
+def to_schema(df: DataFrame, schema: T.StructType, coerce: Sequence[str] = ()) -> DataFrame:
+    """Cast to the declared fields and order; a field the frame lacks, or a value that does not fit, is an error.
+
+    Only fields in ``coerce`` turn a value that does not fit into NULL.
+    """
+    def typed(f: T.StructField) -> Column:
+        column = F.col(f"`{f.name}`")
+        return (column.try_cast(f.dataType) if f.name in coerce else column.cast(f.dataType)).alias(f.name)
+
+    return df.select(*[typed(f) for f in schema.fields])
+
+
+def write_typed(df: DataFrame, schema: T.StructType, path: str, mode: str = "overwrite", coerce: Sequence[str] = (),
+                partition: Sequence[str] = ()) -> None:
     """Replace (or append to) a parquet table with the declared schema."""
-    to_schema(df, schema).write.mode(mode).parquet(path)
+    to_schema(df, schema, coerce).write.mode(mode).partitionBy(*partition).parquet(path)
+
+
+def save_typed(df: DataFrame, schema: T.StructType, table: str, mode: str = "overwrite", coerce: Sequence[str] = (),
+               partition: Sequence[str] = ()) -> None:
+    """The same into a table of the session's catalog, read back with ``spark.table``."""
+    to_schema(df, schema, coerce).write.format("parquet").mode(mode).partitionBy(*partition).saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header and doubled quotes; a line break in a field is quoted (see ``readers.read_csv``).
+
+    CSV does not tell an empty text from a missing one: both are read as NULL.
+    """
+    df.write.mode(mode).options(**CSV_DIALECT).csv(path)
 
 
 def write_snapshot(df: DataFrame, path: str, partition: Sequence[str]) -> None:

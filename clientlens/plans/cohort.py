@@ -24,6 +24,14 @@ def cohort(customers: DataFrame, p: Params) -> DataFrame:
             .distinct())
 
 
+def everybody(customers: DataFrame, p: Params) -> DataFrame:
+    """Customers with an id onboarded in the cohort range, whatever their KYC status, and their observation dates."""
+    day = F.to_date("created_dt")
+    return (customers.filter(on_or_between(F.col("created_dt"), p.cohort_from, p.cohort_to) & F.col("cust_id").isNotNull())
+            .select("cust_id", "kyc_status", day.alias("onboarding_date"), *[c.alias(n) for n, c in offset_dates(day, p.offsets).items()])
+            .distinct())
+
+
 def registered(customers: DataFrame, p: Params) -> DataFrame:
     """Customers created in the cohort range, whatever their KYC status."""
     return (customers.filter(on_or_between(F.col("created_dt"), p.cohort_from, p.cohort_to))

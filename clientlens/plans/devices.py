@@ -12,8 +12,17 @@ from clientlens.operators.quality import reach
 from clientlens.operators.reshape import assemble, pivot_many
 from clientlens.params import Params
 from clientlens.plans.cohort import EXCLUDED_KYC
-from clientlens.sources.standins import APP_CATEGORIES
 
+# fixed values: the app categories counted per customer, in output order ("Others" comes first)
+APP_CATEGORIES = (
+    "action", "adventure", "arcade", "art & design", "auto & vehicles", "beauty", "board",
+    "books & reference", "business", "card", "casino", "casual", "comics", "communication",
+    "dating", "education", "educational", "entertainment", "finance", "food & drink",
+    "health & fitness", "lifestyle", "maps & navigation", "medical", "music", "music & audio",
+    "news & magazines", "personalization", "photography", "productivity", "puzzle", "racing",
+    "role playing", "shopping", "simulation", "social", "sports", "strategy", "tools",
+    "travel & local", "trivia", "video players & editors", "weather", "word",
+)
 # fixed values: keyword categories, ratings and price labels that become columns
 JOB_APPS = "(?i)linkedin|jobstreet|glint"
 OFFICE_APPS = "(?i)office|gdrive|word|powerpoint|excel"
@@ -31,7 +40,10 @@ def category_columns() -> tuple[str, ...]:
 
 
 def published_name(label: str) -> str:
-    """'auto & vehicles' to cl_pkg_auto_vehicles, 'rated for 12+' to cl_pkg_rated_for_12_plus."""
+    """'auto & vehicles' to cl_pkg_auto_vehicles, 'rated for 12+' to cl_pkg_rated_for_12_plus.
+
+    One rule for all labels: letters, digits and underscores only, so that the columns need no quoting.
+    """
     cleaned = label.replace("+", "_plus").replace("&", " ")
     return "cl_pkg_" + "_".join(cleaned.split())
 
@@ -46,30 +58,37 @@ def device_schema(p: Params) -> T.StructType:
 
 
 def tracked_devices(cohort: DataFrame, details: DataFrame, track: DataFrame, p: Params) -> DataFrame:
-    """Cohort customers with the score record of their device made on or before the cutoff day."""
+    """Customers with the distinct score records of their device made on or before the cutoff day."""
     cutoff = F.col(f"day_{p.offsets[0]}")
     refs = details.select(F.col("custId").alias("cust_id"), F.col("kycStatus"), F.col("deviceRef").cast("string").alias("deviceId"))
     records = track.select(F.col("refno").cast("string").alias("deviceId"), "createdOn", *SCORE_COLUMNS)
     return (cohort.drop("kyc_status").join(refs, "cust_id").join(records, "deviceId")
-            .filter(F.to_date("createdOn") <= cutoff).drop("createdOn"))
+            .filter(F.to_date("createdOn") <= cutoff).drop("createdOn").distinct())
+
+
+def dumped_by(devices: DataFrame, p: Params) -> DataFrame:
+    """Distinct customer-device pairs with the day up to which dumps count."""
+    return devices.select("cust_id", "deviceId", F.col(f"day_{p.offsets[0]}").alias("cutoff")).distinct()
 
 
 def installed_apps(apps: DataFrame) -> DataFrame:
     """One row per array element; devices with an empty or missing array vanish."""
-    return apps.select("deviceId", F.explode("Application").alias("app")).select(
-        "deviceId", "app.package_name", "app.first_install_time")
+    return apps.select("deviceId", F.to_date("run_date").alias("dump_day"), F.explode("Application").alias("app")).select(
+        "deviceId", "dump_day", "app.package_name", "app.first_install_time")
 
 
-def device_packages(apps: DataFrame) -> DataFrame:
-    """Packages per device with their earliest install; repeated dumps collapse on the map side.
+def device_packages(apps: DataFrame, devices: DataFrame) -> DataFrame:
+    """Packages per tracked device and dump day with their earliest install.
 
-    Everything about apps builds on this table. A caller with several uses writes it once.
+    Inventories of other devices go before their arrays are exploded. Everything about apps builds on
+    this table. A caller with several uses writes it once.
     """
-    return (installed_apps(apps).groupBy("deviceId", "package_name")
+    mine = apps.join(devices.select("deviceId").distinct(), "deviceId", "left_semi")
+    return (installed_apps(mine).groupBy("deviceId", "package_name", "dump_day")
             .agg(F.min("first_install_time").alias("first_install_time")))
 
 
-def device_snapshot(devices: DataFrame, dump: DataFrame, packages: DataFrame, p: Params) -> DataFrame:
+def device_snapshot(devices: DataFrame, dump: DataFrame, apps: DataFrame, p: Params) -> DataFrame:
     """Distinct device attributes dumped on or before the cutoff, for devices with any app.
 
     The cutoff belongs to the join with the dump: a customer whose dumps are all later keeps a row.
@@ -79,20 +98,22 @@ def device_snapshot(devices: DataFrame, dump: DataFrame, packages: DataFrame, p:
         F.col("deviceId").alias("_dumped"), "run_date", "GeneralInfo.brand", "Hardware.device__brand",
         "Hardware.device__manufacturer", "Hardware.device__model", "GeneralData.telephony_info__network_operator_name",
         "GeneralData.telephony_info__network_operator", "GeneralData.sim_operator_name")
-    mine = devices.join(packages.select("deviceId"), "deviceId", "left_semi")
+    equipped = apps.filter(F.size("Application") > 0).select("deviceId").distinct()
+    mine = devices.join(equipped, "deviceId", "left_semi")
     joined = mine.join(flat, (mine["deviceId"] == F.col("_dumped")) & (F.to_date("run_date") <= cutoff), "left")
     return joined.drop("_dumped", "deviceId").distinct()
 
 
-def earliest_install(devices: DataFrame, packages: DataFrame) -> DataFrame:
-    """Earliest install time per customer; packages shrink to one row per device before the join."""
-    per_device = packages.groupBy("deviceId").agg(F.min("first_install_time").alias("first_install_time"))
-    return devices.join(per_device, "deviceId").groupBy("cust_id").agg(F.min("first_install_time").alias("first_install_time"))
+def earliest_install(devices: DataFrame, packages: DataFrame, p: Params) -> DataFrame:
+    """Earliest install time per customer, from dumps up to the cutoff; one row per device and day before the join."""
+    per_day = packages.groupBy("deviceId", "dump_day").agg(F.min("first_install_time").alias("first_install_time"))
+    return (dumped_by(devices, p).join(per_day, "deviceId").filter(F.col("dump_day") <= F.col("cutoff"))
+            .groupBy("cust_id").agg(F.min("first_install_time").alias("first_install_time")))
 
 
-def customer_packages(devices: DataFrame, packages: DataFrame) -> DataFrame:
-    """Distinct customer-package pairs with their earliest install."""
-    return (devices.select("cust_id", "deviceId").join(packages, "deviceId")
+def customer_packages(devices: DataFrame, packages: DataFrame, p: Params) -> DataFrame:
+    """Distinct customer-package pairs with their earliest install, from dumps up to the cutoff."""
+    return (dumped_by(devices, p).join(packages, "deviceId").filter(F.col("dump_day") <= F.col("cutoff"))
             .groupBy("cust_id", "package_name").agg(F.min("first_install_time").alias("first_install_time")))
 
 
@@ -123,7 +144,7 @@ def app_counts(rows: DataFrame) -> DataFrame:
     """Distinct packages per customer by category, rating and price, in one pass.
 
     Categories count 0 where a customer has none, ratings stay NULL, prices count 0 for customers
-    with any priced package.
+    with any priced package. ``unlisted_*`` count what is in none of the columns, so that nothing vanishes.
     """
     wide = pivot_many(rows, "cust_id", "package",
                       {"category": ("category", category_columns()), "rating": ("rating", RATINGS), "price": ("is_paid", PRICES)},
@@ -133,7 +154,8 @@ def app_counts(rows: DataFrame) -> DataFrame:
     cells = [(x, F.coalesce(count("category", x), zero)) for x in category_columns()]
     cells += [(x, count("rating", x)) for x in RATINGS]
     cells += [(x, F.when(F.col("priced").isNotNull(), F.coalesce(count("price", x), zero))) for x in PRICES]
-    return wide.select("cust_id", *[c.cast("double").alias(published_name(x)) for x, c in cells])
+    rest = [F.coalesce(count(k, "*"), zero).alias(f"unlisted_{k}") for k in ("category", "rating", "price")]
+    return wide.select("cust_id", *[c.cast("double").alias(published_name(x)) for x, c in cells], *rest)
 
 
 def purchase_date(rows: DataFrame) -> DataFrame:

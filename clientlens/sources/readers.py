@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-MAX_RENAMES = 10_000
+from clientlens.operators.sinks import CSV_DIALECT
 
 
 class Tables:
@@ -25,17 +27,26 @@ class Tables:
         return self.spark.read.schema(self.schemas[name]).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header and a declared schema; a line that does not fit it is an error.
+
+    Files whose fields hold line breaks need ``line_breaks``, which reads each file in one task; large tables
+    with such texts belong in parquet.
+    """
+    return (spark.read.schema(schema).options(**CSV_DIALECT, mode="FAILFAST", multiLine=line_breaks)
+            .option("enforceSchema", False).csv(path))
+
 
+def rename_map(sheet: DataFrame, old: str, new: str, columns: Sequence[str]) -> dict[str, str]:
+    """What a two-column rename sheet says about ``columns``.
 
-def rename_map(sheet: DataFrame, old: str, new: str) -> dict[str, str]:
-    """A two-column rename sheet as a dict; its length is checked before it reaches the driver."""
-    rows = sheet.select(old, new).dropna().limit(MAX_RENAMES + 1).collect()
-    if len(rows) > MAX_RENAMES:
-        raise ValueError("a rename sheet lists columns, not data")
-    return {r[0]: r[1] for r in rows}
+    Half-filled lines and names that are listed twice are errors. Only the lines about the columns reach the driver.
+    """
+    broken = sheet.groupBy(old).agg(F.count(F.lit(1)).alias("n"), F.count(new).alias("filled")).where((F.col("n") > 1) | (F.col("filled") < 1) | F.col(old).isNull())
+    first = broken.select(old).head()
+    if first is not None:
+        raise ValueError(f"rename sheet: {first[0]!r} is listed twice or half-filled")
+    return {r[0]: r[1] for r in sheet.where(F.col(old).isin(list(columns))).select(old, new).collect()}
 
 
 def in_cohort(df: DataFrame, key: str, cohort: DataFrame, cohort_key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
+from clientlens.plans.devices import APP_CATEGORIES
 from clientlens.sources.readers import Tables
 
 # events happened in January 2024: campaign contacts are placed in January 1997, installs in
@@ -20,17 +21,6 @@ from clientlens.sources.readers import Tables
 CONTACT_SHIFT_DAYS = 9861
 INSTALL_SHIFT_DAYS = 10592
 
-# fixed values: the app categories counted per customer, in output order ("Others" comes first)
-APP_CATEGORIES = (
-    "action", "adventure", "arcade", "art & design", "auto & vehicles", "beauty", "board",
-    "books & reference", "business", "card", "casino", "casual", "comics", "communication",
-    "dating", "education", "educational", "entertainment", "finance", "food & drink",
-    "health & fitness", "lifestyle", "maps & navigation", "medical", "music", "music & audio",
-    "news & magazines", "personalization", "photography", "productivity", "puzzle", "racing",
-    "role playing", "shopping", "simulation", "social", "sports", "strategy", "tools",
-    "travel & local", "trivia", "video players & editors", "weather", "word",
-)
-
 CREATED = ("(TIMESTAMP_NTZ '1995-01-01 08:00:00' + interval '1' day * ({k} % 1461)"
            " + interval '1' minute * ({k} % 600))")
 
@@ -240,21 +230,21 @@ ROLE_SQL = {
                     WHEN 7 THEN 'SAMAR (WESTERN SAMAR)' WHEN 8 THEN 'ZAMBOANGA SIBUGAY' ELSE upper(n_name) END AS hm_province
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "region_map": """
-        SELECT lower(n_name) AS province, r_name AS Region_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-        WHERE n_nationkey <> 11""",
+        SELECT lower(n_name) AS province, r_name AS Region_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "carrier_map": """
         SELECT cast(905 + n_nationkey as bigint) AS number_prefix,
                CASE n_regionkey WHEN 0 THEN 'Globe' WHEN 1 THEN 'Smart' WHEN 2 THEN 'Dito' ELSE 'Globe' END AS network_group,
                'mobile' AS network
-        FROM {nation} WHERE n_nationkey <> 12
+        FROM {nation}
         UNION ALL
         SELECT cast((905 + n_nationkey) * 10 as bigint), 'Globe Postpaid', 'postpaid' FROM {nation} WHERE n_regionkey = 0""",
     "financial_profile": """
-        SELECT 'D' || cast(c_custkey as string) AS deviceId, c_custkey % 5 AS sourceOfFundKey, c_nationkey AS employmentStatusKey,
+        SELECT 'D' || cast(c_custkey as string) AS deviceId, c_custkey % 5 AS sourceOfFundKey,
+               c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END AS employmentStatusKey,
                CASE WHEN c_acctbal < 0 THEN 'n/a' ELSE cast(8000 + c_custkey % 700 as string) END AS monthly_income
         FROM {customer}""",
     "source_of_funds": "SELECT r_regionkey AS id, 'Funds ' || r_name AS description FROM {region}",
-    "employment_status": "SELECT n_nationkey AS id, 'Job ' || n_name AS description FROM {nation} WHERE n_nationkey < 20",
+    "employment_status": "SELECT n_nationkey AS id, 'Job ' || n_name AS description FROM {nation}",
     "device_track": f"""
         SELECT 'R' || cast(c_custkey as string) AS refno,
                {CREATED.format(k='c_custkey')} + interval '1' day * (c_custkey % 150) AS createdOn,
@@ -274,7 +264,7 @@ ROLE_SQL = {
                CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity < 25 THEN 1 ELSE 2 END AS n_apps
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
     "app_catalogue": f"""
-        SELECT package_name, split_part('{"|".join(APP_CATEGORIES)}', '|', cast(1 + min(p_partkey) % {len(APP_CATEGORIES)} as int)) AS category,
+        SELECT package_name, split_part('{"|".join(APP_CATEGORIES)}|a kind of its own', '|', cast(1 + min(p_partkey) % {len(APP_CATEGORIES) + 1} as int)) AS category,
                split_part('rated for 3+|rated for 12+|rated for 16+|rated for 18+', '|', cast(1 + min(p_size) % 4 as int)) AS rating,
                CASE WHEN min(p_size) % 7 = 0 THEN NULL ELSE 'content ' || cast(min(p_size) % 3 as string) END AS rating_description,
                CASE WHEN min(p_size) % 8 = 7 THEN NULL WHEN min(p_size) % 4 = 0 THEN 'pay' WHEN min(p_size) % 4 = 3 THEN 'undefined' ELSE 'free' END AS is_paid

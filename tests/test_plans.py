@@ -11,6 +11,7 @@ from bindings.registry import Context, PARAMS
 from clientlens.operators import sinks
 from clientlens.plans import balances as ba, campaigns as ca, channels as ch, devices as dv, flags as fl, transactions as tx
 from clientlens.plans.demographics import DEMOGRAPHIC_SCHEMA
+from clientlens.sources import readers
 from tests.test_operators import d, rows, t
 
 
@@ -179,26 +180,67 @@ def test_deposit_only_keeps_late_and_never_borrowers(spark):
 
 
 def test_empty_app_arrays_and_late_dumps(spark):
-    devices = spark.createDataFrame([("1", "SKYC", "D1", d("2024-05-04"), "s"), ("2", None, "D2", d("2024-05-04"), "s")],
+    devices = spark.createDataFrame([("1", "SKYC", "D1", d("2024-05-04"), "s"), ("2", None, "D2", d("2024-05-04"), "s"), ("3", None, "D1", d("2024-05-02"), "s")],
                                     "cust_id string, kycStatus string, deviceId string, day_120 date, fraudScore string")
     app = "array<struct<package_name:string,first_install_time:timestamp_ntz>>"
-    apps = spark.createDataFrame([("D1", [("a.b", t("2024-01-02T00:00:00")), ("a.b", t("2024-01-01T00:00:00"))]), ("D2", []), ("D3", None)],
-                                 f"deviceId string, Application {app}")
-    owned = dv.device_packages(apps)
-    assert rows(owned, "deviceId", "first_install_time") == [("D1", t("2024-01-01T00:00:00"))]
-    dump = spark.createDataFrame([("D1", t("2024-06-01T00:00:00"), ("b",), ("b", "m", "x"), ("o", "1", "s"))],
+    early, late = t("2024-05-03T00:00:00"), t("2024-06-01T00:00:00")
+    apps = spark.createDataFrame([("D1", early, [("a.b", t("2024-01-02T00:00:00")), ("a.b", t("2024-01-01T00:00:00"))]), ("D1", late, [("c.d", t("2023-01-01T00:00:00"))]),
+                                  ("D2", early, []), ("D3", early, [("x.y", early)])], f"deviceId string, run_date timestamp_ntz, Application {app}")
+    owned = dv.device_packages(apps, devices)
+    assert rows(owned, "deviceId", "package_name", "first_install_time") == [("D1", "a.b", t("2024-01-01T00:00:00")), ("D1", "c.d", t("2023-01-01T00:00:00"))]
+    # the later dump counts for nobody, the earlier one only for the customer whose day 120 it precedes
+    assert rows(dv.customer_packages(devices, owned, P), "cust_id", "package_name") == [("1", "a.b")]
+    assert rows(dv.earliest_install(devices, owned, P), "cust_id", "first_install_time") == [("1", t("2024-01-01T00:00:00"))]
+    dump = spark.createDataFrame([("D1", late, ("b",), ("b", "m", "x"), ("o", "1", "s"))],
                                  "deviceId string, run_date timestamp_ntz, GeneralInfo struct<brand:string>, "
                                  "Hardware struct<device__brand:string,device__manufacturer:string,device__model:string>, "
                                  "GeneralData struct<telephony_info__network_operator_name:string,telephony_info__network_operator:string,sim_operator_name:string>")
-    assert rows(dv.device_snapshot(devices, dump, owned, P), "cust_id", "run_date") == [("1", None)]
+    assert rows(dv.device_snapshot(devices, dump, apps, P), "cust_id", "run_date") == [("1", None), ("3", None)]
 
 
-def test_snapshot_rerun_is_idempotent(spark, tmp_path):
+def test_unlisted_categories_are_counted(spark):
+    apps = spark.createDataFrame([("1", "a", "card", "rated for 3+", "free"), ("1", "b", "games", "rated for 12+", None), ("1", "c", "games", None, "gift"), ("2", "d", "Others", None, None)],
+                                 "cust_id string, package string, category string, rating string, is_paid string")
+    got = {r["cust_id"]: r for r in dv.app_counts(apps).collect()}
+    assert (got["1"]["cl_pkg_card"], got["1"]["unlisted_category"], got["1"]["unlisted_rating"], got["1"]["unlisted_price"]) == (1.0, 2, 1, 1)
+    assert sum(got["1"][dv.published_name(c)] for c in dv.category_columns()) + got["1"]["unlisted_category"] == 3
+    assert got["2"]["unlisted_category"] == 0
+
+
+def test_snapshot_rerun_replaces_only_its_day(spark, tmp_path):
     path = str(tmp_path / "snapshot")
-    df = spark.createDataFrame([(i, f"2024-0{1 + i % 3}") for i in range(30)], "id int, month string")
-    for part in (df, df.filter("month = '2024-02'"), df):
-        sinks.write_snapshot(part, path, ["month"])
-    assert spark.read.parquet(path).count() == 30
+    df = spark.createDataFrame([(i, f"2024-02-{1 + i % 3:02d}") for i in range(30)], "id int, day string")
+    for part in (df, df.filter("day = '2024-02-02' AND id < 20"), df.filter("day = '2024-02-03'")):
+        sinks.write_snapshot(part, path, ["day"])
+    assert spark.read.parquet(path).groupBy("day").count().orderBy("day").collect() == [(d("2024-02-01"), 10), (d("2024-02-02"), 7), (d("2024-02-03"), 10)]
+
+
+def test_a_value_that_does_not_fit_fails_the_load(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([("1", "two")], "a string, b string")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    with pytest.raises(PySparkException):
+        sinks.write_typed(df, schema, str(tmp_path / "t"))
+    sinks.save_typed(df, schema, "typed_by_name", coerce=["b"])
+    assert spark.table("typed_by_name").collect() == [(1, None)]
+
+
+def test_csv_keeps_quotes_and_refuses_broken_lines(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    df = spark.createDataFrame([('5" screen, new', "a\nb", ""), ('"', None, "x")], "a string, b string, c string")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert sorted(readers.read_csv(spark, str(tmp_path / "c"), df.schema, line_breaks=True).collect()) == sorted(df.collect())
+    with pytest.raises(PySparkException):
+        readers.read_csv(spark, str(tmp_path / "c"), df.schema).collect()
+
+
+def test_rename_sheet_is_checked(spark):
+    sheet = lambda *lines: spark.createDataFrame(lines, "o string, n string")
+    assert readers.rename_map(sheet(("a", "b"), ("z", "y")), "o", "n", ["a"]) == {"a": "b"}
+    for bad in (sheet(("a", "b"), ("a", "c")), sheet(("a", None)), sheet((None, "b"))):
+        with pytest.raises(ValueError):
+            readers.rename_map(bad, "o", "n", ["a"])
 
 
 def test_unknown_balance_is_not_active(spark):
