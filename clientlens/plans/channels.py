@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clientlens.functions.rules import first_match, lookup
 from clientlens.functions.scalars import phone_prefix
-from clientlens.operators.dedupe import first_per_key
 from clientlens.params import Params
 
 # fixed values: source texts and the channel they stand for, first match wins
@@ -64,14 +63,17 @@ OTHERS = ("Broken OneLink", "Email", "OpsEngine_post", "Owned Media", "Partnersh
 
 
 def acquisition_channel(media: Column, partner: Column, campaign: Column, p: Params) -> Column:
-    """Channel of an install: the first rule that fits, else the raw source."""
+    """Channel of an install: the first rule that fits, else the raw source.
+
+    A contained text is a LIKE pattern: its underscores stand for any character.
+    """
     source = F.coalesce(media, partner, campaign)
     lowered = F.lower(source)
 
     def test(how: str, text: str) -> Column:
         side = lowered if how.startswith("lowered") else source
         text = text.format(bank=p.bank.lower() if how.startswith("lowered") else p.bank)
-        return side.contains(text) if how.endswith("contains") else side == text
+        return side.like(f"%{text}%") if how.endswith("contains") else side == text
 
     referral = (media.isNull() | (media == "invalid_media_source_name")) & F.lower(campaign).contains("refer")
     rules = [(test(how, text), label) for how, text, label in SOURCE_RULES_BEFORE_REFERRAL]
@@ -112,9 +114,10 @@ def customer_channels(customers: DataFrame, cohort: DataFrame, link: DataFrame,
     """One row per cohort customer: network and the channel of the earliest install."""
     installs = link.select(F.col("customer_user_id").alias("cust_id"), "install_id", "install_time",
                            "media_source", "partner", "campaign")
-    one = first_per_key(installs, ["cust_id"], [F.asc("install_time"), F.asc("install_id")])
+    order = W.partitionBy("cust_id").orderBy(F.asc("install_time"), F.asc("install_id"))
+    one = installs.withColumn("rnk", F.row_number().over(order)).filter("rnk = 1")
     rows = with_network(customers.join(cohort, "cust_id", "left_semi"), carriers).join(one, "cust_id", "left")
     channel = acquisition_channel(F.col("media_source"), F.col("partner"), F.col("campaign"), p)
     return (rows.withColumn("Source", channel)
             .select("cust_id", "network_group", "network", "Source", channel_group(F.col("Source"), p).alias("SourceGroups"),
-                    "media_source", "partner", "campaign", F.lit(1).cast("bigint").alias("rnk")))
+                    "media_source", "partner", "campaign", F.coalesce("rnk", F.lit(1)).cast("bigint").alias("rnk")))
