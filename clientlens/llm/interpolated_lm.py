@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clientlens.llm.common import arrow_step, content, documents, fold, pieces, raw, written
 
 #: Bytes of text in a block, and in a bucket's share of the corpus.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
 PAIR_BITS = 32
 #: Stand for the end and the start; no word has them, as words hold no white space.
 END, START = b" end", b" start"
@@ -41,11 +41,25 @@ BUCKETS_OF_CONTEXT = 64
 
 
 def pack(array: np.ndarray) -> bytes:
-    return pa.compress(array.tobytes(), codec="zstd", asbytes=True) if len(array) else b""
+    """Compressed, all lowest bytes first: small numbers leave long runs of zeros."""
+    planes = array.view(np.uint8).reshape(len(array), -1).T if len(array) else array
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(array) else b""
 
 
 def unpack(data: bytes, size: int, dtype: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype) if size else np.zeros(0, dtype)
+    if not size:
+        return np.zeros(0, dtype)
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(dtype).ravel()
+
+
+def pack_sorted(array: np.ndarray) -> bytes:
+    return pack(np.diff(array, prepend=array.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, size: int, dtype: str) -> np.ndarray:
+    return np.cumsum(unpack(data, size, dtype), dtype=dtype)
 
 
 class _Numbers(dict):
@@ -82,20 +96,22 @@ SENT = "kind int, grp long, block long, size long, keys binary, counts binary, m
 def _sent(bits: int, block: int, docs: list, lengths: list, numbers: _Numbers, parts: list) -> Iterator[tuple]:
     """Rows of a finished block: its tokens, and what it asks each bucket."""
     names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
-    order = np.argsort(names, kind="stable")
+    tokens, ends = np.concatenate(parts), np.cumsum(lengths)
+    order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # frequent words get small numbers
     number = np.empty(len(order), dtype=np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
-    names, tokens, ends = names[order], number[np.concatenate(parts)].astype(np.int64), np.cumsum(lengths)
+    names, tokens = names[order], number[tokens]
     train = np.repeat(~np.array([held for _, held in docs]), lengths)
-    yield TOKENS, block, block, len(tokens), pack(tokens.astype(np.uint32)), names.tobytes(), pickle.dumps((docs, lengths))
-    words = np.bincount(tokens[train], minlength=len(names))
+    yield TOKENS, block, block, len(tokens), pack(tokens), names.tobytes(), pickle.dumps((docs, lengths))
+    by_name = np.argsort(names, kind="stable")
+    words = np.bincount(tokens[train], minlength=len(names))[by_name]
     _, pair, keys = pairs_of(tokens, ends, names)
-    for kind, keys_, counts in ((WORDS, names, words), (PAIRS, keys, np.bincount(pair[train], minlength=len(keys)))):
+    for kind, keys_, counts in ((WORDS, names[by_name], words), (PAIRS, keys, np.bincount(pair[train], minlength=len(keys)))):
         bucket = (keys_ >> np.uint64(64 - bits)).astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))
         short = keys_ if kind == WORDS else ((keys_ << np.uint64(bits)) >> np.uint64(64 - PAIR_BITS)).astype(np.uint32)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield kind, int(bucket[a]), block, b - a, short[a:b].tobytes(), pack(counts[a:b].astype(np.uint32)), None
+            yield kind, int(bucket[a]), block, b - a, pack_sorted(short[a:b]), pack(counts[a:b].astype(np.uint32)), None
 
 
 def _blocks(bits: int, block_bytes: int):
@@ -112,7 +128,7 @@ def _blocks(bits: int, block_bytes: int):
             for text, doc_id, held in zip(raw(batch["text"]), batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), strict=True):
                 words = text.lower().split()
                 words.append(END)
-                parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+                parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
                 docs.append((doc_id, held))
                 lengths.append(len(words))
                 size += len(text)
@@ -140,7 +156,7 @@ def _answers(table: pa.Table) -> pa.Table:
         return table.rename_columns(["kind", "bucket", "block", "size", "keys", "counts", "more"]).cast(schema)
     dtype = "<u8" if kind == WORDS else "<u4"
     sizes = table["size"].to_pylist()
-    keys = np.concatenate([np.frombuffer(k, dtype=dtype) for k in table["keys"].to_pylist()])
+    keys = np.concatenate([unpack_sorted(k, n, dtype) for k, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
     counts = np.concatenate([unpack(c, n, "<u4") for c, n in zip(table["counts"].to_pylist(), sizes, strict=True)])
     _, first, place = np.unique(keys, return_index=True, return_inverse=True)
     sums = np.bincount(place, weights=counts).astype(np.int64)[place]
@@ -153,7 +169,7 @@ def _answers(table: pa.Table) -> pa.Table:
          pa.array([pack(sums[a:b].astype("<u8")) for a, b in parts], pa.binary()), pa.array([pack(owner[a:b]) if kind == WORDS else b"" for a, b in parts], pa.binary())], schema=schema)
 
 
-JOINED = "block long, size long, tokens binary, contexts binary, pair_counts binary, n_words long, word_counts binary, docs binary, train_tokens long, distinct long, cells array<struct<cell:long,weight:long,pair:double,word:double>>"
+JOINED = "block long, size long, tokens binary, pair_counts binary, n_words long, word_counts binary, docs binary, train_tokens long, distinct long, cells array<struct<cell:long,weight:long,pair:double,word:double>>"
 
 
 def _steps(p: np.ndarray) -> np.ndarray:
@@ -172,17 +188,19 @@ def _gathered(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
     own = rows[0]
     names = np.frombuffer(own["counts"], dtype=np.uint64)
-    tokens = unpack(own["keys"], own["size"], "<u4").astype(np.int64)
+    tokens = unpack(own["keys"], own["size"], "<u4")
     docs, lengths = pickle.loads(own["more"])
 
     def answers(kind: int) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *[unpack(r["counts"], r["size"], "<u8").astype(np.int64) for r in rows if r["kind"] == kind]])
 
-    words, pair_sums = answers(WORDS), answers(PAIRS)
+    by_name = np.argsort(names, kind="stable")
+    words, pair_sums = np.empty(len(names), dtype=np.int64), answers(PAIRS)
+    words[by_name] = answers(WORDS)
     owned = np.concatenate([np.zeros(0, np.uint8), *[unpack(r["more"], r["size"], "u1") for r in rows if r["kind"] == WORDS]])
     context, pair, _ = pairs_of(tokens, np.cumsum(lengths), names)
     pair_counts = pair_sums[pair]
-    end = int(np.searchsorted(names, np.uint64(xxhash.xxh3_64_intdigest(END))))
+    end = int(tokens[lengths[0] - 1])
     context_counts = np.append(words, words[end])[context]  # as many starts as ends
     train = np.repeat(~np.array([held for _, held in docs]), lengths)
     # deleted estimates: the token itself is taken out of every count
@@ -192,11 +210,11 @@ def _gathered(table: pa.Table) -> pa.Table:
     cells, place, weights = np.unique(cell, return_inverse=True, return_counts=True)
     means = [np.bincount(place, weights=x, minlength=len(cells)).tolist() for x in (pair_estimate, c1)]
     return pa.Table.from_pylist([{
-        "block": own["block"], "size": own["size"], "tokens": pack(tokens.astype("<u4")), "contexts": pack(context.astype("<u4")),
+        "block": own["block"], "size": own["size"], "tokens": pack(tokens),
         "pair_counts": pack(pair_counts.astype("<u8")), "n_words": len(words), "word_counts": pack(words.astype("<u8")), "docs": own["more"],
-        "train_tokens": int(train.sum()), "distinct": int(((owned > 0) & (words > 0)).sum()),
+        "train_tokens": int(train.sum()), "distinct": int(((owned > 0) & (words[by_name] > 0)).sum()),
         "cells": [{"cell": c, "weight": w, "pair": p, "word": q} for c, w, p, q in zip(cells.tolist(), weights.tolist(), *means, strict=True)]}],
-        schema=pa.schema([("block", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("contexts", pa.binary()), ("pair_counts", pa.binary()),
+        schema=pa.schema([("block", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("pair_counts", pa.binary()),
                           ("n_words", pa.int64()), ("word_counts", pa.binary()), ("docs", pa.binary()), ("train_tokens", pa.int64()), ("distinct", pa.int64()),
                           ("cells", pa.list_(pa.struct([("cell", pa.int64()), ("weight", pa.int64()), ("pair", pa.float64()), ("word", pa.float64())])))]))
 
@@ -226,13 +244,14 @@ def _scores(n: int, v: int, mix: np.ndarray):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, context = (unpack(row[k], row["size"], "<u4").astype(np.int64) for k in ("tokens", "contexts"))
+                tokens = unpack(row["tokens"], row["size"], "<u4")
                 pair_counts, words = unpack(row["pair_counts"], row["size"], "<u8").astype(float), unpack(row["word_counts"], row["n_words"], "<u8").astype(float)
                 docs, lengths = pickle.loads(row["docs"])
                 starts = np.cumsum(lengths) - lengths
                 count = words[tokens]
-                end = words[tokens[starts[0] + lengths[0] - 1]]
-                seen = np.append(words, end)[context]
+                # a start is seen as often as an end
+                seen = np.append(words[tokens[-1]], count[:-1])
+                seen[starts] = words[tokens[-1]]
                 weights = mix[context_bucket(seen)]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     p = weights[:, 0] * np.where(seen > 0, pair_counts / np.maximum(seen, 1), 0) + weights[:, 1] * count / max(1, n) + weights[:, 2] / (v + 1)
@@ -261,7 +280,7 @@ def scored(docs: DataFrame, held_out: Column | None = None, id_column: str = "do
     cells = (gathered.select(F.inline("cells")).groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("weight", "pair", "word")]).collect())
     cell, weight, pair, word = np.array([tuple(r) for r in cells], dtype=float).reshape(-1, 4).T
     mix = expectation_maximisation(cell.astype(np.int64) >> 40, weight, pair / weight, word / weight / max(1, n - 1), v)
-    return gathered.select("size", "tokens", "contexts", "pair_counts", "n_words", "word_counts", "docs").mapInArrow(
+    return gathered.select("size", "tokens", "pair_counts", "n_words", "word_counts", "docs").mapInArrow(
         _scores(n, v, mix), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
