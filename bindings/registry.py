@@ -19,6 +19,8 @@ PARAMS = replace(Params(), balance_rank=3)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+#: Roles that other plans compute; their SQL is a view of the same name.
+DERIVED: dict[str, Callable[[Context], DataFrame]] = {}
 
 _SOURCE = re.compile(r"(?:FROM|JOIN)\s+([a-z_0-9]+)")
 
@@ -39,7 +41,7 @@ class Context:
 
     def role(self, name: str) -> DataFrame:
         if name not in self.roles:
-            self.roles[name] = standins.role(self.tables, name)
+            self.roles[name] = DERIVED[name](self) if name in DERIVED else standins.role(self.tables, name)
         return self.roles[name]
 
     def scratch(self, name: str) -> str:

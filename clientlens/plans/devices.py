@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clientlens.functions.rules import first_match
 from clientlens.functions.scalars import normalised_package
+from clientlens.operators.dedupe import first_per_key
 from clientlens.operators.quality import reach
 from clientlens.operators.reshape import assemble, pivot_many
 from clientlens.params import Params
@@ -174,6 +175,12 @@ def device_mart(snapshot: DataFrame, installs: DataFrame, counts: DataFrame, p:
         *[published_name(c) for c in (*category_columns(), *RATINGS, *PRICES)])
 
 
+def latest_dump(mart: DataFrame) -> DataFrame:
+    """One row per customer of the device mart: the latest dump, ties by the remaining columns."""
+    rest = [c for c in mart.columns if c not in ("cust_id", "cl_run_date")]
+    return first_per_key(mart, ["cust_id"], [F.col("cl_run_date").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in rest]])
+
+
 def package_reach(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct customers per category or rating."""
     return reach(rows, by, "cust_id", "n_customers")

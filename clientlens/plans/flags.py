@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from clientlens.functions.rules import flag
 from clientlens.functions.scalars import number_key
 from clientlens.operators.ranges import window_counts, with_counts
+from clientlens.operators.reshape import assemble
 from clientlens.params import Params
 
 # fixed values: product lists and thresholds of the flag definitions
@@ -21,6 +22,8 @@ DEFAULT_PRODUCTS = ("Unsecured Loan",)
 CASH_LOANS = ("Quick", "Flex")
 ACTIVE_BALANCE = 100
 NPL_DAYS = 180
+MONTH = 30
+OVER = ("COMPLETED", "REJECT", "EXPIRED")
 DEFAULTED = (1, 2)
 
 # fixed values: published flag columns, in order
@@ -33,6 +36,28 @@ FLAG_SCHEMA = T.StructType([
         "tx_FSPD30_4m", "npl", "tx_FSPD30_5m", "fspd304m", "fspd305m")]])
 
 
+def flag_inputs(people: DataFrame, first: DataFrame, moves: DataFrame, loans: DataFrame, balances: DataFrame, p: Params) -> DataFrame:
+    """What the flags are decided on, one row per registered customer.
+
+    ``first`` holds the first product, ``moves`` one row per classified transaction, ``balances`` the known balances
+    on both observation days. The two windows of transactions are the month up to the first day and the time
+    between both; a loan that is not over counts from its disbursement on.
+    """
+    start = F.to_date("registration_date")
+    near, far = (F.date_add(start, n) for n in p.offsets)
+    spine = (people.select(F.col("cust_id").alias("customer_id"), "registration_date")
+             .join(first.select("customer_id", F.col("first_product").alias("tx_first_product")), "customer_id", "left"))
+    moved = window_counts(spine, moves, "customer_id", "customer_id", streams={"moved": (F.col("transaction_date"), F.lit(True))},
+                          windows={"tx_cnt_total_transactions_bw_3m_and_4m": ("moved", F.date_add(start, p.offsets[0] - MONTH), near),
+                                   "tx_cnt_total_transactions_bw_4m_and_5m": ("moved", near, far)})
+    ever = F.lit("1900-01-01").cast("date")
+    owed = window_counts(loan_keyed(spine), loans, "_loan_key", "customerId",
+                         streams={"active": (F.col("disbursementdatetime"), ~F.col("applicationStatus").isin(*OVER))},
+                         windows={"tx_cnt_active_loans_end_4m": ("active", ever, near), "tx_cnt_active_loans_end_5m": ("active", ever, far)})
+    counted = with_counts(loan_keyed(with_counts(spine, moved, "customer_id")), owed, "_loan_key").drop("_loan_key")
+    return counted.join(balances, "customer_id", "left")
+
+
 def active(mart_suffix: str, transactions: str, with_balance: bool = True) -> Column:
     """Recent transaction or enough balance, and no active loan. Unknown balance is not enough."""
     no_loan = F.col(f"tx_cnt_active_loans_end_{mart_suffix}") == 0
@@ -133,10 +158,12 @@ def flag_cross_tab(flags: DataFrame, by: Sequence[str], name: str = "customer_un
     return known.groupBy(*by).agg(F.count("customer_id").alias(name))
 
 
-def modelling_table(wide: DataFrame, flags: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Wide features of customers whose first product is eligible for the loan flags."""
-    kept = flags.filter(F.col("tx_first_product").isin(*LOAN_PRODUCTS))
-    return wide.join(kept, key)
+def modelling_table(flags: DataFrame, blocks: Sequence[DataFrame], key: str = "customer_id") -> DataFrame:
+    """Flags and wide features of customers whose first product is eligible for the loan flags.
+
+    Each block is unique on the key, so that there are as many rows as eligible customers.
+    """
+    return assemble(flags.filter(F.col("tx_first_product").isin(*LOAN_PRODUCTS)), blocks, key)
 
 
 def applicants_among_borrowers(mart: DataFrame, loans: DataFrame, p: Params) -> DataFrame:

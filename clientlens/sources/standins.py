@@ -271,22 +271,12 @@ ROLE_SQL = {
         FROM (SELECT *, CASE WHEN p_size = 1 THEN 'com.LinkedIn.android' WHEN p_size = 2 THEN 'ms.Word_office'
                              ELSE p_name || '.' || p_brand END AS package_name FROM {{part}}) p
         GROUP BY package_name""",
-    "behaviour_mart": f"""
-        SELECT cast(c_custkey as string) AS customer_id, {CREATED.format(k='c_custkey')} AS registration_date,
-               split_part('Individual Stash|Group Stash|Bills Pay|Unsecured Loan|TSA Top-Up|Time Deposit - 6 months|Virtual Transaction|Unsecured Loan', '|', cast(1 + c_custkey % 8 as int)) AS tx_first_product,
-               coalesce(n34, 0) AS tx_cnt_total_transactions_bw_3m_and_4m, coalesce(n45, 0) AS tx_cnt_total_transactions_bw_4m_and_5m,
-               coalesce(a4, 0) AS tx_cnt_active_loans_end_4m, coalesce(a5, 0) AS tx_cnt_active_loans_end_5m,
+    "observed_balances": """
+        SELECT cast(c_custkey as string) AS customer_id,
                CASE WHEN c_acctbal > 500 THEN cast(c_acctbal as double) END AS tx_tsa_balance_4m,
                CASE WHEN c_acctbal > 700 THEN cast(c_acctbal as double) END AS tx_tsa_balance_5m,
                cast(c_nationkey as double) AS tx_stash_balance_4m, cast(c_nationkey + 1 as double) AS tx_stash_balance_5m
-        FROM {{customer}} LEFT JOIN (
-            SELECT o_custkey, count(CASE WHEN age BETWEEN 90 AND 120 THEN 1 END) AS n34, count(CASE WHEN age BETWEEN 120 AND 150 THEN 1 END) AS n45,
-                   count(CASE WHEN age BETWEEN 0 AND 120 AND o_orderstatus = 'O' THEN 1 END) AS a4,
-                   count(CASE WHEN age BETWEEN 0 AND 150 AND o_orderstatus = 'O' THEN 1 END) AS a5
-            FROM (SELECT o_custkey, o_orderstatus,
-                         cast(floor((cast(year(o_orderdate) as int) - 1995) * 365.25) as int) + cast(dayofyear(o_orderdate) as int) - 1 - cast(o_custkey % 1461 as int) AS age
-                  FROM {{orders}}) o
-            GROUP BY o_custkey) w ON c_custkey = o_custkey""",
+        FROM {customer}""",
 }
 
 _TABLE = re.compile(r"\{(\w+)\}")

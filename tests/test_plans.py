@@ -207,6 +207,15 @@ def test_unlisted_categories_are_counted(spark):
     assert got["2"]["unlisted_category"] == 0
 
 
+def test_modelling_table_has_one_row_per_eligible_customer(spark, data):
+    c = Context(spark, data)
+    table = targets.modelling_table(c)
+    eligible = targets.flags(c).filter(F.col("tx_first_product").isin(*fl.LOAN_PRODUCTS)).count()
+    assert table.count() == eligible == table.select("customer_id").distinct().count()
+    assert {x.split("_")[0] for x in table.columns} >= {"de", "meng", "cl", "tx"}
+    assert table.filter(F.col("first_product") != F.col("tx_first_product")).isEmpty()
+
+
 def test_snapshot_rerun_replaces_only_its_day(spark, tmp_path):
     path = str(tmp_path / "snapshot")
     df = spark.createDataFrame([(i, f"2024-02-{1 + i % 3:02d}") for i in range(30)], "id int, day string")

@@ -12,6 +12,8 @@ from tests.conftest import DATA
 
 QUERIES = registry.QUERIES
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
+#: Few customers meet the conditions of these; they are compared on a larger set.
+SPARSE = {"q57_applicants_among_borrowers": "/root/testdata/sf0.01"}
 WRITERS = ("s2_", "s3_", "s4_", "s8_", "k")
 
 
@@ -26,6 +28,8 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, data, con, name):
+    if name in SPARSE:
+        data, con = SPARSE[name], connect(SPARSE[name])
     assert differences(QUERIES[name](spark, data), con, ORACLES[name]) == []
 
 
