@@ -65,8 +65,10 @@ def _(c: Context):
     JOIN (SELECT DISTINCT coalesce(campaign_group, campaign_name) AS label FROM campaign_list) y ON x.campaign = y.label GROUP BY campaign""")
 def _(c: Context):
     label = F.coalesce("campaign_group", "campaign_name").alias("campaign")
-    named = c.role("campaign_events").join(c.role("campaign_list"), "campaign_name").select(label)
-    return named.groupBy("campaign").agg(F.count("*").alias("n_events")).join(
+    # events shrink to one count per campaign before any join
+    counted = c.role("campaign_events").groupBy("campaign_name").agg(F.count("*").alias("n"))
+    named = counted.join(c.role("campaign_list"), "campaign_name").select(label, "n")
+    return named.groupBy("campaign").agg(F.sum("n").alias("n_events")).join(
         c.role("campaign_list").select(label).distinct(), "campaign")
 
 

@@ -106,20 +106,23 @@ def loan_counts(mart: DataFrame, loans: DataFrame, p: Params) -> DataFrame:
 def default_counts(mart: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params) -> DataFrame:
     """Rows of loan, bucket and delinquency on the two observation days.
 
-    Each table shrinks to counts per loan first; the number of joined rows is their product.
+    Bad cash loans of the mart's customers give the (loan, day) pairs that matter; only their buckets are counted.
+    The number of joined rows is the product of the tables' counts per loan.
     """
     cash = (loans.filter(F.col("new_loan_type").isin(*CASH_LOANS)).groupBy("customerId", "loanAccountNumber")
             .agg(F.count("*").alias("_loans")))
     bad = (delinquency.filter(F.col("min_inst_def30").isin(*DEFAULTED)).groupBy("loanAccountNumber")
            .agg(F.count("*").alias("_bad")))
-    seen = buckets.groupBy("loanAccountNumber", "bucketDate").agg(F.count("*").alias("_seen"))
-    hits = (seen.join(bad.join(cash, "loanAccountNumber"), "loanAccountNumber")
-            .groupBy(F.col("customerId").alias("_hit_key"), "bucketDate")
-            .agg(F.sum(F.col("_loans") * F.col("_bad") * F.col("_seen")).alias("_n")))
     start = F.to_date("registration_date")
-    days = loan_keyed(mart).select("_loan_key", *[F.date_add(start, n).alias(f"_d{i}") for i, n in enumerate(p.offsets)])
-    return (hits.join(days, hits["_hit_key"] == days["_loan_key"]).groupBy("_loan_key").agg(
-        *[F.sum(F.when(F.col("bucketDate") == F.col(f"_d{i}"), F.col("_n"))).alias(n) for i, n in enumerate(("fspd304m", "fspd305m"))]))
+    names = ("fspd304m", "fspd305m")
+    days = F.array(*[F.struct(F.lit(name).alias("_name"), F.date_add(start, n).alias("bucketDate")) for name, n in zip(names, p.offsets, strict=True)])
+    spine = loan_keyed(mart).select("_loan_key", days.alias("_days"))
+    owed = bad.join(cash, "loanAccountNumber").withColumnRenamed("customerId", "_loan_key")
+    pairs = (owed.join(spine, "_loan_key").select("_loan_key", "loanAccountNumber", (F.col("_loans") * F.col("_bad")).alias("_weight"), F.inline("_days")))
+    keys = ["loanAccountNumber", "bucketDate"]
+    seen = buckets.join(pairs.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_seen"))
+    return (pairs.join(seen, keys).groupBy("_loan_key").agg(
+        *[F.sum(F.when(F.col("_name") == n, F.col("_weight") * F.col("_seen"))).alias(n) for n in names]))
 
 
 def bad_loan_counts(loans: DataFrame) -> DataFrame:
