@@ -28,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw, written
 
 GROUPS = 32
-#: Members that a leaf of the R-tree holds, and that a task takes of a block or cluster.
-LEAF, PART = 48, 1024
+#: Members that a leaf of the R-tree holds.
+LEAF = 48
+#: Members that a part of a block or cluster holds at most, on average, and shingles of a cluster's part.
+PART, PART_SHINGLES = 4096, 4_000_000
 #: Counters of the sketch of frequent shingles, and the pieces in which they are added up.
 SKETCH, SKETCH_PIECES = 1 << 18, 64
 WORDS_KEPT = 500_000
@@ -178,9 +180,8 @@ def _sets(width: int, percent: int, level: np.ndarray):
     return step
 
 
-def _parted(members: DataFrame, key: list[str], total: str) -> DataFrame:
+def _parted(members: DataFrame, parts: Column) -> DataFrame:
     """Each member once for every two parts that meet; ``one`` and ``two`` name the meeting, ``part`` the member's (-1: only one part)."""
-    parts = F.ceil(F.col(total) / F.lit(PART)).cast("int")
     own = F.when(parts <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "mark"), parts).cast("int"))
     return (members.withColumn("parts", parts).withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)))
@@ -319,9 +320,10 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_colu
             .where((F.col("below").isNotNull() & fits(F.col("below"))) | (F.col("above").isNotNull() & fits(F.col("above")))))
     shared = near.select("token", "total", "id", "mark").unionByName(sharing.where(F.col("total") > PART).select("token", "total", "id", "mark"))
     points = staged.select("id", "mark", "n", "point").dropDuplicates(["id", "mark"])
-    members = _parted(shared.join(points, ["id", "mark"]), ["token"], "total")
+    members = _parted(shared.join(points, ["id", "mark"]), F.ceil(F.col("total") / F.lit(PART)).cast("int"))
     blocks = members.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").select("token", "one", "two", "part", "id", "mark", "n", "point")
-    clusters = written(components(blocks.mapInArrow(_block_forests(percent), EDGE), "bounds"), "clusters")
+    clusters = components(blocks.mapInArrow(_block_forests(percent), EDGE), "bounds")
+    clusters = written(clusters.join(points.select("id", "mark", "n"), ["id", "mark"]), "clusters")
     roots = written(components(_links(texts, clusters, width, percent), "links"), "roots")
     by_name = nodes.join(roots, ["id", "mark"], "left").select("name", F.coalesce("root_id", "id").alias("root_id"), F.coalesce("root_mark", "mark").alias("root_mark"))
     return staged.select("doc_id", "id", "mark", F.col("n").alias("n_shingles"), "name").join(written(by_name, "names"), "name", "left")
@@ -329,8 +331,9 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_colu
 
 def _links(texts: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links inside the clusters, as forests."""
-    sizes = clusters.groupBy("root_id", "root_mark").agg(F.count(F.lit(1)).alias("total"))
-    wanted = written(clusters.join(sizes, ["root_id", "root_mark"]), "clustered")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(PART)), F.ceil(F.sum("n") / F.lit(PART_SHINGLES))).cast("int")
+    sizes = clusters.groupBy("root_id", "root_mark").agg(parts.alias("in_parts"))
+    wanted = written(clusters.drop("n").join(sizes, ["root_id", "root_mark"]), "clustered")
     count = wanted.count()
     sent = F.broadcast(wanted) if count <= SENT_ROWS else wanted
 
@@ -338,16 +341,16 @@ def _links(texts: DataFrame, clusters: DataFrame, width: int, percent: int) -> D
         for batch in pieces(batches, 2 << 20):
             own = [shingles(t, width) for t in raw(batch["text"])]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["mark"], batch["cluster_id"], batch["cluster_mark"], batch["total"], pa.array([len(x) for x in own], pa.int64()),
-                 pa.array([x.tobytes() for x in own], pa.binary())], ["id", "mark", "cluster_id", "cluster_mark", "total", "n", "members"])
+                [batch["id"], batch["mark"], batch["cluster_id"], batch["cluster_mark"], batch["in_parts"], pa.array([len(x) for x in own], pa.int64()),
+                 pa.array([x.tobytes() for x in own], pa.binary())], ["id", "mark", "cluster_id", "cluster_mark", "in_parts", "n", "members"])
 
     chosen = texts.join(sent, ["id", "mark"]).withColumnsRenamed({"root_id": "cluster_id", "root_mark": "cluster_mark"})
-    built = arrow_step(chosen.select("id", "mark", "cluster_id", "cluster_mark", "total", "text"), sets,
-                       "id long, mark int, cluster_id long, cluster_mark int, total long, n long, members binary")
+    built = arrow_step(chosen.select("id", "mark", "cluster_id", "cluster_mark", "in_parts", "text"), sets,
+                       "id long, mark int, cluster_id long, cluster_mark int, in_parts int, n long, members binary")
     bins = max(1, count // 500)
     cluster = F.struct("cluster_id", "cluster_mark")
-    binned = _parted(built, ["cluster_id", "cluster_mark"], "total").withColumn(
-        "bin", F.when(F.col("total") > PART, F.struct(cluster.alias("cluster"), F.lit(-1).cast("bigint").alias("bin"))).otherwise(
+    binned = _parted(built, F.col("in_parts")).withColumn(
+        "bin", F.when(F.col("in_parts") > 1, F.struct(cluster.alias("cluster"), F.lit(-1).cast("bigint").alias("bin"))).otherwise(
             F.struct(F.lit(None).cast("struct<cluster_id:bigint,cluster_mark:int>").alias("cluster"), F.pmod(F.xxhash64("cluster_id", "cluster_mark"), F.lit(bins)).alias("bin"))))
     return binned.groupBy("bin", "one", "two").applyInArrow(_once(_verified(percent)), EDGE)
 
