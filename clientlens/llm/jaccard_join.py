@@ -35,6 +35,8 @@ from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, r
 GROUPS = 32
 #: Members that a leaf of the R-tree holds.
 LEAF = 48
+#: Blocks up to this size are one leaf, whose pairs are bounded without a tree.
+SMALL = 12
 #: Members that a part of a block or cluster holds at most, on average, and shingles of a cluster's part.
 PART, PART_SHINGLES = 4096, 4_000_000
 #: Counters of the sketch of frequent shingles, and the pieces in which they are added up.
@@ -56,8 +58,8 @@ class _Words(dict):
 _HASHES = _Words()
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Distinct shingle hashes, ascending."""
+def rolling(text: bytes, width: int) -> np.ndarray:
+    """Hash of the shingle from each word on; all words make one when there are fewer."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -67,7 +69,12 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     for k in range(width):
         total = total * np.uint64(0xFF51AFD7ED558CCD) + ids[k:k + len(total)]
     total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(total ^ (total >> np.uint64(29)))
+    return total ^ (total >> np.uint64(29))
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(rolling(text, width))
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -139,7 +146,8 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(SKETCH, dtype=np.int64)
         for batch in pieces(batches, 2 << 20):
-            hits += np.bincount(counters(np.concatenate([np.zeros(0, np.uint64), *[shingles(t, width) for t in raw(batch["text"])]])), minlength=SKETCH)
+            # one long text: shingles over its seams, and those repeated in a document, only blur the order
+            hits += np.bincount(counters(rolling(b" ".join(raw(batch["text"])), width)), minlength=SKETCH)
         if hits.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(SKETCH_PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * SKETCH_PIECES, pa.int32()),
@@ -169,11 +177,14 @@ def _sets(width: int, percent: int, level: np.ndarray):
             n, points, names, first = [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, width)
-                order = np.lexsort((own, level[counters(own)]))
+                wanted = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
+                often = level[counters(own)]
+                usual = own[often == 0]  # hashes ascend, so these are in order
+                chosen = usual[:wanted] if len(usual) >= wanted else own[np.lexsort((own, often))[:wanted]]
                 n.append(len(own))
                 points.append(point(own).tobytes())
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
-                first.append(own[order[:len(own) - -(-percent * len(own) // 100) + 1]].view(np.int64) if len(own) else own.view(np.int64))
+                first.append(chosen.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["id"], batch["mark"], pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(names, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
                 ["doc_id", "id", "mark", "n", "point", "name", "first"])
@@ -230,13 +241,18 @@ def _block_forests(percent: int):
             points = np.frombuffer(b"".join(table["point"].to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
             starts = np.flatnonzero(np.append(True, np.any([table[k].to_numpy()[1:] != table[k].to_numpy()[:-1] for k in key], axis=0)))
             ends = np.append(starts[1:], len(ids))
-            two = starts[ends - starts == 2]  # most blocks are pairs
-            fits = (100 * np.minimum(sizes[two], sizes[two + 1]) >= percent * np.maximum(sizes[two], sizes[two + 1])) & ((part[two] != part[two + 1]) | (part[two] < 0))
-            two = two[fits]
-            two = two[np.minimum(points[two], points[two + 1]).sum(axis=1) >= least_overlap(sizes[two], sizes[two + 1], percent)]
-            a, b = [two], [two + 1]
+            a, b = [], []
+            for size in range(2, SMALL + 1):  # most blocks are small; all of one size at a time
+                first = starts[ends - starts == size]
+                for i, j in zip(*np.triu_indices(size, 1), strict=True):
+                    one, two = first + i, first + j
+                    fits = (100 * np.minimum(sizes[one], sizes[two]) >= percent * np.maximum(sizes[one], sizes[two])) & ((part[one] != part[two]) | (part[one] < 0))
+                    one, two = one[fits], two[fits]
+                    fits = np.minimum(points[one], points[two]).sum(axis=1) >= least_overlap(sizes[one], sizes[two], percent)
+                    a.append(one[fits])
+                    b.append(two[fits])
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s > 2:
+                if e - s > SMALL:
                     label = forest(sizes[s:e], points[s:e], part[s:e], percent, lambda i, near: near)
                     tied = np.flatnonzero(label != np.arange(e - s))
                     a.append(s + label[tied])
