@@ -1,12 +1,13 @@
 """Near-duplicate join on word shingles: count-vector R-trees inside blocks that no link can leave.
 
-Shingle hashes fall into ``GROUPS`` groups; a document's point is its count of shingles in each. Two sets share
+Shingle hashes fall into groups; a document's point is its count of shingles in each. Two sets share
 at most the sum of the smaller count of every group, and an R-tree over the points, whose nodes keep the largest
 counts and the least and largest set size, discards most pairs by that bound. What survives is verified on the sets.
 
 1. Equal sets are one node, so copies cost nothing further.
-2. Blocks: linked sets share a shingle among their first ``n - ceil(t * n) + 1`` in any common order. The order puts
-   shingles that a sketch of fixed size saw often last, so that shared passages do not make large blocks.
+2. Blocks: linked sets share k shingles among their first ``n - ceil(t * n) + k`` in any common order; sets that share
+   fewer go, and the others meet by each shingle. The order puts shingles that a sketch of fixed size saw often
+   last, so that shared passages do not make large blocks.
 3. In a block, the R-tree finds the pairs that the bound allows. Only a spanning forest of them leaves the task:
    its trees, over all blocks, are clusters outside of which no link exists.
 4. Each document's set is sent once to its cluster, whose R-tree gives the pairs to verify; a pair that is already
@@ -32,7 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw, written
 
-GROUPS = 32
+#: Groups of a count vector: a power of two, so that a group counts four shingles on average at most; LEAST at least.
+LEAST = 32
 #: Members that a leaf of the R-tree holds.
 LEAF = 48
 #: Blocks up to this size are one leaf, whose pairs are bounded without a tree.
@@ -77,9 +79,60 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(rolling(text, width))
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    """Shingles in each group."""
-    return np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def groups(n: int) -> int:
+    """Groups for a set of n shingles: the sum of smaller counts only tells sets apart when the counts are small."""
+    return max(LEAST, 1 << max(0, int(n) // 4 - 1).bit_length())
+
+
+def point(hashes: np.ndarray) -> bytes:
+    """Shingles in each group, one byte each; counts beyond a byte make all of them as large as can be, which bounds nothing."""
+    size = groups(len(hashes))
+    counts = np.bincount((hashes >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
+    return (counts if not len(counts) or counts.max() < 256 else np.full(size, 255)).astype(np.uint8).tobytes()
+
+
+class Points:
+    """Count vectors of members by number of groups, each also folded to half as many.
+
+    Sets that can be linked have sizes close enough for their numbers of groups to differ by a factor of two at most.
+    """
+
+    def __init__(self, vectors: list[bytes]):
+        self.own = np.array([len(v) for v in vectors], dtype=np.int64)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size in np.unique(self.own).tolist():
+            members = np.flatnonzero(self.own == size)
+            matrix = np.frombuffer(b"".join([vectors[i] for i in members]), dtype=np.uint8).reshape(len(members), size).astype(np.uint16)
+            # a full byte stands for any count
+            matrix[(matrix == 255).all(axis=1)] = 1 << 14
+            found.setdefault(size, []).append((members, matrix))
+            found.setdefault(size // 2, []).append((members, matrix.reshape(len(members), size // 2, 2).sum(axis=2).astype(np.uint16)))
+        self.members, self.matrix, self.place = {}, {}, {}
+        for size in np.unique(self.own).tolist():
+            self.members[size] = np.concatenate([m for m, _ in found[size]])
+            self.matrix[size] = np.concatenate([x for _, x in found[size]])
+            self.place[size] = np.full(len(vectors), -1, dtype=np.int64)
+            self.place[size][self.members[size]] = np.arange(len(self.members[size]))
+
+    def bound(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Most shingles that each pair can share; pairs whose sizes do not fit together get 0."""
+        out, size = np.zeros(len(one), dtype=np.int64), np.minimum(self.own[one], self.own[two])
+        for g in np.unique(size).tolist():
+            here = np.flatnonzero((size == g) & (self.place[g][one] >= 0) & (self.place[g][two] >= 0))
+            rows = [self.matrix[g][self.place[g][x[here]]] for x in (one, two)]
+            out[here] = np.minimum(*rows).sum(axis=1)
+        return out
+
+
+def must_share(n: int) -> int:
+    """Shingles of their first ones that linked sets of n or more shingles share at least (see ``first_ones``)."""
+    return 1 + n // 20
+
+
+def first_ones(n: int, percent: int) -> int:
+    """How many shingles, in the common order, two linked sets need to meet: the sets share at least
+    ``ceil(t * n)``, so the first k that they share are among the first ``n - ceil(t * n) + k`` of both."""
+    return n - -(-percent * n // 100) + must_share(n) if n else 0
 
 
 def counters(hashes: np.ndarray) -> np.ndarray:
@@ -124,20 +177,22 @@ class Tree:
         return self.order[nodes[self._allowed(size, counts, near, near, self.points[nodes], percent)]]
 
 
-def forest(sizes: np.ndarray, points: np.ndarray, part: np.ndarray, percent: int, linked) -> np.ndarray:
+def forest(sizes: np.ndarray, points: Points, part: np.ndarray, percent: int, linked) -> np.ndarray:
     """Smallest connected member of each, over the pairs of the tree that ``linked(i, candidates)`` confirms.
 
     ``part``: members of equal part -1 or of different parts are compared; equal parts otherwise meet elsewhere.
     """
-    tree, label = Tree(sizes, points), np.arange(len(sizes))
-    for i in range(len(sizes)):
-        near = tree.partners(int(sizes[i]), points[i], percent)
-        near = near[(near < i) & (label[near] != label[i]) & ((part[near] != part[i]) | (part[i] < 0))]
-        if len(near):
-            near = linked(i, near)
+    label = np.arange(len(sizes))
+    for size, members in points.members.items():
+        tree, own = Tree(sizes[members], points.matrix[size]), points.own == size
+        for i in np.sort(members).tolist():
+            near = members[tree.partners(int(sizes[i]), points.matrix[size][points.place[size][i]], percent)]
+            near = near[(near < i) & (label[near] != label[i]) & ((part[near] != part[i]) | (part[i] < 0)) & (own[near] | own[i])]
             if len(near):
-                joined = np.unique(np.append(label[near], label[i]))
-                label[np.isin(label, joined)] = joined[0]
+                near = linked(i, near)
+                if len(near):
+                    joined = np.unique(np.append(label[near], label[i]))
+                    label[np.isin(label, joined)] = joined[0]
     return label
 
 
@@ -177,12 +232,12 @@ def _sets(width: int, percent: int, level: np.ndarray):
             n, points, names, first = [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, width)
-                wanted = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
+                wanted = first_ones(len(own), percent)
                 often = level[counters(own)]
                 usual = own[often == 0]  # hashes ascend, so these are in order
                 chosen = usual[:wanted] if len(usual) >= wanted else own[np.lexsort((own, often))[:wanted]]
                 n.append(len(own))
-                points.append(point(own).tobytes())
+                points.append(point(own))
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
                 first.append(chosen.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -238,7 +293,8 @@ def _block_forests(percent: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _sorted_groups(batches, key):
             ids, marks, sizes, part = (table[k].to_numpy() for k in ("id", "mark", "n", "part"))
-            points = np.frombuffer(b"".join(table["point"].to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
+            vectors = table["point"].to_pylist()
+            points = Points(vectors)
             starts = np.flatnonzero(np.append(True, np.any([table[k].to_numpy()[1:] != table[k].to_numpy()[:-1] for k in key], axis=0)))
             ends = np.append(starts[1:], len(ids))
             a, b = [], []
@@ -248,12 +304,12 @@ def _block_forests(percent: int):
                     one, two = first + i, first + j
                     fits = (100 * np.minimum(sizes[one], sizes[two]) >= percent * np.maximum(sizes[one], sizes[two])) & ((part[one] != part[two]) | (part[one] < 0))
                     one, two = one[fits], two[fits]
-                    fits = np.minimum(points[one], points[two]).sum(axis=1) >= least_overlap(sizes[one], sizes[two], percent)
+                    fits = points.bound(one, two) >= least_overlap(sizes[one], sizes[two], percent)
                     a.append(one[fits])
                     b.append(two[fits])
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > SMALL:
-                    label = forest(sizes[s:e], points[s:e], part[s:e], percent, lambda i, near: near)
+                    label = forest(sizes[s:e], Points(vectors[s:e]), part[s:e], percent, lambda i, near: near)
                     tied = np.flatnonzero(label != np.arange(e - s))
                     a.append(s + label[tied])
                     b.append(s + tied)
@@ -279,7 +335,7 @@ def _verified(percent: int):
                 shared = np.add.reduceat((own[i][at] == these).astype(np.int64), np.cumsum(n[near]) - n[near])
                 return near[100 * shared >= percent * (n[near] + n[i] - shared)]
 
-            label = forest(n, np.stack([point(x) for x in own]), part[s:e], percent, linked)
+            label = forest(n, Points([point(x) for x in own]), part[s:e], percent, linked)
             tied = np.flatnonzero(label != np.arange(e - s))
             found.append((s + label[tied], s + tied))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -327,8 +383,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_colu
     # rows with equal id and mark are equal texts; one of them stands for all
     own = (staged.join(nodes.select("id", "mark"), ["id", "mark"], "left_semi").select("id", "mark", "n", "first").dropDuplicates(["id", "mark"])
            .select("id", "mark", "n", F.explode("first").alias("token")))
-    several = own.groupBy("token").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
-    sharing = written(own.join(several, "token"), "sharing")
+    sharing = _sharing(own, percent)
     # members of a block that fits a task drop out when not even their neighbours by size could be partners
     by_size = Window.partitionBy("token").orderBy("n")
     fits = lambda other: 100 * F.least("n", other) >= percent * F.greatest("n", other)
@@ -345,6 +400,21 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_colu
     return staged.select("doc_id", "id", "mark", F.col("n").alias("n_shingles"), "name").join(written(by_name, "names"), "name", "left")
 
 
+def _sharing(own: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Rows whose shingle another set has among its first ones, of sets that share as many as a link needs.
+
+    A set's partner has ``ceil(t * n)`` shingles at least. Sets that share too few go, then shingles that only they shared.
+    """
+    partner = F.ceil(F.col("n") * percent / 100)
+    for _ in range(rounds):
+        several = own.groupBy("token").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+        rows = written(own.join(several, "token"), "sharing")
+        enough = rows.groupBy("id", "mark", "n").agg(F.count(F.lit(1)).alias("shares")).where(F.col("shares") >= 1 + F.floor(partner / 20))
+        own = rows.join(enough.select("id", "mark"), ["id", "mark"], "left_semi").drop("total")
+    several = own.groupBy("token").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+    return written(own.join(several, "token"), "sharing")
+
+
 def _links(texts: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links inside the clusters, as forests."""
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(PART)), F.ceil(F.sum("n") / F.lit(PART_SHINGLES))).cast("int")

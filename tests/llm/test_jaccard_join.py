@@ -102,10 +102,17 @@ def test_tree_keeps_every_pair_that_reaches_the_threshold():
     draw = np.random.default_rng(3)
     base = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in draw.integers(20, 90, 30)]
     sets = [np.unique(np.append(b[draw.random(len(b)) > change], draw.integers(0, 2**63, 2).astype(np.uint64))) for b in base for change in (0, 0.02, 0.05, 0.1, 0.2)]
-    sizes, points = np.array([len(s) for s in sets]), np.stack([jj.point(s) for s in sets])
-    tree, kept = jj.Tree(sizes, points), 0
+    sizes = np.array([len(s) for s in sets])
+    points = jj.Points([jj.point(s) for s in sets])
+    kept = 0
     for i, s in enumerate(sets):
-        near = set(tree.partners(len(s), points[i], 85).tolist())
+        near = {int(j) for j in range(len(sets)) if points.bound(np.array([i]), np.array([j]))[0] >= jj.least_overlap(sizes[i], sizes[j], 85)}
+        for size, members in points.members.items():
+            if i in members:
+                tree = jj.Tree(sizes[members], points.matrix[size])
+                found = set(members[tree.partners(len(s), points.matrix[size][points.place[size][i]], 85)].tolist())
+                # the tree leaves out nothing that the bound of a pair allows, given that the sizes fit
+                assert {j for j in near if j in members and 100 * min(len(s), sizes[j]) >= 85 * max(len(s), sizes[j]) and size == min(points.own[i], points.own[j])} <= found
         kept += len(near)
         for j, other in enumerate(sets):
             both = len(np.intersect1d(s, other))
@@ -134,3 +141,27 @@ def test_null_ids_and_empty_table(spark):
     got = rows(jj.component_ids(docs(spark, ["a b c d e f", "a b c d e f", "q"], [None, 3, None])))
     assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] == 2) == [(2, None), (2, None)]
     assert rows(jj.component_ids(docs(spark, []))) == [] and rows(jj.representatives(docs(spark, []))) == []
+
+
+def test_long_texts_and_mixed_sizes(spark):
+    draw = random.Random(15)
+    texts = []
+    for size in (200, 500, 1500, 4000):
+        for _ in range(8):
+            texts += family(draw, size, 2, 0.01)
+    shared = " ".join(f"s{i}" for i in range(700))
+    texts += [f"{shared} {' '.join(f'v{draw.randint(0, 10**6)}' for _ in range(300))}" for _ in range(25)]
+    check(spark, texts, 4, 85)
+
+
+def test_first_ones_of_linked_sets_share_enough():
+    draw = random.Random(5)
+    for _ in range(300):
+        n = draw.randint(1, 200)
+        a = set(draw.sample(range(10**6), n))
+        b = set(draw.sample(sorted(a), n - draw.randint(0, n // 12))) | set(draw.sample(range(10**6), draw.randint(0, n // 12)))
+        both = len(a & b)
+        if 100 * both >= 85 * len(a | b):
+            first = [set(sorted(s)[:jj.first_ones(len(s), 85)]) for s in (a, b)]
+            assert len(first[0] & first[1]) >= min(jj.must_share(len(a)), jj.must_share(len(b)))
+            assert len(first[0] & first[1]) >= jj.must_share(-(-85 * len(a) // 100))
