@@ -183,12 +183,12 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", t
 def accepted(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns; each row is judged where it is read."""
     judge = Judge(references(docs, text, lang, rules.max_languages), rules)
-    body, name = f"{OWN}text", f"{OWN}lang"
+    body, name, columns = f"{OWN}text", f"{OWN}lang", docs.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             keep = [judge.judge(b, n)[-1] for n, b in zip(batch[name].to_pylist(), raw(batch[body]), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(docs.columns)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
     rows = docs.withColumns({body: content(text), name: F.col(lang).cast("string")})
     return arrow_step(rows, step, docs.schema)
