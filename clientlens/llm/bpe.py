@@ -32,7 +32,7 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 1_000_000, 700_000, 1_000_000
+CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 700_000, 500_000, 1_000_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
 
@@ -82,12 +82,49 @@ class TrieEncoder:
         for tokens in (self.inside, self.last):
             for key in [k for k, i in tokens.items() if not self._reachable(i)]:
                 del tokens[key]
-        # by the last three bytes, which lengths a token with that end can have
+        # by the last three bytes, which lengths a token with a word end can have
         lengths: dict[bytes, set[int]] = {}
-        for key in (*self.inside, *self.last):
+        for key in self.last:
             if len(key) > 2:
                 lengths.setdefault(key[-3:], set(SHORT)).add(len(key))
         self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+        self._suffixes()
+
+    def _suffixes(self) -> None:
+        """A trie of the tokens inside words, with the node of each node's longest proper suffix.
+
+        ``longest``: by node, the longest token that ends there; ``shorter``: by token, the next shorter one.
+        """
+        self.step: dict[int, int] = {}
+        token, parent, byte = [None], [0], [0]
+        for key, i in sorted(self.inside.items(), key=lambda x: (len(x[0]), x[0])):
+            node = 0
+            for b in key:
+                child = self.step.get(node << 8 | b)
+                if child is None:
+                    child = self.step[node << 8 | b] = len(token)
+                    token.append(None)
+                    parent.append(node)
+                    byte.append(b)
+                node = child
+            token[node] = i
+        depth = [0] * len(token)
+        for node in range(1, len(token)):
+            depth[node] = depth[parent[node]] + 1
+        self.back = [0] * len(token)
+        self.longest = [None] * len(token)
+        self.shorter: dict[int, int] = {}
+        self.length = {i: len(k) for k, i in self.inside.items()}
+        for node in sorted(range(1, len(token)), key=depth.__getitem__):
+            if parent[node]:
+                up = self.back[parent[node]]
+                while up and up << 8 | byte[node] not in self.step:
+                    up = self.back[up]
+                self.back[node] = self.step.get(up << 8 | byte[node], 0)
+            self.longest[node] = self.longest[self.back[node]]
+            if token[node] is not None:
+                self.shorter[token[node]] = self.longest[node]
+                self.longest[node] = token[node]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Symbols at the token's right (2) or left (1) edge from the first letter on, each with the rank at which it goes."""
@@ -132,37 +169,60 @@ class TrieEncoder:
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
         """Ids of distinct words. In sorted order the words are the trie's depth-first traversal: a word shares
         the states of the path that it has in common with the word before. A state is a prefix's last token
-        and where that token starts; the word's own end looks among the tokens with a word end."""
-        inside, last, lengths, fits, apart = self.inside.get, self.last.get, self.lengths, self.fits, self._apart
+        and where that token starts, tried from the longest token that ends there; every single byte is a token.
+        The word's own end looks among the tokens with a word end."""
+        last, lengths, fits, apart = self.last.get, self.lengths, self.fits, self._apart
+        step, back, longest, shorter, width = self.step.get, self.back, self.longest, self.shorter, self.length
         states: list[int] = []
         starts: list[int] = []
+        nodes: list[int] = []
         before = b""
         for word in sorted(words):
             size = len(word)
             common, top = 0, min(len(states), size - 1)
             while common < top and before[common] == word[common]:
                 common += 1
-            del states[common:], starts[common:]
-            for end in range(common + 1, size + 1):
-                tokens = inside if end < size else last
-                for length in lengths.get(word[end - 3:end], SHORT) if end > 2 else SHORT:
-                    start = end - length
-                    if start < 0:
-                        continue
-                    token = tokens(word[start:end])
-                    if token is not None:
-                        if not start:
-                            break
-                        pair = states[start - 1] << 16 | token
-                        fit = fits.get(pair)
-                        if fit is None:
-                            fit = fits[pair] = apart(pair >> 16, token)
-                        if fit:
-                            break
-                else:
-                    raise ValueError(f"no encoding of {word[:100]!r}")
+            del states[common:], starts[common:], nodes[common:]
+            node = nodes[-1] if nodes else 0
+            for end in range(common + 1, size):
+                byte = word[end - 1]
+                child = step(node << 8 | byte)
+                while child is None:
+                    node = back[node]
+                    child = step(node << 8 | byte)
+                node = child
+                token = longest[node]
+                start = end - width[token]
+                while start:
+                    pair = states[start - 1] << 16 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = apart(pair >> 16, token)
+                    if fit:
+                        break
+                    token = shorter[token]
+                    start = end - width[token]
+                nodes.append(node)
                 states.append(token)
                 starts.append(start)
+            for length in lengths.get(word[-3:], SHORT) if size > 2 else SHORT:
+                start = size - length
+                if start < 0:
+                    continue
+                token = last(word[start:])
+                if token is not None:
+                    if not start:
+                        break
+                    pair = states[start - 1] << 16 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = apart(pair >> 16, token)
+                    if fit:
+                        break
+            else:
+                raise ValueError(f"no encoding of {word[:100]!r}")
+            states.append(token)
+            starts.append(start)
             ids = [states.pop()]
             start = starts.pop()
             while start:
