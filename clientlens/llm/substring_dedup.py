@@ -42,8 +42,8 @@ BLOCK = 8
 #: String starts sampled at a time; also the most positions that fit beside the hash in one number.
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 26) - 1)
-#: With so many documents to change at most, the changes are sent to the texts; beyond, both are shuffled by document.
-SENT_ROWS = 200_000
+#: With so many list items and documents at most, changes are sent to the texts; beyond, both are shuffled by document.
+SENT_ITEMS = 300_000
 LEAST_ID = -(2**63)
 
 
@@ -187,9 +187,10 @@ def _round(rows: DataFrame, rank: list[str], name: str) -> tuple[DataFrame, Data
     return repeated.select("id", "mark", "lo", "n"), rest
 
 
-def _to_texts(texts: DataFrame, changes: DataFrame, how: str) -> DataFrame:
-    """Join by document; a small table of changes travels, a large one is shuffled with the texts."""
-    if changes.count() <= SENT_ROWS:
+def _to_texts(texts: DataFrame, changes: DataFrame, items: str, how: str) -> DataFrame:
+    """Join by document; a table of few list ``items`` travels, a larger one is shuffled with the texts."""
+    size = changes.agg(F.count(F.lit(1)) + F.sum(F.size(items))).first()[0] or 0
+    if size <= SENT_ITEMS:
         changes = F.broadcast(changes)
     return texts.join(changes, ["id", "mark"], how)
 
@@ -204,7 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, width: int = 128, id_colu
     shared = written(runs.join(common, "gram", "left_semi").withColumn("settled", F.lit(False)), "runs")
     found, rest = _round(shared, ["gram"], "whole-runs")
     asked = written(rest.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "at", "gram", "settled")).alias("asked")), "asked")
-    bodies = written(arrow_step(_to_texts(texts, asked, "inner").select("id", "mark", "text", "asked"), _bodies(length),
+    bodies = written(arrow_step(_to_texts(texts, asked, "asked", "inner").select("id", "mark", "text", "asked"), _bodies(length),
                                 f"{RUN}, settled boolean, body binary"), "bodies")
     blocks = written(bodies.mapInArrow(_split(length, BLOCK, False), PART), "blocks")
     found_blocks, rest_blocks = _round(blocks, ["gram", "part", "shared"], "blocks")
@@ -261,7 +262,7 @@ def removal_digests(docs: DataFrame, length: int = 200, width: int = 128, id_col
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     spans = repeated_spans(docs, length, width, id_column, text)
-    joined = _to_texts(_texts(docs, id_column, text), spans, "left").select("doc_id", "text", "starts", "ends")
+    joined = _to_texts(_texts(docs, id_column, text), spans, "starts", "left").select("doc_id", "text", "starts", "ends")
     return arrow_step(joined, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -272,7 +273,7 @@ def without_repeats(docs: DataFrame, length: int = 200, width: int = 128, id_col
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in _kept(batch)], pa.binary())], ["doc_id", "kept"])
 
     spans = repeated_spans(docs, length, width, id_column, text)
-    joined = _to_texts(_texts(docs, id_column, text), spans, "left").select("doc_id", "text", "starts", "ends")
+    joined = _to_texts(_texts(docs, id_column, text), spans, "starts", "left").select("doc_id", "text", "starts", "ends")
     return arrow_step(joined, step, "doc_id long, kept binary")
 
 

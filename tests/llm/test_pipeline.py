@@ -23,7 +23,7 @@ def corpus(spark):
     texts = [words(draw, 80) for _ in range(20)]
     near = texts[0].split()
     near[40] = "changed"
-    texts += [" ".join(near), texts[1].upper(), f"{words(draw, 80)} token = \"{HEX}\" end", "too short", None, "### " * 100]
+    texts += [" ".join(near), texts[1].capitalize(), f"{words(draw, 80)} token = \"{HEX}\" end", "too short", None, "### " * 100]
     return texts, docs(spark, texts)
 
 

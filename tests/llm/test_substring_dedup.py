@@ -103,7 +103,7 @@ def test_remaining_bytes_clashing_columns_and_empty_table(spark):
 
 
 def test_without_sending_changes_to_the_texts(spark, monkeypatch):
-    monkeypatch.setattr(sd, "SENT_ROWS", 0)
+    monkeypatch.setattr(sd, "SENT_ITEMS", 0)
     base = "".join(chr(97 + (i * i) % 23) for i in range(300))
     check(spark, [base, base[20:270], "b" * 10], 200, 128)
 
