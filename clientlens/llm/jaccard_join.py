@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw, written
 
 #: Groups of a count vector: a power of two, so that a group counts four shingles on average at most; LEAST at least.
-LEAST = 32
+#: MOST in blocks, where a vector travels with each shingle; as many as it takes in clusters, where vectors stay.
+LEAST, MOST = 32, 256
 #: Members that a leaf of the R-tree holds.
 LEAF = 48
 #: Blocks up to this size are one leaf, whose pairs are bounded without a tree.
@@ -79,14 +80,14 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(rolling(text, width))
 
 
-def groups(n: int) -> int:
+def groups(n: int, most: int) -> int:
     """Groups for a set of n shingles: the sum of smaller counts only tells sets apart when the counts are small."""
-    return max(LEAST, 1 << max(0, int(n) // 4 - 1).bit_length())
+    return min(most, max(LEAST, 1 << max(0, int(n) // 4 - 1).bit_length()))
 
 
-def point(hashes: np.ndarray) -> bytes:
+def point(hashes: np.ndarray, most: int = 1 << 16) -> bytes:
     """Shingles in each group, one byte each; counts beyond a byte make all of them as large as can be, which bounds nothing."""
-    size = groups(len(hashes))
+    size = groups(len(hashes), most)
     counts = np.bincount((hashes >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
     return (counts if not len(counts) or counts.max() < 256 else np.full(size, 255)).astype(np.uint8).tobytes()
 
@@ -237,7 +238,7 @@ def _sets(width: int, percent: int, level: np.ndarray):
                 usual = own[often == 0]  # hashes ascend, so these are in order
                 chosen = usual[:wanted] if len(usual) >= wanted else own[np.lexsort((own, often))[:wanted]]
                 n.append(len(own))
-                points.append(point(own))
+                points.append(point(own, MOST))
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
                 first.append(chosen.view(np.int64))
             yield pa.RecordBatch.from_arrays(
