@@ -5,6 +5,11 @@ Jensen-Shannon distance (base 2, so 0 to 1). The references are the summed histo
 of a language; languages beyond the largest ``max_languages``, and documents without one, use the
 closest reference. A histogram is only judged when the document is long enough for it.
 
+No document without common words is farther than 0.3 to 0.4 from its language, and good short ones reach 0.45, so the
+distance cannot tell it: beside it, common words must make up ``least_common`` of the language's share at least, unless
+chance explains so few (``chance`` standard deviations of a binomial count). A language whose words are not among
+``COMMON`` (a share below ``listed_share``) has no such bound.
+
 Defined cases: a null text has no words, fails the base rules and is not kept; repeated rows are judged
 each; a null language takes the closest reference; an empty table gives no rows; other columns pass
 through ``accepted`` untouched.
@@ -65,6 +70,9 @@ class Rules:
     class_distance: float = 0.35
     guard_words: int = 60
     word_distance: float = 0.5
+    least_common: float = 0.4
+    chance: float = 3.5
+    listed_share: float = 0.05
     max_languages: int = 200
 
 
@@ -145,11 +153,21 @@ class Judge:
         table = np.array(list(sums.values())).reshape(-1, N_CLASSES + N_WORDS)
         self.classes, self.words = (part / np.maximum(part.sum(axis=1, keepdims=True), 1) for part in (table[:, :N_CLASSES], table[:, N_CLASSES:]))
 
-    def _from(self, counts: np.ndarray, table: np.ndarray, lang: str | None) -> float:
+    def _from(self, counts: np.ndarray, table: np.ndarray, lang: str | None) -> tuple[float, int | None]:
+        """Distance from the language's row, or else from the closest, and which row that is."""
         if not len(table) or not counts.sum():
-            return 0.0
+            return 0.0, None
         at = self.names.get(lang)
-        return float(distance(counts / counts.sum(), table if at is None else table[at:at + 1]).min())
+        found = distance(counts / counts.sum(), table if at is None else table[at:at + 1])
+        return float(found.min()), int(found.argmin()) if at is None else at
+
+    def few_common(self, counts: np.ndarray, at: int | None) -> bool:
+        """Whether common words are far fewer than in the language of row ``at``, beyond what chance explains."""
+        share = 0.0 if at is None else 1 - self.words[at, 0]
+        if share < self.rules.listed_share:
+            return False
+        n, wanted = counts[1:].sum(), counts.sum() * share
+        return bool(n < self.rules.least_common * wanted and wanted - n > self.rules.chance * np.sqrt(wanted * (1 - share)))
 
     def judge(self, text: bytes, lang: str | None) -> tuple:
         """The five measures, the two distances (0 where guarded), base_failed, kept."""
@@ -157,9 +175,10 @@ class Judge:
         found = measures(text, by_byte, self.rules.window)
         failed = found[0] < self.rules.least_words or 100 * found[4] > self.rules.repeat_percent * found[0]
         counts = histograms(text, by_byte)
-        classes = self._from(counts[:N_CLASSES], self.classes, lang) if counts[:N_CLASSES].sum() >= self.rules.guard_chars else 0.0
-        words = self._from(counts[N_CLASSES:], self.words, lang) if counts[N_CLASSES:].sum() >= self.rules.guard_words else 0.0
-        return (*found, classes, words, failed, not failed and classes <= self.rules.class_distance and words <= self.rules.word_distance)
+        classes, _ = self._from(counts[:N_CLASSES], self.classes, lang) if counts[:N_CLASSES].sum() >= self.rules.guard_chars else (0.0, None)
+        words, at = self._from(counts[N_CLASSES:], self.words, lang) if counts[N_CLASSES:].sum() >= self.rules.guard_words else (0.0, None)
+        kept = not failed and classes <= self.rules.class_distance and words <= self.rules.word_distance and not self.few_common(counts[N_CLASSES:], at)
+        return (*found, classes, words, failed, kept)
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")

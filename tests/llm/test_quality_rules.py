@@ -72,6 +72,19 @@ def test_symbol_text_is_far_from_its_language_and_short_text_is_guarded(spark):
     assert got[21]["class_distance"] == 0 and got[21]["kept"]
 
 
+def test_text_without_common_words_is_rejected_whatever_its_letters(spark):
+    clean = [" ".join(w for k in range(30) for w in (f"house{chr(97 + (i + k) % 26)}{chr(97 + k % 26)}", ("the", "of", "and")[k % 3], f"tree{chr(97 + (i * k) % 26)}")) for i in range(20)]
+    uncommon = " ".join(f"gar{chr(97 + k % 26)}den{chr(97 + k // 26)}" for k in range(100))
+    few = " ".join(f"the gar{chr(97 + k % 26)}den{chr(97 + k // 26)}" if k % 25 == 0 else f"gar{chr(97 + k % 26)}den{chr(97 + k // 26)}" for k in range(100))
+    other = [" ".join(f"ka{chr(97 + (i * k) % 26)}sa{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)) for i in range(3)]
+    got = by_id(qr.judged(docs(spark, [*clean, uncommon, few, *other], langs=["en"] * 22 + ["xx"] * 3)))
+    assert all(got[i]["kept"] for i in range(20))
+    for i in (20, 21):
+        assert not got[i]["kept"] and not got[i]["base_failed"] and got[i]["class_distance"] < 0.35 and got[i]["word_distance"] < 0.5
+    # a language none of whose words are listed has no bound on them
+    assert all(got[i]["kept"] for i in (22, 23, 24))
+
+
 def test_accepted_keeps_rows_whole_and_agrees_with_the_verdicts(spark, corpus):
     table = corpus.withColumns({"kept": F.lit("x"), "n_words": F.lit(None).cast("int")}).unionByName(
         docs(spark, [None, "a"], [None, None], [None, "xx"], [None, None]).withColumns({"kept": F.lit("x"), "n_words": F.lit(1)}))
