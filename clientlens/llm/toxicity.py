@@ -10,7 +10,9 @@ were left out.
 
 Training takes at most ``MAX_ROWS`` labelled documents of each class, those with the least hash of the id; counts
 are gathered by Spark, and only expressions on which the classes differ reach the driver, ``MAX_EXPRESSIONS`` at
-most (those with most documents). Labels, language, source and id are no inputs of a score.
+most (those with most documents). Where the bound left out documents, ordinary counts are weighted so that expected
+counts and discounts use the classes' shares in all training labels, discounts grow by what the weight adds to the
+spread, and the curve's intercept gets the log-odds of all training labels. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has difference 0; null labels do not teach; a document that is labelled twice
 teaches once, as toxic if any label says so; repeated rows are scored each; without labels of both classes every
@@ -47,10 +49,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
+def known_rows(marks: DataFrame, label: str, id_column: str = "doc_id", held: int = 0, of: int = 5) -> DataFrame:
+    """All ids and labels outside the held-out fold."""
+    return (marks.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"))
+            .where(fold("id", of) != held).groupBy("id").agg(F.max("label").alias("label")))
+
+
 def training_rows(marks: DataFrame, label: str, id_column: str = "doc_id", held: int = 0, of: int = 5, most: int = MAX_ROWS) -> DataFrame:
     """Ids and labels to learn from: outside the held-out fold, at most ``most`` of each class by hash of the id."""
-    known = (marks.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"))
-             .where(fold("id", of) != held).groupBy("id").agg(F.max("label").alias("label")))
+    known = known_rows(marks, label, id_column, held, of)
     return (known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(most).unionByName(
         known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(most)))
 
@@ -86,12 +93,15 @@ def _counted(texts: DataFrame) -> DataFrame:
     return written(_expressions(texts).groupBy("ahead", "word").agg(*n), "expressions")
 
 
-def _ratios(counted: DataFrame, halves: tuple[int, ...], smooth: Smoothing, order: int) -> dict:
-    """Log-ratio (toxic against ordinary) of the expressions on which the classes differ, learned from some halves."""
+def _ratios(counted: DataFrame, halves: tuple[int, ...], smooth: Smoothing, order: int, weight: float = 1.0) -> dict:
+    """Log-ratio (toxic against ordinary) of the expressions on which the classes differ, learned from some halves.
+
+    ``weight``: training labels that a sampled ordinary document stands for, against a sampled toxic one.
+    """
     rows = counted.where(F.col("ahead").isNull() if order == 1 else F.col("ahead").isNotNull() & (F.length("ahead") > 0))
     rows = rows.select("ahead", "word", *[sum((F.col(f"n{c}{h}") for h in halves[1:]), F.col(f"n{c}{halves[0]}")).alias(f"n{c}") for c in (0, 1)]).where("n0 + n1 > 0")
     total = rows.agg(F.sum("n0"), F.sum("n1")).first()
-    t0, t1 = float(total[0] or 0), float(total[1] or 0)
+    t0, t1 = weight * float(total[0] or 0), float(total[1] or 0)
     if not t0 or not t1:
         return {}
     if order == 1:
@@ -102,17 +112,19 @@ def _ratios(counted: DataFrame, halves: tuple[int, ...], smooth: Smoothing, orde
         scale = F.least(F.lit(1.0), (F.col("follows") + 1) / (F.col("n0") + F.col("n1")))
     else:
         scale = F.lit(1.0)
-    n0, n1 = F.col("n0") * scale, F.col("n1") * scale
+    n0, n1 = F.col("n0") * scale * weight, F.col("n1") * scale
     pool = n0 + n1
+    # spread of a difference of weighted counts, against that of plain ones
+    z = smooth.z * math.sqrt((t0 + weight * t1) / (t0 + t1))
     e1 = pool * (t1 / (t0 + t1))
     least = smooth.d0 if order == 1 else smooth.pair_d0
-    d1 = F.lit(least) + smooth.z * F.sqrt(e1) + smooth.rho * max(0.0, t0 - t1) / (t0 + t1) * e1
+    d1 = F.lit(least) + z * F.sqrt(e1) + smooth.rho * max(0.0, t0 - t1) / (t0 + t1) * e1
     e0 = pool * (t0 / (t0 + t1))
-    d0 = F.lit(least) + smooth.z * F.sqrt(e0)
+    d0 = F.lit(least) + z * F.sqrt(e0)
     toxic = e1 + F.greatest(n1 - e1 - d1, F.lit(0.0))
     ordinary = F.when(toxic > e1, F.least(e0, n0 + d0)).otherwise(e0)
     ratio = F.log(toxic / t1) - F.log(ordinary / t0)
-    found = rows.select("ahead", "word", ratio.alias("ratio"), (F.col("n0") + F.col("n1")).alias("n")).where(F.col("ratio") > 1e-6)
+    found = rows.select("ahead", "word", ratio.alias("ratio"), (weight * F.col("n0") + F.col("n1")).alias("n")).where(F.col("ratio") > 1e-6)
     kept = found.orderBy(F.desc("n"), "word", "ahead").limit(MAX_EXPRESSIONS).collect()
     return {(bytes(r["word"]) if order == 1 else (bytes(r["ahead"]), bytes(r["word"]))): r["ratio"] for r in kept}
 
@@ -162,14 +174,17 @@ class Classifier:
 
 
 def fitted(docs: DataFrame, marks: DataFrame, label: str = "toxic", id_column: str = "doc_id", text: str = "text",
-           smooth: Smoothing = Smoothing(), held: int = 0, of: int = 5) -> Classifier | None:
+           smooth: Smoothing = Smoothing(), held: int = 0, of: int = 5, most: int = MAX_ROWS) -> Classifier | None:
     """The models of all training documents, and the curve of scores that each half got from the other half's models."""
-    rows = written(training_rows(marks, label, id_column, held, of), "training-rows")
-    if rows.select("label").distinct().count() < 2:
+    rows = written(training_rows(marks, label, id_column, held, of, most), "training-rows")
+    taken = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(taken) < 2:
         return None
+    every = {r["label"]: r["count"] for r in known_rows(marks, label, id_column, held, of).where("label IN (0, 1)").groupBy("label").count().collect()}
+    weight = (every[0] / taken[0]) / (every[1] / taken[1])
     texts = labelled_texts(docs, rows, id_column, text).withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int"))
     counted = _counted(texts)
-    crossed = {half: Models(_ratios(counted, (1 - half,), smooth, 1), _ratios(counted, (1 - half,), smooth, 2)) for half in (0, 1)}
+    crossed = {half: Models(_ratios(counted, (1 - half,), smooth, 1, weight), _ratios(counted, (1 - half,), smooth, 2, weight)) for half in (0, 1)}
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -181,14 +196,17 @@ def fitted(docs: DataFrame, marks: DataFrame, label: str = "toxic", id_column: s
     y, x = (np.array(c, dtype=float) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0), np.zeros(0))
     if not len(y) or y.min() == y.max():
         return None
-    whole = Models(_ratios(counted, (0, 1), smooth, 1), _ratios(counted, (0, 1), smooth, 2))
-    return Classifier(whole, logistic(feature(x), y))
+    whole = Models(_ratios(counted, (0, 1), smooth, 1, weight), _ratios(counted, (0, 1), smooth, 2, weight))
+    beta = logistic(feature(x), y)
+    # the curve is fitted on the sample's shares; the odds of all training labels are put back
+    beta[0] -= math.log(weight)
+    return Classifier(whole, beta)
 
 
 def scored(docs: DataFrame, marks: DataFrame, label: str = "toxic", id_column: str = "doc_id", text: str = "text",
-           threshold: float = 0.5, held: int = 0, of: int = 5) -> DataFrame:
+           threshold: float = 0.5, held: int = 0, of: int = 5, most: int = MAX_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    classifier = fitted(docs, marks, label, id_column, text, held=held, of=of)
+    classifier = fitted(docs, marks, label, id_column, text, held=held, of=of, most=most)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

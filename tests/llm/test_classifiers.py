@@ -101,3 +101,25 @@ def test_sample_bound_takes_the_least_hashes(spark):
     marks = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     chosen = rows(tx.training_rows(marks, "toxic", most=10))
     assert sorted(r["label"] for r in chosen) == [0] * 10 + [1] * 10 and not any(held(r["id"]) for r in chosen)
+
+
+def test_bound_on_training_rows_keeps_the_odds_of_all_labels(spark):
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randint(0, 400)}" for _ in range(30)) for _ in range(1000)]
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    table = docs(spark, texts)
+    for most in (1000, 60):
+        # the words say nothing, so every score is the share of toxic labels
+        scores = [r["score"] for r in rows(tx.scored(table, marks, "toxic", most=most))]
+        assert abs(np.mean(scores) - 0.1) < 0.04 and max(scores) < 0.5, most
+
+
+def test_expected_counts_use_the_shares_of_all_labels(spark):
+    def ratios(ordinary, weight):
+        texts = [(i, f"plain{i} common{i % 7}" + (" awful" if i % 40 < 8 and i < 40 else ""), int(i < 40), i % 2) for i in range(40 + ordinary)]
+        frame = spark.createDataFrame(texts, "id long, text string, label int, half int")
+        return tx._ratios(tx._counted(frame), (0, 1), tx.Smoothing(), 1, weight)
+
+    whole, sampled, plain = ratios(320, 1.0), ratios(40, 8.0), ratios(40, 1.0)
+    assert set(whole) == set(sampled) == {b"awful"} and abs(whole[b"awful"] - sampled[b"awful"]) < 1.5
+    assert b"awful" not in plain
