@@ -1,9 +1,11 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Three base kinds are found by pattern. A fourth, ``opaque`` (long mixed runs without any context), is
-only a candidate: its value counts as a secret when the whole corpus shows it with a single owner, as
-a live credential would be; a value that several owners hold is a copied example. Every candidate is
-hashed and counted by distinct repositories and owners; base spans stay whatever the count says.
+only a candidate: its value counts as a secret when the whole corpus shows it with few owners and in few
+repositories, as a live credential would be; a value that several owners hold, or that one owner holds all over, is a
+copied example. Every candidate is hashed and counted by distinct repositories and owners, where equal whole texts
+are one repository; base spans stay whatever the count says. ``LIVE_OWNERS`` and ``LIVE_REPOSITORIES`` are the most
+that a live value has.
 
 All steps are DataFrame functions. Positions come from the lengths of the text between the matches
 and of the matches, added up per document and kind; lengths count code points.
@@ -41,6 +43,8 @@ KINDS = (
     Kind("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", 0, 32, "[A-Za-z0-9+/_-]{32}", base=False),
 )
 NAMES = tuple(k.name for k in KINDS)
+#: Owners and repositories (distinct texts) that show a live value at most.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 16
 
 
 def _by_kind(values: dict[str, int]) -> Column:
@@ -68,20 +72,25 @@ def _found(kind: Kind) -> Column:
     return F.when(_maybe(kind), found)
 
 
+def _repository() -> Column:
+    """Names the document's text, so that copies of a whole text are one."""
+    return F.sha2(F.col("text").cast("binary"), 256).alias("repository")
+
+
 def _candidates(scanned: DataFrame) -> DataFrame:
-    """One row per match that is long enough: row, owner, kind, start, end, value hash."""
-    each = scanned.where(F.size("found") > 0).select("row", "owner", F.inline("found"))
+    """One row per match that is long enough: row, owner, repository, kind, start, end, value hash."""
+    each = scanned.where(F.size("found") > 0).select("row", "owner", "repository", F.inline("found"))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(before)
     least = _by_kind({k.name: k.least for k in KINDS})
     mixed = (F.col("kind") != "opaque") | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]"))
     return (each.withColumn("end", end).where((F.length("value") >= least) & mixed)
-            .select("row", "owner", "kind", (F.col("end") - F.col("n")).alias("start"), "end", F.sha2(F.col("value").cast("binary"), 256).alias("secret")))
+            .select("row", "owner", "repository", "kind", (F.col("end") - F.col("n")).alias("start"), "end", F.sha2(F.col("value").cast("binary"), 256).alias("secret")))
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """Per candidate hash: distinct repositories and owners. Rows are made distinct before each count."""
-    pairs = candidates.select("secret", "owner", "row").groupBy("secret", "owner", "row").count()
+def ownership(candidates: DataFrame, repository: str = "row") -> DataFrame:
+    """Per candidate hash: distinct repositories (of each owner) and owners. Rows are made distinct before each count."""
+    pairs = candidates.select("secret", "owner", repository).groupBy("secret", "owner", repository).count()
     owners = pairs.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     return owners.groupBy("secret").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
@@ -91,21 +100,23 @@ def _listed(condition: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", owner: str = "source", live_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", owner: str = "source", live_owners: int = LIVE_OWNERS,
+         live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """One row per document: row, doc_id, counts, spans (all, as structs) and their digests.
 
-    ``live_owners``: a value with so many owners at most counts as live.
+    ``live_owners``, ``live_repositories``: a value with so many owners and in so many distinct texts at most counts as live.
     """
     found = F.concat(*[F.coalesce(_found(k), F.array().cast("array<struct<kind:string,i:int,gap:int,n:int,value:string>>")) for k in KINDS])
     scanned = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"),
                                   content(text).alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-                      .select("row", "doc_id", "owner", found.alias("found")), "scanned")
-    return _spans(scanned, live_owners)
+                      .select("row", "doc_id", "owner", _repository(), found.alias("found")), "scanned")
+    return _spans(scanned, live_owners, live_repositories)
 
 
-def _spans(scanned: DataFrame, live_owners: int) -> DataFrame:
+def _spans(scanned: DataFrame, live_owners: int, live_repositories: int) -> DataFrame:
     candidates = written(_candidates(scanned), "candidates")
-    judged = candidates.join(ownership(candidates), "secret").withColumn("live", F.col("owners") <= live_owners)
+    judged = candidates.join(ownership(candidates, "repository"), "secret").withColumn(
+        "live", (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories))
     base = F.col("kind").isin([k.name for k in KINDS if k.base])
     spans = judged.where(base | F.col("live")).groupBy("row").agg(
         F.collect_list(F.struct("start", _by_kind({n: i for i, n in enumerate(NAMES)}).alias("order"), "kind", "end", "live")).alias("spans"))
@@ -125,7 +136,7 @@ def _spans(scanned: DataFrame, live_owners: int) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", id_column: str = "doc_id", text: str = "text", owner: str = "source",
-             length: str | None = "n_chars") -> DataFrame:
+             length: str | None = "n_chars", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans become one mark.
 
     The texts are staged once with a row number, so that the spans of repeated rows go to their own row.
@@ -136,8 +147,8 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_column: str = "doc_id",
     found = F.concat(*[F.coalesce(_found(k), F.array().cast("array<struct<kind:string,i:int,gap:int,n:int,value:string>>")) for k in KINDS])
     scanned = written(staged.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), content(text).alias("text"),
                                     F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-                      .select("row", "doc_id", "owner", found.alias("found")), "scanned")
-    spans = _spans(scanned, 1).where(F.size("spans") > 0).select(
+                      .select("row", "doc_id", "owner", _repository(), found.alias("found")), "scanned")
+    spans = _spans(scanned, live_owners, live_repositories).where(F.size("spans") > 0).select(
         F.col("row").alias(row), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias(f"{OWN}spans"))
     body = F.col(text)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))

@@ -63,6 +63,20 @@ def test_ownership_counts_distinct_repositories_and_owners(spark):
     assert (got["s"]["repositories"], got["s"]["owners"], got["t"]["owners"]) == (3, 2, 1)
 
 
+def test_a_value_copied_all_over_one_source_is_an_example(spark):
+    copied, moved = LIVE[::-1], LIVE[5:] + LIVE[:5]
+    texts = [f"page {i} shows {copied}" for i in range(40)] + [f"whole copy {LIVE}"] * 40 + [f"{moved} {i}" for i in range(16)]
+    table = docs(spark, texts, sources=["a"] * 40 + ["b"] * 40 + [None] * 16)
+    got = by_id(ss.scan(table))
+    assert {got[i]["listed"] for i in range(40)} == {""}
+    # copies of one whole text are one repository
+    assert {got[i]["listed"] for i in range(40, 80)} == {"opaque:11:45"} and all(got[i]["n_live"] == 1 for i in range(40, 96))
+    assert {got[i]["listed"] for i in range(80, 96)} == {"opaque:0:34"}
+    assert {r["listed"] for r in rows(ss.scan(table, live_repositories=15)) if r["doc_id"] >= 80} == {""}
+    out = by_id(ss.redacted(table))
+    assert out[3]["text"] == texts[3] and out[41]["text"] == "whole copy [secret]"
+
+
 def test_redaction_takes_every_span_and_leaves_the_rest(spark):
     table = docs(spark, [f"é token = \"{HEX}\" end", "clean text", None, f"{HEX} {HEX}", f"{HEX} {HEX}"], [0, 1, None, 3, 3]).withColumns(
         {"row": F.lit(1), "spans": F.lit("s"), "owner": F.lit("o")})
