@@ -36,6 +36,8 @@ from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, r
 #: Groups of a count vector: a power of two, so that a group counts four shingles on average at most; LEAST at least.
 #: MOST in blocks, where a vector travels with each shingle; as many as it takes in clusters, where vectors stay.
 LEAST, MOST = 32, 256
+#: Count of a group that bounds nothing; two of them fit an unsigned 32-bit integer.
+ANY_COUNT = 1 << 30
 #: Members that a leaf of the R-tree holds.
 LEAF = 48
 #: Blocks up to this size are one leaf, whose pairs are bounded without a tree.
@@ -104,10 +106,13 @@ class Points:
         for size in np.unique(self.own).tolist():
             members = np.flatnonzero(self.own == size)
             matrix = np.frombuffer(b"".join([vectors[i] for i in members]), dtype=np.uint8).reshape(len(members), size).astype(np.uint16)
-            # a full byte stands for any count
-            matrix[(matrix == 255).all(axis=1)] = 1 << 14
+            # a full byte stands for any count: as large as any set, in wider integers where there is one
+            full = (matrix == 255).all(axis=1)
+            if full.any():
+                matrix = matrix.astype(np.uint32)
+                matrix[full] = ANY_COUNT
             found.setdefault(size, []).append((members, matrix))
-            found.setdefault(size // 2, []).append((members, matrix.reshape(len(members), size // 2, 2).sum(axis=2).astype(np.uint16)))
+            found.setdefault(size // 2, []).append((members, matrix.reshape(len(members), size // 2, 2).sum(axis=2).astype(matrix.dtype)))
         self.members, self.matrix, self.place = {}, {}, {}
         for size in np.unique(self.own).tolist():
             self.members[size] = np.concatenate([m for m, _ in found[size]])

@@ -121,6 +121,20 @@ def test_tree_keeps_every_pair_that_reaches_the_threshold():
     assert kept < len(sets) ** 2 / 4
 
 
+def test_full_vectors_bound_nothing_for_very_long_texts():
+    usual = np.full(256, 3, dtype=np.uint8).tobytes()
+    for n in (5_000_000, 900_000_000):
+        sizes = np.array([n, n, 700])
+        points = jj.Points([bytes([255]) * 256, bytes([255]) * 256, usual])
+        one, two = np.array([0, 0]), np.array([1, 2])
+        assert points.bound(one, two)[0] >= jj.least_overlap(sizes[0], sizes[1], 85) and points.bound(one, two)[1] == 768
+        tree = jj.Tree(sizes, points.matrix[256])
+        assert sorted(tree.partners(n, points.matrix[256][0], 85).tolist()) == [0, 1]
+        # also where the counts are folded to half as many groups
+        mixed = jj.Points([bytes([255]) * 256, bytes([255]) * 128])
+        assert mixed.bound(np.array([0]), np.array([1]))[0] >= jj.least_overlap(n, n, 85)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, 0, i, 0) for i in range(60)] + [(100, 1, 100, 2), (7, 0, 7, 0)], jj.EDGE)
     got = {(r["id"], r["mark"]): (r["root_id"], r["root_mark"]) for r in rows(jj.components(edges, "chain"))}
