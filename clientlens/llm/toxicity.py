@@ -1,4 +1,6 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by a weighted list of toxic words and word pairs.
+
+Not the class-conditional Kneser-Ney comparison: only ratios that lean to toxic are kept, without P(w|h) or backoff mass.
 
 A toxic and an ordinary model count words and word pairs, once per training document. Both discount and then back
 off to one shared lower order: Kneser-Ney continuation counts of the two classes together, how many different
