@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, merkle_manifest, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_lm_scoring": interpolated_lm.op8_lm_scoring,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
