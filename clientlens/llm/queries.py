@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from clientlens.llm import bpe, exact_dedup, interpolated_lm, jaccard_join, merkle_manifest, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from clientlens.llm import (
+    bpe, exact_dedup, interpolated_lm, jaccard_join, merkle_manifest, packing, periodic_runs, quality_classifier, quality_rules, secret_scan,
+    substring_dedup, toxicity)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,10 +17,12 @@ QUERIES = {
     "op8_lm_scoring": interpolated_lm.op8_lm_scoring,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
