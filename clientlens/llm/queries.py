@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from clientlens.llm import (
-    bpe, exact_dedup, interpolated_lm, jaccard_join, merkle_manifest, packing, periodic_runs, quality_classifier, quality_rules, secret_scan,
-    substring_dedup, toxicity)
+    bpe, exact_dedup, interpolated_lm, jaccard_join, merkle_manifest, packing, passage_dedup, periodic_runs, quality_classifier, quality_rules,
+    secret_scan, substring_dedup, toxicity)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,10 +19,12 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_passage_dedup": passage_dedup.op13_passage_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
+    "op13_passage_dedup": passage_dedup.OP13_SQL,
 }
