@@ -137,7 +137,7 @@ def _(c: Context):
 
 @query("j14_lateral_unnest", "SELECT deviceId, package_name, first_install_time FROM app_rows")
 def _(c: Context):
-    return dv.installed_apps(standins.device_apps(c.role("device_rows")))
+    return dv.installed_apps(standins.device_apps(c.role("device_rows"))).select("deviceId", "package_name", "first_install_time")
 
 
 @query("j15_frame_merge", """

@@ -38,7 +38,7 @@ def save_typed(df: DataFrame, schema: T.StructType, table: str, mode: str = "ove
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header and doubled quotes; a line break in a field is quoted (see ``readers.read_csv``).
 
-    CSV does not tell an empty text from a missing one: both are read as NULL.
+    A missing value is a bare empty field, an empty text a quoted one, so that both come back as they were.
     """
     df.write.mode(mode).options(**CSV_DIALECT).csv(path)
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clientlens.operators.sinks import CSV_DIALECT
 
+#: A text that no file holds: with the default, Spark reads a quoted empty field as NULL.
+NO_TEXT = "\\N"
+
 
 class Tables:
     """Parquet tables of one folder, read by name: ``Tables(spark, dir).orders``."""
@@ -30,11 +33,12 @@ class Tables:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
     """CSV with a header and a declared schema; a line that does not fit it is an error.
 
+    An empty field is NULL when it is bare and an empty text when it is quoted, as ``sinks.write_csv`` writes them.
     Files whose fields hold line breaks need ``line_breaks``, which reads each file in one task; large tables
     with such texts belong in parquet.
     """
     return (spark.read.schema(schema).options(**CSV_DIALECT, mode="FAILFAST", multiLine=line_breaks)
-            .option("enforceSchema", False).csv(path))
+            .option("enforceSchema", False).option("nullValue", NO_TEXT).option("emptyValue", "").csv(path))
 
 
 def rename_map(sheet: DataFrame, old: str, new: str, columns: Sequence[str]) -> dict[str, str]:
