@@ -239,13 +239,14 @@ def strongest(runs: Column) -> Column:
 
 def repeating(docs: DataFrame) -> DataFrame:
     """A tenth of the texts with their end made periodic, as the query's contract states."""
-    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    words = F.filter(F.split(content("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    g, n = F.floor(h / 10), F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(words, lambda _, i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")])
-    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    words = F.when(chosen, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    g, n, a, p = F.floor(F.col("h") / 10), F.size("words"), F.col("a"), F.col("p")
+    rows = rows.withColumn("words", words).withColumn("a", (g % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), times)), F.lit(1), n - a)
+    return rows.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
