@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clientlens.params import Params
-from clientlens.session import scratch_path, tune
+from clientlens.session import scratch_path, tune, written
 from clientlens.sources import standins
 from clientlens.sources.readers import Tables
 
-PARAMS = replace(Params(), balance_rank=3)
+PARAMS = Params()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +32,8 @@ class Context:
         self.tables = Tables(spark, folder)
         self.p = PARAMS
         self.roles: dict[str, DataFrame] = {}
+        self.stages: dict[str, DataFrame] = {}
+        self.staging = False
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -44,6 +45,14 @@ class Context:
             self.roles[name] = DERIVED[name](self) if name in DERIVED else standins.role(self.tables, name)
         return self.roles[name]
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several plans of a query use: stored once where the query asks for it (``staging``), else lazy."""
+        if not self.staging:
+            return build()
+        if name not in self.stages:
+            self.stages[name] = written(build(), name)
+        return self.stages[name]
+
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 

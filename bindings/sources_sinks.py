@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F, types as T
 
 from bindings.registry import Context, query
-from clientlens.operators import sinks
+from clientlens.operators import sinks, stores
 from clientlens.operators.reshape import rename_by_map
 from clientlens.plans import flags as fl
+from clientlens.plans.cohort import cohort
 from clientlens.sources import readers
 
 
@@ -113,18 +115,21 @@ def _(c: Context):
 
 @query("k3_drop_and_create", TYPED_MART)
 def _(c: Context):
-    path = c.scratch("replaced")
-    _mart(c).filter("n_orders > 5").write.parquet(path)
-    sinks.write_typed(_mart(c), MART_SCHEMA, path)
-    return c.spark.read.parquet(path)
+    """A table with another schema, replaced in one step."""
+    name, folder = f"replaced_{uuid.uuid4().hex}", c.scratch("replaced")
+    old = _mart(c).select("customer_id", F.lit("old").alias("remark"))
+    stores.publish(old, T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("remark", T.StringType())]), name, folder)
+    stores.publish(_mart(c), MART_SCHEMA, name, folder)
+    return c.spark.table(name)
 
 
 @query("k4_truncate_load", TYPED_MART)
 def _(c: Context):
-    path = c.scratch("truncated")
-    for _ in range(2):
-        sinks.write_typed(_mart(c), MART_SCHEMA, path)
-    return c.spark.read.parquet(path)
+    """The rows replaced, the declared columns kept."""
+    name, folder = f"truncated_{uuid.uuid4().hex}", c.scratch("truncated")
+    stores.publish(_mart(c).filter("n_orders > 5"), MART_SCHEMA, name, folder)
+    stores.reload(_mart(c), name, folder)
+    return c.spark.table(name)
 
 
 @query("k5_append_load", f"{TYPED_MART} UNION ALL {TYPED_MART}")
@@ -138,12 +143,10 @@ def _(c: Context):
 @query("k6_daily_snapshot", """
     SELECT cust_id, kyc_status, onboarding_date, day_120, day_150 FROM cohort""")
 def _(c: Context):
-    from clientlens.plans.cohort import cohort
-    path = c.scratch("snapshot")
-    people = cohort(c.role("customers"), c.p)
-    day = people.filter(F.col("onboarding_date") == F.lit("1997-03-04").cast("date"))
-    sinks.write_snapshot(people, path, ["onboarding_date"])
-    sinks.write_snapshot(day, path, ["onboarding_date"])  # a rerun replaces its own day only
+    """Filed up to a day, then again with all customers: the second run computes and files the later days only."""
+    path, people = c.scratch("snapshot"), c.role("customers")
+    for source in (people.filter(F.col("created_dt") < F.lit("1998-03-01").cast("timestamp_ntz")), people, people):
+        sinks.refresh_snapshot(source, "created_dt", "created_dt", lambda rows: cohort(rows, c.p), path, "onboarding_date")
     return c.spark.read.parquet(path).select("cust_id", "kyc_status", "onboarding_date", "day_120", "day_150")
 
 

@@ -22,19 +22,26 @@ def daily_counts(facts: DataFrame, key: str, streams: Mapping[str, tuple[Column,
             .agg(*[F.count(F.when(F.col("_stream") == n, 1)).alias(f"_n_{n}") for n in streams]))
 
 
+def inside(day: Column, low: Column, high: Column, closed: str = "both") -> Column:
+    """Whether a day lies in an interval whose ends belong to it as ``closed`` says: both, left, right or neither."""
+    if closed not in ("both", "left", "right", "neither"):
+        raise ValueError(f"closed: {closed!r}")
+    return ((day >= low) if closed in ("both", "left") else (day > low)) & ((day <= high) if closed in ("both", "right") else (day < high))
+
+
 def window_counts(spine: DataFrame, facts: DataFrame, key: str, fact_key: str,
                   streams: Mapping[str, tuple[Column, Column]],
-                  windows: Mapping[str, tuple[str, Column, Column]]) -> DataFrame:
+                  windows: Mapping[str, tuple[str, Column, Column] | tuple[str, Column, Column, str]]) -> DataFrame:
     """Per spine key, the facts of a stream dated inside windows of the spine row.
 
-    ``windows`` maps an output name to (stream, low, high), both ends inclusive. The spine must be
-    unique on its key, so that the join repeats neither side; keys without facts are absent.
+    ``windows`` maps an output name to (stream, low, high) or (stream, low, high, closed), see ``inside``. The spine must
+    be unique on its key, so that the join repeats neither side; keys without facts are absent.
     """
-    bounds = spine.select(key, *[c.alias(f"_{side}_{n}") for n, (_, low, high) in windows.items() for side, c in (("lo", low), ("hi", high))])
+    bounds = spine.select(key, *[c.alias(f"_{side}_{n}") for n, (_, low, high, *_) in windows.items() for side, c in (("lo", low), ("hi", high))])
     daily = daily_counts(facts, fact_key, streams)
     return (daily.join(bounds, daily["_fact_key"] == bounds[key]).groupBy(key)
-            .agg(*[F.sum(F.when(F.col("_day").between(F.col(f"_lo_{n}"), F.col(f"_hi_{n}")), F.col(f"_n_{stream}"))).alias(n)
-                   for n, (stream, _, _) in windows.items()]))
+            .agg(*[F.sum(F.when(inside(F.col("_day"), F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), *closed), F.col(f"_n_{stream}"))).alias(n)
+                   for n, (stream, _, _, *closed) in windows.items()]))
 
 
 def with_counts(spine: DataFrame, counts: DataFrame, key: str) -> DataFrame:
@@ -62,25 +69,36 @@ def count_on_or_after(left: DataFrame, facts: DataFrame, keys: Sequence[str], le
             .withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint")).drop("_day"))
 
 
+#: Microseconds of the finer and of the coarser steps into which time falls: 31,250 microseconds make one, 32,000 of these
+#: a coarser one (1000 seconds), and 31,536 of those a year, so that no window holds more than about so many rows.
+FINE_STEP, FINE_STEPS = 31_250, 32_000
+
+
 def exact_counts_at_or_after(times: DataFrame, keys: Sequence[str], time: str, hits: str,
                              name: str, total: str) -> DataFrame:
     """Running total of ``hits`` from the end, on a frame with one row per key and timestamp.
 
-    Totals are built per minute of a key and per timestamp inside the minute, so a window holds at
-    most the minutes of the observed period or the timestamps of one minute, never the rows of a
-    key. ``total`` is the sum over the whole key.
+    Totals are built on three levels: coarse steps of a key, fine steps of a coarse one, timestamps of a fine
+    one. Each level is the partial sum of the one below, added up before its shuffle, and each window runs over one level of
+    one group, so neither a key with a long history nor one with a million events in a minute is ever one window's
+    rows. ``total`` is the sum over the whole key. ``time`` is a timestamp without time zone and not NULL.
     """
-    rows = times.withColumn("_minute", F.date_trunc("minute", time).cast("timestamp_ntz"))
-    of_key = W.partitionBy(*keys)
-    later = of_key.orderBy(F.desc("_minute")).rowsBetween(W.unboundedPreceding, -1)
-    minutes = (rows.groupBy(*keys, "_minute").agg(F.sum(hits).alias("_m"))
-               .withColumns({total: F.sum("_m").over(of_key), "_after": F.coalesce(F.sum("_m").over(later), F.lit(0))})
-               .drop("_m"))
-    inside = W.partitionBy(*keys, "_minute").orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (rows.withColumn("_inside", F.sum(hits).over(inside))
-            .join(minutes, [*keys, "_minute"])
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
+    rows = times.withColumn("_fine", F.floor(micros / FINE_STEP)).withColumn("_coarse", F.floor(F.col("_fine") / FINE_STEPS))
+
+    def later(column: str, group: Sequence[str], order: str) -> Column:
+        window = W.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    fine = rows.groupBy(*keys, "_coarse", "_fine").agg(F.sum(hits).alias("_hits"))
+    coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_hits").alias("_hits"))
+    coarse = coarse.select(*keys, "_coarse", later("_hits", keys, "_coarse").alias("_after_coarse"), F.sum("_hits").over(W.partitionBy(*keys)).alias(total))
+    fine = (fine.withColumn("_after_fine", later("_hits", [*keys, "_coarse"], "_fine")).join(coarse, [*keys, "_coarse"])
+            .select(*keys, "_coarse", "_fine", (F.col("_after_fine") + F.col("_after_coarse")).alias("_after"), total))
+    return (rows.withColumn("_inside", later(hits, [*keys, "_coarse", "_fine"], time) + F.col(hits))
+            .join(fine, [*keys, "_coarse", "_fine"])
             .withColumn(name, (F.col("_inside") + F.col("_after")).cast("bigint"))
-            .drop("_minute", "_inside", "_after"))
+            .drop("_coarse", "_fine", "_inside", "_after"))
 
 
 def as_of_cutoff(spine: DataFrame, facts: DataFrame, key: str, date: str, cutoff: str, how: str = "inner") -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clientlens.functions.scalars import on_or_between, text_key
-from clientlens.operators.dedupe import first_per_key, nth_per_key
+from clientlens.operators.dedupe import first_per_key, nth_per_key_by_day
 from clientlens.params import Params
 
 LOAN_FREE_DAYS = 90
 
 
 def nth_day_balance(balances: DataFrame, p: Params, tiebreak: tuple[str, ...] = ()) -> DataFrame:
-    """The n-th daily balance of each account, kept when it reaches the minimum."""
-    nth = nth_per_key(balances, ["client_id", "accountid"],
-                      [F.asc("balancedateasof"), *[F.asc(c) for c in tiebreak]], p.balance_rank)
+    """The n-th balance of each account, kept when it reaches the minimum."""
+    nth = nth_per_key_by_day(balances, ["client_id", "accountid"], F.to_date("balancedateasof"),
+                             [F.asc("balancedateasof"), *[F.asc(c) for c in tiebreak]], p.balance_rank)
     return nth.filter(F.col("clearedbalance") >= p.min_balance).select(
         "client_id", "accountid", "balancedateasof", "clearedbalance")
 

@@ -46,6 +46,9 @@ DEMOGRAPHIC_FIELDS = [
 ]
 DEMOGRAPHIC_SCHEMA = T.StructType([
     T.StructField(n if n == "cust_id" else f"de_{n}", t) for n, t in DEMOGRAPHIC_FIELDS])
+#: What the snapshot is joined with education by again: everything but the flags, the rank and education itself.
+SNAPSHOT_COLUMNS = tuple(f.name for f in DEMOGRAPHIC_SCHEMA if f.name.removeprefix("de_") not in (
+    "educationdataflag", "clientdemographicflag", "cdd_flag", "locationdfflag", "loandfFlag", "rnk", "education_id", "Education_Type"))
 
 
 def highest_education(education: DataFrame, lookup: DataFrame, loans: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -191,3 +194,13 @@ def demographic_details(customers: DataFrame, profiles: DataFrame, funds: DataFr
 def publish(snapshot: DataFrame) -> DataFrame:
     """Prefix the columns and put them in the published order."""
     return snapshot.select(*[F.col(n).cast(t).alias(n if n == "cust_id" else f"de_{n}") for n, t in DEMOGRAPHIC_FIELDS]).distinct()
+
+
+def with_latest_education(published: DataFrame, top: DataFrame) -> DataFrame:
+    """The published snapshot without repeated rows, with every education at its customer's highest level.
+
+    ``top`` is ``highest_education_with_ties``; two names at the highest level give two rows.
+    """
+    levels = top.select(F.col("customerId").cast("string").alias("cust_id"), F.col("education_id").alias("de_education_id"),
+                        F.col("Education_Type").alias("de_Education_Type"))
+    return published.select(*SNAPSHOT_COLUMNS).distinct().join(levels, "cust_id", "left")

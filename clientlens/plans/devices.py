@@ -89,8 +89,13 @@ def device_packages(apps: DataFrame, devices: DataFrame) -> DataFrame:
             .agg(F.min("first_install_time").alias("first_install_time")))
 
 
-def device_snapshot(devices: DataFrame, dump: DataFrame, apps: DataFrame, p: Params) -> DataFrame:
-    """Distinct device attributes dumped on or before the cutoff, for devices with any app.
+def equipped(apps: DataFrame) -> DataFrame:
+    """Devices with any app. Those of ``device_packages`` are the tracked ones among them."""
+    return apps.filter(F.size("Application") > 0).select("deviceId")
+
+
+def device_snapshot(devices: DataFrame, dump: DataFrame, with_apps: DataFrame, p: Params) -> DataFrame:
+    """Distinct device attributes dumped on or before the cutoff, for devices that are in ``with_apps``.
 
     The cutoff belongs to the join with the dump: a customer whose dumps are all later keeps a row.
     """
@@ -99,8 +104,7 @@ def device_snapshot(devices: DataFrame, dump: DataFrame, apps: DataFrame, p: Par
         F.col("deviceId").alias("_dumped"), "run_date", "GeneralInfo.brand", "Hardware.device__brand",
         "Hardware.device__manufacturer", "Hardware.device__model", "GeneralData.telephony_info__network_operator_name",
         "GeneralData.telephony_info__network_operator", "GeneralData.sim_operator_name")
-    equipped = apps.filter(F.size("Application") > 0).select("deviceId").distinct()
-    mine = devices.join(equipped, "deviceId", "left_semi")
+    mine = devices.join(with_apps.select("deviceId"), "deviceId", "left_semi")
     joined = mine.join(flat, (mine["deviceId"] == F.col("_dumped")) & (F.to_date("run_date") <= cutoff), "left")
     return joined.drop("_dumped", "deviceId").distinct()
 

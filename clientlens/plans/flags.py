@@ -36,12 +36,13 @@ FLAG_SCHEMA = T.StructType([
         "tx_FSPD30_4m", "npl", "tx_FSPD30_5m", "fspd304m", "fspd305m")]])
 
 
-def flag_inputs(people: DataFrame, first: DataFrame, moves: DataFrame, loans: DataFrame, balances: DataFrame, p: Params) -> DataFrame:
+def flag_inputs(people: DataFrame, first: DataFrame, moves: DataFrame, loans: DataFrame, balances: DataFrame, p: Params, closed: str = "both") -> DataFrame:
     """What the flags are decided on, one row per registered customer.
 
     ``first`` holds the first product, ``moves`` one row per classified transaction, ``balances`` the known balances
     on both observation days. The two windows of transactions are the month up to the first day and the time
-    between both; a loan that is not over counts from its disbursement on.
+    between both; a loan that is not over counts from its disbursement on. All loan counts come with them, from the same
+    pass over the loans. ``closed`` names the ends that belong to the windows between both days: ``right`` leaves the first day out.
     """
     start = F.to_date("registration_date")
     near, far = (F.date_add(start, n) for n in p.offsets)
@@ -49,29 +50,29 @@ def flag_inputs(people: DataFrame, first: DataFrame, moves: DataFrame, loans: Da
              .join(first.select("customer_id", F.col("first_product").alias("tx_first_product")), "customer_id", "left"))
     moved = window_counts(spine, moves, "customer_id", "customer_id", streams={"moved": (F.col("transaction_date"), F.lit(True))},
                           windows={"tx_cnt_total_transactions_bw_3m_and_4m": ("moved", F.date_add(start, p.offsets[0] - MONTH), near),
-                                   "tx_cnt_total_transactions_bw_4m_and_5m": ("moved", near, far)})
-    ever = F.lit("1900-01-01").cast("date")
-    owed = window_counts(loan_keyed(spine), loans, "_loan_key", "customerId",
-                         streams={"active": (F.col("disbursementdatetime"), ~F.col("applicationStatus").isin(*OVER))},
-                         windows={"tx_cnt_active_loans_end_4m": ("active", ever, near), "tx_cnt_active_loans_end_5m": ("active", ever, far)})
-    counted = with_counts(loan_keyed(with_counts(spine, moved, "customer_id")), owed, "_loan_key").drop("_loan_key")
+                                   "tx_cnt_total_transactions_bw_4m_and_5m": ("moved", near, far, closed)})
+    counted = with_counts(loan_keyed(with_counts(spine, moved, "customer_id")), loan_counts(spine, loans, p, closed), "_loan_key").drop("_loan_key")
     return counted.join(balances, "customer_id", "left")
 
 
-def active(mart_suffix: str, transactions: str, with_balance: bool = True) -> Column:
-    """Recent transaction or enough balance, and no active loan. Unknown balance is not enough."""
+def active(mart_suffix: str, transactions: str, with_balance: bool = True, unknown: float | None = None) -> Column:
+    """Recent transaction or enough balance, and no active loan.
+
+    One unknown balance makes the sum unknown, which is not enough; ``unknown`` is what it counts as instead.
+    """
     no_loan = F.col(f"tx_cnt_active_loans_end_{mart_suffix}") == 0
     result = (F.col(transactions) >= 1) & no_loan
     if with_balance:
-        held = F.col(f"tx_tsa_balance_{mart_suffix}") + F.col(f"tx_stash_balance_{mart_suffix}")
-        result = result | ((held >= ACTIVE_BALANCE) & no_loan)
+        parts = [F.col(f"tx_{kind}_balance_{mart_suffix}") for kind in ("tsa", "stash")]
+        tsa, stash = parts if unknown is None else [F.coalesce(c, F.lit(unknown)) for c in parts]
+        result = result | ((tsa + stash >= ACTIVE_BALANCE) & no_loan)
     return result
 
 
-def active_flags(mart: DataFrame, with_balance: bool = True) -> DataFrame:
+def active_flags(mart: DataFrame, with_balance: bool = True, unknown: float | None = None) -> DataFrame:
     return mart.withColumns({
-        "tx_mau4m_active": flag(active("4m", "tx_cnt_total_transactions_bw_3m_and_4m", with_balance)),
-        "tx_mau5m_active": flag(active("5m", "tx_cnt_total_transactions_bw_4m_and_5m", with_balance))})
+        "tx_mau4m_active": flag(active("4m", "tx_cnt_total_transactions_bw_3m_and_4m", with_balance, unknown)),
+        "tx_mau5m_active": flag(active("5m", "tx_cnt_total_transactions_bw_4m_and_5m", with_balance, unknown))})
 
 
 def eligible(products: Sequence[str], condition: Column) -> Column:
@@ -88,49 +89,51 @@ def loan_keyed(mart: DataFrame) -> DataFrame:
     return mart.withColumn("_loan_key", number_key(F.col("customer_id")))
 
 
-def loan_counts(mart: DataFrame, loans: DataFrame, p: Params) -> DataFrame:
-    """Applications up to the first offset and between both, cash-loan approvals between both.
+def loan_counts(mart: DataFrame, loans: DataFrame, p: Params, closed: str = "both") -> DataFrame:
+    """Every count of a customer's loans, from one pass over them and one grouping.
 
-    Both windows include the first offset day. One pass over the loans serves all counts.
+    Loans that are not over by the day of disbursement up to each offset, applications up to the first offset and between
+    both, cash-loan approvals between both, and cash loans that were ever non-performing. The first window includes
+    the first offset day, ``closed`` says which ends the second one includes.
     """
-    start = F.to_date("registration_date")
+    start, ever = F.to_date("registration_date"), F.lit("1900-01-01").cast("date")
     near, far = F.date_add(start, p.offsets[0]), F.date_add(start, p.offsets[1])
-    approved = (F.col("flagApproval") == 1) & F.col("new_loan_type").isin(*CASH_LOANS)
+    cash = F.col("new_loan_type").isin(*CASH_LOANS)
     return window_counts(
         loan_keyed(mart), loans, "_loan_key", "customerId",
-        streams={"applied": (F.col("startApplyDateTime"), F.lit(True)), "approved": (F.col("approvedDateTime"), approved)},
-        windows={"submittedappliction4m": ("applied", start, near), "submittedappliction5m": ("applied", near, far),
-                 "approved5m": ("approved", near, far)})
+        streams={"active": (F.col("disbursementdatetime"), ~F.col("applicationStatus").isin(*OVER)),
+                 "applied": (F.col("startApplyDateTime"), F.lit(True)),
+                 "approved": (F.col("approvedDateTime"), (F.col("flagApproval") == 1) & cash),
+                 "npl": (ever, (F.col("Max_Ever_DPD") >= NPL_DAYS) & cash)},
+        windows={"tx_cnt_active_loans_end_4m": ("active", ever, near), "tx_cnt_active_loans_end_5m": ("active", ever, far),
+                 "submittedappliction4m": ("applied", start, near), "submittedappliction5m": ("applied", near, far, closed),
+                 "approved5m": ("approved", near, far, closed), "npl": ("npl", ever, ever)})
 
 
 def default_counts(mart: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params) -> DataFrame:
     """Rows of loan, bucket and delinquency on the two observation days.
 
-    Bad cash loans of the mart's customers give the (loan, day) pairs that matter; only their buckets are counted.
-    The number of joined rows is the product of the tables' counts per loan.
+    The (loan, day) pairs of the mart's customers with cash loans filter both other tables before anything is added up:
+    first delinquency by loan, then the buckets by loan and day of the bad ones. The number of joined rows is the
+    product of the tables' counts per loan.
     """
-    cash = (loans.filter(F.col("new_loan_type").isin(*CASH_LOANS)).groupBy("customerId", "loanAccountNumber")
-            .agg(F.count("*").alias("_loans")))
-    bad = (delinquency.filter(F.col("min_inst_def30").isin(*DEFAULTED)).groupBy("loanAccountNumber")
-           .agg(F.count("*").alias("_bad")))
     start = F.to_date("registration_date")
     names = ("fspd304m", "fspd305m")
     days = F.array(*[F.struct(F.lit(name).alias("_name"), F.date_add(start, n).alias("bucketDate")) for name, n in zip(names, p.offsets, strict=True)])
     spine = loan_keyed(mart).select("_loan_key", days.alias("_days"))
-    owed = bad.join(cash, "loanAccountNumber").withColumnRenamed("customerId", "_loan_key")
-    pairs = (owed.join(spine, "_loan_key").select("_loan_key", "loanAccountNumber", (F.col("_loans") * F.col("_bad")).alias("_weight"), F.inline("_days")))
+    cash = (loans.filter(F.col("new_loan_type").isin(*CASH_LOANS)).groupBy(F.col("customerId").alias("_loan_key"), "loanAccountNumber")
+            .agg(F.count("*").alias("_loans")))
+    owed = cash.join(spine, "_loan_key")
+    bad = (delinquency.filter(F.col("min_inst_def30").isin(*DEFAULTED)).join(owed.select("loanAccountNumber"), "loanAccountNumber", "left_semi")
+           .groupBy("loanAccountNumber").agg(F.count("*").alias("_bad")))
+    pairs = (owed.join(bad, "loanAccountNumber")
+             .select("_loan_key", "loanAccountNumber", (F.col("_loans") * F.col("_bad")).alias("_weight"), F.inline("_days")))
     keys = ["loanAccountNumber", "bucketDate"]
-    seen = buckets.join(pairs.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_seen"))
+    seen = buckets.join(pairs.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_seen"))
     return (pairs.join(seen, keys).groupBy("_loan_key").agg(
         *[F.sum(F.when(F.col("_name") == n, F.col("_weight") * F.col("_seen"))).alias(n) for n in names]))
 
 
-def bad_loan_counts(loans: DataFrame) -> DataFrame:
-    """Cash loans that were ever non-performing, per customer."""
-    bad = (F.col("Max_Ever_DPD") >= NPL_DAYS) & F.col("new_loan_type").isin(*CASH_LOANS)
-    return loans.filter(bad).groupBy(F.col("customerId").alias("_loan_key")).agg(F.count("*").alias("npl"))
-
-
 def loan_flags(df: DataFrame, products: Sequence[str] = LOAN_PRODUCTS) -> DataFrame:
     four, five = F.col("tx_mau4m_active") == 1, F.col("tx_mau5m_active") == 1
     return df.withColumns({
@@ -148,10 +151,11 @@ def default_flags(df: DataFrame) -> DataFrame:
 
 def all_flags(mart: DataFrame, loans: DataFrame, buckets: DataFrame, delinquency: DataFrame, p: Params,
               products: Sequence[str] = LOAN_PRODUCTS) -> DataFrame:
-    """Every flag and count, one row per customer of the mart, in the published order."""
-    df = loan_keyed(churn_flags(active_flags(mart)))
-    for counts in (loan_counts(mart, loans, p), default_counts(mart, loans, buckets, delinquency, p), bad_loan_counts(loans)):
-        df = with_counts(df, counts, "_loan_key")
+    """Every flag and count, one row per customer of the mart, in the published order.
+
+    The mart is that of ``flag_inputs``, which holds all loan counts but those of defaults.
+    """
+    df = with_counts(loan_keyed(churn_flags(active_flags(mart))), default_counts(mart, loans, buckets, delinquency, p), "_loan_key")
     return default_flags(loan_flags(df, products)).select(*FLAG_SCHEMA.fieldNames())
 
 

@@ -8,6 +8,7 @@ from clientlens.functions.rules import all_matches, first_match
 from clientlens.functions.scalars import contains, lacks
 from clientlens.operators.condagg import distinct_counts, min_if_any
 from clientlens.operators.gaps import day_gap_stats
+from clientlens.operators.skew import salted_join
 from clientlens.params import Params
 from clientlens.plans.cohort import registered
 
@@ -24,18 +25,29 @@ NET_CASH_OUT = "Net Cash Out"
 SENTINEL_DATE = "9999-12-31"
 
 
-def cohort_transactions(transactions: DataFrame, accounts: DataFrame, customers: DataFrame, p: Params) -> DataFrame:
+def successful(transactions: DataFrame, p: Params) -> DataFrame:
+    """Successful transactions in the observation window."""
+    return transactions.filter(
+        F.col("transaction_date").between(F.lit(p.obs_from).cast("date"), F.lit(p.obs_to).cast("date"))
+        & (F.col("status") == "Success"))
+
+
+def cohort_transactions(transactions: DataFrame, accounts: DataFrame, customers: DataFrame, p: Params,
+                        heavy: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """Successful transactions in the observation window on known accounts of registered customers.
 
     Accounts meet their customers first, so that transactions are shuffled once, by customer and
-    account, and a heavy customer is spread over its accounts.
+    account, and a heavy customer is spread over its accounts. A main account may hold nearly all transactions of
+    its customer: ``heavy`` (``skew.heavy_keys`` of the transactions by customer and account) names such accounts, and their
+    transactions are dealt out over ``salts`` partitions. Without it Spark splits them at run time, where they are large.
     """
-    wanted = transactions.filter(
-        F.col("transaction_date").between(F.lit(p.obs_from).cast("date"), F.lit(p.obs_to).cast("date"))
-        & (F.col("status") == "Success"))
+    key = ["customer_id", "accountid"]
     owned = accounts.select(F.col("ubcustomercode").alias("customer_id"), "accountid", "opendate", "closed", "productid")
     people = registered(customers, p).withColumnRenamed("cust_id", "customer_id")
-    return wanted.join(owned.join(people, "customer_id"), ["customer_id", "accountid"])
+    theirs = owned.join(people, "customer_id")
+    if heavy is None:
+        return successful(transactions, p).join(theirs, key)
+    return salted_join(successful(transactions, p), theirs, key, heavy, salts)
 
 
 def outgoing(p: Params) -> dict[str, Column]:

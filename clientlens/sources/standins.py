@@ -100,6 +100,13 @@ ROLE_SQL = {
                l_shipdate AS balancedateasof, l_linenumber AS line_no, l_partkey AS part_no,
                CASE WHEN l_discount > 0.05 THEN cast(l_quantity as decimal(18,2)) ELSE cast(l_extendedprice as decimal(18,2)) END AS clearedbalance
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # three balances for each line, a week apart: an account has about 120 of them
+    "balance_history": """
+        SELECT cast(o_custkey as string) AS client_id, '7' || cast(o_custkey as string) AS accountid,
+               l_shipdate + interval '1' day * shift AS balancedateasof, l_orderkey * 1000 + l_linenumber * 100 + shift AS entry_no, l_partkey AS part_no,
+               CASE WHEN l_discount > 0.05 THEN cast(l_quantity as decimal(18,2)) ELSE cast(l_extendedprice as decimal(18,2)) END AS clearedbalance
+        FROM (SELECT *, 0 AS shift FROM {lineitem} UNION ALL SELECT *, 7 FROM {lineitem} UNION ALL SELECT *, 14 FROM {lineitem}) l
+             JOIN {orders} ON l_orderkey = o_orderkey""",
     "loans": """
         SELECT o_custkey AS customerId, 'DL' || cast(o_orderkey as string) AS digitalLoanAccountId,
                'LN' || cast(o_orderkey as string) AS loanAccountNumber,

@@ -17,7 +17,8 @@ def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("clientlens-tests")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch"))).getOrCreate())
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
+               .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
     session.stop()
