@@ -44,7 +44,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clientlens.llm.common import arrow_step, content, documents, pieces, raw, scratch_path, written
 
 #: Bytes of text in a block, and how many blocks are handed to Python at a time.
-BLOCK_BYTES, BLOCKS_AT_ONCE = 4 << 20, 4
+BLOCK_BYTES, BLOCKS_AT_ONCE = 2 << 20, 4
+#: Parts into which the blocks of one writing task fall, so that buckets are about equally full.
+PARTS = 4
 #: A block reports grams that are this part of all its grams; so many of the most frequent are anchors of last resort.
 FREQUENT_PART, FREQUENT = 4096, 4096
 LEAST_ID = -(2**63)
@@ -78,15 +80,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: A number for each byte value; words of more bytes than LONG_WORD are hashed one by one.
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
+LONG_WORD = 64
+#: Bytes whose words are hashed at a time, and powers of an odd number and of its inverse modulo 2^64 for so many.
+STRETCH = 1 << 17
+_UP, _DOWN = (np.cumprod(np.append(np.uint64(1), np.full(STRETCH, base, dtype=np.uint64))) for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, never 0, and how many words each text has."""
+    """Hashes of the words of all texts, never 0, and how many words each text has.
+
+    A word is a polynomial in its bytes, read off the running sum over the bytes of a stretch of words.
+    """
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     words = split.flatten()
     real = pc.greater(pc.binary_length(words), 0)
     counts = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[np.asarray(split.offsets) - split.offsets[0].as_py()])
-    coded = words.filter(real).dictionary_encode()
-    names = np.fromiter(map(xxhash.xxh3_64_intdigest, raw(coded.dictionary)), dtype=np.uint64, count=len(coded.dictionary))
-    return np.maximum(names, np.uint64(1))[coded.indices.to_numpy(zero_copy_only=False)], counts
+    words = words.filter(real)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64, count=len(words) + 1 + words.offset)[words.offset:] if len(words) else np.zeros(1, dtype=np.int64)
+    body = np.frombuffer(data, dtype=np.uint8, count=int(ends[-1]))[ends[0]:] if len(words) else np.zeros(0, dtype=np.uint8)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    hashes = sizes.astype(np.uint64)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STRETCH, side="right")) - 1)
+        at = ends[first:last + 1] - ends[first]
+        if at[-1] <= STRETCH:
+            sums = np.append(np.uint64(0), np.cumsum(_BYTES[body[ends[first]:ends[last]]] * _UP[:at[-1]]))[at]
+            hashes[first:last] += (sums[1:] - sums[:-1]) * _DOWN[at[:-1]]
+        first = last
+    hashes = _mixed(hashes)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(body[ends[i]:ends[i + 1]].tobytes())
+    return np.maximum(hashes, np.uint64(1)), counts
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -103,8 +132,12 @@ def find_runs(words: np.ndarray, counts: np.ndarray, shape: Shape, frequent: np.
     grams = gram_hashes(words, shape.gram)
     order = grams >> np.uint64(1)
     if len(frequent) and n:
-        place = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        order |= (frequent[place] == grams).astype(np.uint64) << np.uint64(63)
+        # only grams that share their first 16 bits with a frequent one are looked up
+        starts = np.zeros(1 << 16, dtype=bool)
+        starts[frequent >> np.uint64(48)] = True
+        maybe = np.flatnonzero(starts[grams >> np.uint64(48)])
+        place = np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)
+        order[maybe[frequent[place] == grams[maybe]]] |= np.uint64(1 << 63)
     least, at = order[:n].copy(), np.arange(n)
     for k in range(1, shape.reach + 1):
         ahead = order[k:k + n]
@@ -163,18 +196,18 @@ def _few_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
 class Blocks:
     """Texts in blocks of about ``BLOCK_BYTES``, one row each: part, seq, ids, doc_ids, texts, frequent.
 
-    The table is bucketed by the partition that wrote a block, so rows for a partition reach its blocks while the texts
-    stay where they are.
+    A part is a share of what one task wrote. The table is bucketed by part, so rows for a part reach its blocks while the
+    texts stay where they are.
     """
 
     def __init__(self, docs: DataFrame, shape: Shape, id_column: str, text: str):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, seq = TaskContext.get().partitionId(), 0
+            task, seq = TaskContext.get().partitionId(), 0
             for batch in pieces(batches, BLOCK_BYTES):
                 grams, times = np.unique(gram_hashes(word_hashes(batch["text"])[0], shape.gram), return_counts=True)
                 often = times * FREQUENT_PART >= times.sum()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch["doc_id"]], pa.list_(pa.int64())),
+                    [pa.array([task * PARTS + seq % PARTS], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch["doc_id"]], pa.list_(pa.int64())),
                      pa.array([batch["text"]], pa.list_(pa.string())),
                      pa.array([[{"gram": g, "times": t} for g, t in zip(grams[often].view(np.int64).tolist(), times[often].tolist(), strict=True)]],
                               pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))],
@@ -185,14 +218,16 @@ class Blocks:
         rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), content(text).alias("text"))
         schema = "part int, seq long, doc_ids array<long>, texts array<string>, frequent array<struct<gram: long, times: long>>"
         self.name = f"text_blocks_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (arrow_step(rows, step, schema).write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "text-blocks"))
+        buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, "text-blocks")
+        (arrow_step(rows, step, schema).write.format("parquet").option("compression", "zstd").option("path", path)
          .bucketBy(buckets, "part").saveAsTable(self.name))
         self.table = spark.table(self.name)
+        #: The same without buckets, for scans that Spark may cut as it likes.
+        self.files = spark.read.schema(schema).parquet(path)
 
     def frequent(self) -> np.ndarray:
         """The most frequent of the grams that blocks report, at most ``FREQUENT``; sorted."""
-        reported = self.table.select(F.explode("frequent").alias("f")).groupBy("f.gram").agg(F.sum("f.times").alias("times"))
+        reported = self.files.select(F.explode("frequent").alias("f")).groupBy("f.gram").agg(F.sum("f.times").alias("times"))
         grams = [r["gram"] for r in reported.orderBy(F.desc("times"), "gram").limit(FREQUENT).collect()]
         return np.sort(np.array(grams, dtype=np.int64).view(np.uint64))
 
@@ -394,7 +429,7 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 5, id_column:
     shape, spark = Shape(window, gram), docs.sparkSession
     blocks = Blocks(docs, shape, id_column, text)
     frequent = blocks.frequent()
-    seeds = blocks.table.select("part", "seq", "doc_ids", "texts").mapInArrow(_seeds(shape, frequent), "anchor long, whole long, id long, part int, place long")
+    seeds = blocks.files.select("part", "seq", "doc_ids", "texts").mapInArrow(_seeds(shape, frequent), "anchor long, whole long, id long, part int, place long")
     with _few_at_once(spark, BLOCKS_AT_ONCE):
         judged = written(_judged(seeds), "judged-runs")
         asked = _per_part(judged.where("NOT repeat"), "anchor", "id", "place")

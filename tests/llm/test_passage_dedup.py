@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,20 @@ def test_texts_are_not_shuffled_again(spark, monkeypatch):
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def test_word_hashes_depend_on_the_word_alone():
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abé ").strip() or "z" for _ in range(draw.choice((1, 2, 3, 9, 64, 65, 200)))) for _ in range(3000)] + ["y" * 300_000, "a", "aa"]
+    texts = [" ".join(words), "", None or "", "\n".join(reversed(words)) + " ", "  " + words[0]]
+    hashes, counts = pd.word_hashes(pa.array(texts))
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    seen = {}
+    for word, h in zip([w for t in texts for w in t.split()], hashes.tolist()):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    sliced = pa.array(["x y", *texts])[1:]
+    assert pd.word_hashes(sliced)[0].tolist() == hashes.tolist()
+
+
 def test_extension_settles_what_both_share():
     own = np.array([[1, 2, 3, 0, 7, 8, 9, 0]], dtype=np.uint64)  # three words to the left, three to the right, reach 4
     pivot = np.array([[1, 2, 4, 5, 7, 8, 9, 6]], dtype=np.uint64)
