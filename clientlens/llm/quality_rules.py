@@ -2,22 +2,23 @@
 
 Two histograms per document, of character classes and of common words, are compared with references by
 Jensen-Shannon distance (base 2, so 0 to 1). The references are the summed histograms of all documents
-of a language; languages beyond the largest ``max_languages``, and documents without one, use the
-closest reference. A histogram is only judged when the document is long enough for it.
+of its language; a document without a language uses the closest of the ``sent_languages`` languages with most
+documents. A histogram is only judged when the document is long enough for it.
 
 No document without common words is farther than 0.3 to 0.4 from its language, and good short ones reach 0.45, so the
 distance cannot tell it: beside it, common words must make up ``least_common`` of the language's share at least, unless
 chance explains so few (``chance`` standard deviations of a binomial count). A language whose words are not among
 ``COMMON`` (a share below ``listed_share``) has no such bound.
 
-Defined cases: a null text has no words, fails the base rules and is not kept; repeated rows are judged
-each; a null language takes the closest reference; an empty table gives no rows; other columns pass
-through ``accepted`` untouched.
+Defined cases: a null text has no words, fails the base rules and is not kept; very long texts are judged whole, a text
+at a time; repeated rows are judged each; a null language takes the closest reference, of equally close ones that of the
+language with more documents, then the name that sorts first; an empty table gives no rows; other columns pass through
+``accepted`` untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw
+from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -73,7 +74,7 @@ class Rules:
     least_common: float = 0.4
     chance: float = 3.5
     listed_share: float = 0.05
-    max_languages: int = 200
+    sent_languages: int = 200
 
 
 def histograms(text: bytes, by_byte: np.ndarray) -> np.ndarray:
@@ -124,8 +125,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (left + right) / 2))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = 200) -> dict[str, np.ndarray]:
-    """Summed histograms by language, of the languages with most documents; at most ``max_languages`` rows reach the driver."""
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Summed histograms and number of documents by language: lang, n, sums."""
     width = N_CLASSES + N_WORDS
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,78 +140,107 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", max_lang
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "sums"])
 
     parts = arrow_step(docs.select(F.col(lang).cast("string").alias("lang"), content(text).alias("text")).where(F.col("lang").isNotNull()), step, "lang string, sums array<double>")
-    sums = parts.groupBy("lang").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width + 1)])
-    rows = sums.orderBy(F.desc(f"s{width}"), "lang").limit(max_languages).collect()
-    return {r["lang"]: np.array(r[1:width + 1]) for r in rows}
+    return written(parts.groupBy("lang").agg(F.sum(F.col("sums")[width]).alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")), "references")
+
+
+def shares(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes and of the words, from summed histograms."""
+    return tuple(part / np.maximum(part.sum(axis=-1, keepdims=True), 1) for part in (sums[..., :N_CLASSES], sums[..., N_CLASSES:]))
 
 
 class Judge:
-    """Distances from the references, and the verdict."""
+    """Distances from the references, and the verdict.
+
+    ``sums`` holds the summed histograms of the languages with most documents. A language that is not among them comes with
+    its own, a document without a language takes the closest of these.
+    """
 
     def __init__(self, sums: dict[str, np.ndarray], rules: Rules):
         self.rules = rules
         self.names = {name: i for i, name in enumerate(sums)}
-        table = np.array(list(sums.values())).reshape(-1, N_CLASSES + N_WORDS)
-        self.classes, self.words = (part / np.maximum(part.sum(axis=1, keepdims=True), 1) for part in (table[:, :N_CLASSES], table[:, N_CLASSES:]))
+        self.classes, self.words = shares(np.array(list(sums.values())).reshape(-1, N_CLASSES + N_WORDS))
 
-    def _from(self, counts: np.ndarray, table: np.ndarray, lang: str | None) -> tuple[float, int | None]:
-        """Distance from the language's row, or else from the closest, and which row that is."""
+    def _from(self, counts: np.ndarray, table: np.ndarray) -> tuple[float, np.ndarray | None]:
+        """Distance from the closest row of the references, and that row."""
         if not len(table) or not counts.sum():
             return 0.0, None
+        found = distance(counts / counts.sum(), table)
+        return float(found.min()), table[int(found.argmin())]
+
+    def _references(self, lang: str | None, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows to compare with: one for a language, all without."""
+        if own is not None:
+            return tuple(part[None] for part in shares(np.asarray(own)))
         at = self.names.get(lang)
-        found = distance(counts / counts.sum(), table if at is None else table[at:at + 1])
-        return float(found.min()), int(found.argmin()) if at is None else at
+        return (self.classes, self.words) if at is None else (self.classes[at:at + 1], self.words[at:at + 1])
 
-    def few_common(self, counts: np.ndarray, at: int | None) -> bool:
-        """Whether common words are far fewer than in the language of row ``at``, beyond what chance explains."""
-        share = 0.0 if at is None else 1 - self.words[at, 0]
+    def few_common(self, counts: np.ndarray, row: np.ndarray | None) -> bool:
+        """Whether common words are far fewer than in the reference ``row``, beyond what chance explains."""
+        share = 0.0 if row is None else 1 - row[0]
         if share < self.rules.listed_share:
             return False
         n, wanted = counts[1:].sum(), counts.sum() * share
         return bool(n < self.rules.least_common * wanted and wanted - n > self.rules.chance * np.sqrt(wanted * (1 - share)))
 
-    def judge(self, text: bytes, lang: str | None) -> tuple:
+    def judge(self, text: bytes, lang: str | None, own: np.ndarray | None = None) -> tuple:
         """The five measures, the two distances (0 where guarded), base_failed, kept."""
         by_byte = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
         found = measures(text, by_byte, self.rules.window)
         failed = found[0] < self.rules.least_words or 100 * found[4] > self.rules.repeat_percent * found[0]
         counts = histograms(text, by_byte)
-        classes, _ = self._from(counts[:N_CLASSES], self.classes, lang) if counts[:N_CLASSES].sum() >= self.rules.guard_chars else (0.0, None)
-        words, at = self._from(counts[N_CLASSES:], self.words, lang) if counts[N_CLASSES:].sum() >= self.rules.guard_words else (0.0, None)
-        kept = not failed and classes <= self.rules.class_distance and words <= self.rules.word_distance and not self.few_common(counts[N_CLASSES:], at)
+        of_classes, of_words = self._references(lang, own)
+        classes, _ = self._from(counts[:N_CLASSES], of_classes) if counts[:N_CLASSES].sum() >= self.rules.guard_chars else (0.0, None)
+        words, row = self._from(counts[N_CLASSES:], of_words) if counts[N_CLASSES:].sum() >= self.rules.guard_words else (0.0, None)
+        kept = not failed and classes <= self.rules.class_distance and words <= self.rules.word_distance and not self.few_common(counts[N_CLASSES:], row)
         return (*found, classes, words, failed, kept)
 
 
+def _judge(docs: DataFrame, rules: Rules, text: str, lang: str) -> tuple[Judge, Callable[[DataFrame, str], DataFrame]]:
+    """The judge, and how rows get the reference of their language, where the judge does not hold it.
+
+    The histograms of the ``sent_languages`` languages with most documents travel with the code. Where there are more
+    languages, the others' are joined to the rows by language.
+    """
+    found = references(docs, text, lang)
+    first = found.orderBy(F.desc("n"), "lang").limit(rules.sent_languages + 1).collect()
+    judge = Judge({r["lang"]: np.array(r["sums"]) for r in first[:rules.sent_languages]}, rules)
+    if len(first) <= rules.sent_languages:
+        return judge, lambda rows, name: rows.withColumn(f"{OWN}own", F.lit(None).cast("array<double>"))
+    sent = list(judge.names)
+    rest = found.where(~F.col("lang").isin(sent)).select(F.col("lang").alias(f"{OWN}of"), F.col("sums").alias(f"{OWN}own"))
+    return judge, lambda rows, name: rows.join(rest, F.col(name) == F.col(f"{OWN}of"), "left").drop(f"{OWN}of")
+
+
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 TYPES = (*["long"] * 5, "double", "double", "boolean", "boolean")
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id and the measures, distances and verdicts."""
-    judge = Judge(references(docs, text, lang, rules.max_languages), rules)
+    judge, with_own = _judge(docs, rules, text, lang)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [judge.judge(body, name) for name, body in zip(batch["lang"].to_pylist(), raw(batch["text"]), strict=True)]
+            found = [judge.judge(*row) for row in zip(raw(batch["text"]), batch["lang"].to_pylist(), batch[f"{OWN}own"].to_pylist(), strict=True)]
             columns = [pa.array(x, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for x, t in zip(zip(*found, strict=True), TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *NAMES])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), content(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return arrow_step(rows, step, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in zip(NAMES, TYPES, strict=True)))
+    return arrow_step(with_own(rows, "lang"), step, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in zip(NAMES, TYPES, strict=True)))
 
 
 def accepted(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns; each row is judged where it is read."""
-    judge = Judge(references(docs, text, lang, rules.max_languages), rules)
-    body, name, columns = f"{OWN}text", f"{OWN}lang", docs.columns
+    judge, with_own = _judge(docs, rules, text, lang)
+    body, name, own, columns = f"{OWN}text", f"{OWN}lang", f"{OWN}own", docs.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            keep = [judge.judge(b, n)[-1] for n, b in zip(batch[name].to_pylist(), raw(batch[body]), strict=True)]
+            keep = [judge.judge(*row)[-1] for row in zip(raw(batch[body]), batch[name].to_pylist(), batch[own].to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
     rows = docs.withColumns({body: content(text), name: F.col(lang).cast("string")})
-    return arrow_step(rows, step, docs.schema)
+    return arrow_step(with_own(rows, name), step, docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

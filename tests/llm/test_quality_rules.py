@@ -100,3 +100,28 @@ def test_null_language_takes_the_closest_and_empty_table(spark):
     assert got[0]["class_distance"] == got[1]["class_distance"]
     assert rows(qr.judged(docs(spark, []))) == [] and rows(qr.accepted(docs(spark, []))) == []
     assert rows(qr.judged(docs(spark, ["a"], langs=[None])))[0]["kept"] is False
+
+
+def test_many_languages_are_each_judged_by_their_own(spark):
+    draw = np.random.default_rng(3)
+    common = [w for words in qr.COMMON for w in words.split()]
+    texts, langs = [], []
+    for i in range(300):
+        # every language has its own mix of classes and of common words
+        for _ in range(1 + i % 3):
+            words = [*draw.choice(common[i % 40:i % 40 + 30], 60), *["7" * (1 + i % 9)] * (i % 17), *["QZ"] * (i % 11), *draw.choice(["ab", "cd", "ef"], 30)]
+            texts.append(" ".join(map(str, draw.permutation(words))))
+            langs.append(f"l{i}")
+    texts += ["the of and to " * 40, "x y z " * 60]
+    langs += [None, None]
+    table = docs(spark, texts, langs=langs)
+    whole = by_id(qr.judged(table, qr.Rules(sent_languages=1000)))
+    for sent in (0, 7, 200):
+        got = by_id(qr.judged(table, qr.Rules(sent_languages=sent)))
+        assert len(got) == len(texts)
+        for i in range(len(texts) - 2):
+            assert got[i] == whole[i], (sent, i)
+    # a language with one document is at no distance from itself
+    assert all(whole[i]["class_distance"] < 1e-7 for i, name in enumerate(langs) if name and langs.count(name) == 1)
+    kept = {r["doc_id"] for r in rows(qr.accepted(table, qr.Rules(sent_languages=7)).drop("text"))}
+    assert kept == {i for i, r in by_id(qr.judged(table, qr.Rules(sent_languages=7))).items() if r["kept"]}
