@@ -1,17 +1,20 @@
 """Packing of documents into token sequences by non-negative least squares.
 
-A document's ids (with an end id) are cut into whole windows and a rest. Shallow combinations of two or
-three rest lengths that fill a window exactly are enumerated; how often each is used solves a
-non-negative least squares problem against the histogram of rest lengths; the solution is rounded to
-what the histogram holds. Rests that no combination takes are packed greedily, longest first, and cut
-where a window is full, so that at most the very last sequence is padded.
+A document's ids (with an end id) are cut into whole windows and a rest. Shallow combinations of rest lengths that
+fill a window exactly are enumerated: all of two and of three lengths, and those of four and of five that hold lengths
+from a spread over the short rests. How often each is used solves a non-negative least squares problem against the
+histogram of rest lengths. The solution is rounded, combinations with large repeats first, a positive repeat below one
+up to one, never beyond what the histogram still holds; then the problem is solved again for the lengths left, as long
+as that places some. Rests that no combination takes are packed greedily, longest first, and cut where a window is
+full, so that at most the very last sequence is padded.
 
 The histogram has one entry per length below the window, whatever the corpus holds, and all rests of a
 length are alike. So a rest's place follows from its length and its rank among the rests of that length,
 and only rows of a few numbers move; a length that many documents share is ranked in salted groups.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table
-gives no rows; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; very long texts are cut into whole windows, so only their rests
+take part in the plan; rests of equal lengths are placed in the order of their rows, in which no document is preferred;
+repeated rows are packed each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,42 +32,85 @@ from clientlens.llm.common import arrow_step, documents, keyed, pieces, raw, wri
 
 #: Groups in which the rests of one length, and the documents with whole windows, are numbered.
 SALTS = 1024
+#: Lengths in a combination at most, and lengths that stand for the short rests in those of four and five.
+DEEPEST, SPREAD = 5, 20
+#: Combinations that are rounded between two looks at what is left; the part of the rests that a round must place to be followed by another.
+SLICE, WORTH = 20_000, 50
 
 
-def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """All sets of two or three of the lengths that add up to the window, as rows; 0 fills a row of two."""
+def combinations(left: np.ndarray, window: int) -> np.ndarray:
+    """Sets of lengths with ``left`` rests that add up to the window, as rows of five; 0 fills up a row."""
+    lengths = np.flatnonzero(left)
     there = np.zeros(window + 1, dtype=bool)
     there[lengths] = True
-    pairs = lengths[(2 * lengths <= window)]
-    pairs = pairs[there[window - pairs]]
-    found = [np.stack([np.zeros_like(pairs), pairs, window - pairs], axis=1)]
-    for a in lengths[3 * lengths <= window]:
-        b = lengths[(lengths >= a) & (2 * lengths <= window - a)]
-        b = b[there[window - a - b]]
-        found.append(np.stack([np.full_like(b, a), b, window - a - b], axis=1))
+    found = [np.zeros((0, DEEPEST), dtype=np.int64)]
+
+    def add(base: tuple[int, ...], least: int) -> None:
+        """Every pair of lengths, ``least`` at least, that completes the base."""
+        total = window - sum(base)
+        pairs = lengths[(lengths >= least) & (2 * lengths <= total)]
+        pairs = pairs[there[total - pairs]]
+        rows = np.zeros((len(pairs), DEEPEST), dtype=np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2:2 + len(base)] = pairs, total - pairs, base
+        found.append(rows)
+
+    add((), 0)
+    for a in lengths[3 * lengths <= window].tolist():
+        add((a,), a)
+    short = lengths[5 * lengths <= 2 * window]
+    if len(short):
+        # lengths at equal shares of the short rests
+        so_far = np.cumsum(left[short])
+        chosen = np.unique(short[np.searchsorted(so_far, np.arange(SPREAD) * so_far[-1] / SPREAD, side="right")]).tolist()
+        for i, a in enumerate(chosen):
+            for j, b in enumerate(chosen[i:], start=i):
+                if a + 3 * b <= window:
+                    add((a, b), b)
+                for c in chosen[j:]:
+                    if a + b + 3 * c <= window:
+                        add((a, b, c), c)
     return np.concatenate(found)
 
 
-def non_negative_least_squares(columns: np.ndarray, target: np.ndarray, rounds: int = 80) -> np.ndarray:
+def non_negative_least_squares(columns: np.ndarray, target: np.ndarray, rounds: int = 30) -> np.ndarray:
     """x >= 0 that brings the sum of x over the rows holding a length close to ``target``, by multiplicative updates."""
     target = target.astype(float).copy()
     target[0] = 0
+    width = columns.shape[1]
 
     def gather(v: np.ndarray) -> np.ndarray:
-        return v[columns].sum(axis=1)
+        return sum(v[columns[:, k]] for k in range(width))
 
     def spread(x: np.ndarray) -> np.ndarray:
-        out = sum(np.bincount(columns[:, k], weights=x, minlength=len(target)) for k in range(3))
+        out = sum(np.bincount(columns[:, k], weights=x, minlength=len(target)) for k in range(width))
         out[0] = 0
         return out
 
     goal = gather(target)
-    x = goal / np.maximum(gather((np.bincount(columns.ravel(), minlength=len(target)) * target)), 1e-9) * target[target > 0].mean()
+    x = goal / np.maximum(gather(spread(goal)), 1e-9)
+    x *= target.sum() / max(spread(x).sum(), 1e-9)
     for _ in range(rounds):
         x *= goal / np.maximum(gather(spread(x)), 1e-9)
     return x
 
 
+def rounded(columns: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> Iterator[tuple[list[int], int]]:
+    """Whole repeats of the combinations, largest first, that the histogram holds; ``left`` is reduced by them."""
+    order = np.argsort(-repeats, kind="stable")
+    there = left.copy()
+    for first in range(0, len(order), SLICE):
+        some = order[first:first + SLICE]
+        there[0] = 1
+        for k in some[(there[columns[some]] > 0).all(axis=1)].tolist():
+            members = [n for n in columns[k].tolist() if n]
+            n = min(max(1, round(float(repeats[k]))), *(int(left[m]) // members.count(m) for m in set(members)))
+            if n:
+                for m in members:
+                    left[m] -= n
+                yield members, n
+        there = left.copy()
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where the rests go. ``starts`` is sorted: length << 40 | first rank that an entry serves."""
@@ -94,24 +140,19 @@ def layout(histogram: np.ndarray, window: int) -> Layout:
     left[0] = 0
     entries: list[tuple[int, int, int]] = []
     used = np.zeros(window + 1, dtype=np.int64)
-    combined = 0
-    sets = combinations(np.flatnonzero(left), window)
-    if len(sets):
-        repeats = np.rint(non_negative_least_squares(sets, left)).astype(np.int64)
-        for k in np.argsort(-repeats, kind="stable"):
-            if not repeats[k]:
-                break
-            members = [int(n) for n in sets[k] if n]
-            n = min(int(repeats[k]), *(int(left[m]) // members.count(m) for m in members))
-            if not n:
-                continue
+    combined, placed = 0, True
+    while placed:
+        placed, sets = False, combinations(left, window)
+        repeats = non_negative_least_squares(sets, left) if len(sets) else np.zeros(0)
+        before = left.sum()
+        for members, n in rounded(sets, repeats, left):
             offset = 0
             for m in members:
                 entries.append((m << 40 | int(used[m]), combined, offset))
                 used[m] += n
-                left[m] -= n
                 offset += m
             combined += n
+        placed = (before - left.sum()) * WORTH > before
     entries.sort()
     lengths = np.arange(window + 1)
     after = np.concatenate([(left * lengths[:len(left)])[::-1].cumsum()[::-1][1:], np.zeros(window + 1 - len(left) + 1, dtype=np.int64)])
