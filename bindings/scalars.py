@@ -230,10 +230,12 @@ def _(c: Context):
     return c.role("postings").select("transactionid", F.to_date("postingdate").alias("day"))
 
 
+# fixed values: columns of the loans
 LOAN_COLUMNS = (
-    "customerId digitalLoanAccountId loanAccountNumber applicationStatus new_loan_type reloan_flag flagApproval flagDisbursement "
-    "startApplyDateTime approvedDateTime decision_date disbursementdatetime loanRequestTenure approvedLoanTenure loanRequestAmount "
-    "approvedLoanAmount disbursedLoanAmount obsFPD10 obsFPD30 Max_Ever_DPD maritalStatus dependentsCount monthlyIncome").split()
+    "customerId", "digitalLoanAccountId", "loanAccountNumber", "applicationStatus", "new_loan_type", "reloan_flag",
+    "flagApproval", "flagDisbursement", "startApplyDateTime", "approvedDateTime", "decision_date", "disbursementdatetime",
+    "loanRequestTenure", "approvedLoanTenure", "loanRequestAmount", "approvedLoanAmount", "disbursedLoanAmount", "obsFPD10",
+    "obsFPD30", "Max_Ever_DPD", "maritalStatus", "dependentsCount", "monthlyIncome")
 
 
 @query("f37_null_counts", " UNION ALL ".join(
