@@ -1,6 +1,9 @@
 """Toxicity by a weighted list of toxic words and word pairs.
 
 Not the class-conditional Kneser-Ney comparison: only ratios that lean to toxic are kept, without P(w|h) or backoff mass.
+Interpolated Kneser-Ney models of both classes over shared continuation counts were measured on the same labels and told
+the held-out classes apart far worse (README): most words are rare, and what a rare word adds to the length-normalised
+difference depends on which class happened to show it.
 
 A toxic and an ordinary model count words and word pairs, once per training document. Both discount and then back
 off to one shared lower order: Kneser-Ney continuation counts of the two classes together, how many different
@@ -11,12 +14,13 @@ length-normalised log-likelihoods, mapped to 0..1 by a logistic curve that is fi
 were left out.
 
 Training takes at most ``MAX_ROWS`` labelled documents of each class, those with the least hash of the id; counts
-are gathered by Spark, and only expressions on which the classes differ reach the driver, ``MAX_EXPRESSIONS`` at
-most (those with most documents). Where the bound left out documents, ordinary counts are weighted so that expected
+are gathered by Spark, and all expressions on which the classes differ reach the driver. These are bounded by the sample:
+each is in more than ``d0`` of its toxic documents. Where the bound left out documents, ordinary counts are weighted so that expected
 counts and discounts use the classes' shares in all training labels, discounts grow by what the weight adds to the
 spread, and the curve's intercept gets the log-odds of all training labels. Labels, language, source and id are no inputs of a score.
 
-Defined cases: a null or empty text has difference 0; null labels do not teach; a document that is labelled twice
+Defined cases: a null or empty text has difference 0; very long texts are scored whole, and teach as one document; a score
+of exactly the threshold is predicted toxic; null labels do not teach; a document that is labelled twice
 teaches once, as toxic if any label says so; repeated rows are scored each; without labels of both classes every
 score is 0; an empty table gives no rows; other columns are ignored.
 """
@@ -33,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientlens.llm.common import arrow_step, content, documents, fold, labels, pieces, raw, written
 
-#: Documented bounds of the fitting sample (per class) and of the model.
-MAX_ROWS, MAX_EXPRESSIONS = 15_000, 200_000
+#: Documented bound of the fitting sample, per class.
+MAX_ROWS = 15_000
 #: Bytes that part words; A-Z in lower case.
 PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -126,8 +130,7 @@ def _ratios(counted: DataFrame, halves: tuple[int, ...], smooth: Smoothing, orde
     toxic = e1 + F.greatest(n1 - e1 - d1, F.lit(0.0))
     ordinary = F.when(toxic > e1, F.least(e0, n0 + d0)).otherwise(e0)
     ratio = F.log(toxic / t1) - F.log(ordinary / t0)
-    found = rows.select("ahead", "word", ratio.alias("ratio"), (weight * F.col("n0") + F.col("n1")).alias("n")).where(F.col("ratio") > 1e-6)
-    kept = found.orderBy(F.desc("n"), "word", "ahead").limit(MAX_EXPRESSIONS).collect()
+    kept = rows.select("ahead", "word", ratio.alias("ratio")).where(F.col("ratio") > 1e-6).collect()
     return {(bytes(r["word"]) if order == 1 else (bytes(r["ahead"]), bytes(r["word"]))): r["ratio"] for r in kept}
 
 

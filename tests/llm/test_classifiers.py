@@ -90,6 +90,65 @@ def test_pairwise_part_by_its_definition():
     assert value[0] == pytest.approx(0.3 + machine.linear[at] @ x + pairs)
 
 
+def brute_ratios(texts, labels, weight, smooth):
+    """Log-ratios of words and pairs from their definition, one text at a time."""
+    words = [tx.words_of(t.encode()) for t in texts]
+    out = []
+    for order in (1, 2):
+        count = {}
+        for own, label in zip(words, labels):
+            for x in set(own) if order == 1 else set(zip(own, own[1:])):
+                count.setdefault(x, [0, 0])[label] += 1
+        follows = {}
+        for own in words:
+            for a, b in zip([b"", *own], own):
+                follows.setdefault(b, set()).add(a)
+        total = [weight * sum(n[0] for n in count.values()), sum(n[1] for n in count.values())]
+        z = smooth.z * np.sqrt((total[0] + weight * total[1]) / sum(total))
+        least = smooth.d0 if order == 1 else smooth.pair_d0
+        found = {}
+        for x, (n0, n1) in count.items():
+            scale = min(1.0, (len(follows[x]) + 1) / (n0 + n1)) if order == 1 else 1.0
+            n0, n1 = n0 * scale * weight, n1 * scale
+            e0, e1 = ((n0 + n1) * t / sum(total) for t in total)
+            spare = n1 - e1 - (least + z * np.sqrt(e1) + smooth.rho * max(0, total[0] - total[1]) / sum(total) * e1)
+            if spare > 0:
+                found[x] = np.log((e1 + spare) / total[1]) - np.log(min(e0, n0 + least + z * np.sqrt(e0)) / total[0])
+        out.append(found)
+    return out
+
+
+def brute_difference(text, found):
+    words, sum_ = tx.words_of(text.encode()), 0.0
+    for i, w in enumerate(words):
+        sum_ += found[1].get((words[i - 1], w), found[0].get(w, 0.0)) if i else found[0].get(w, 0.0)
+    return sum_ / len(words) if words else 0.0
+
+
+@pytest.mark.parametrize("weight", [1.0, 5.0])
+def test_counts_discounts_and_differences_by_their_definition(spark, weight):
+    draw = random.Random(11)
+    common, bad = [f"w{i}" for i in range(40)], ["awful", "nasty", "vile"]
+    texts, labels = [], []
+    for i in range(240):
+        own = [draw.choice(common) for _ in range(draw.randint(5, 30))]
+        if i % 4 == 0:
+            own += [draw.choice(bad) for _ in range(3)] + ["you", "fool"] * (i % 8 == 0)
+        draw.shuffle(own) if i % 8 else None
+        texts.append(" ".join(own) + (" you" if i % 3 == 0 else " fool" if i % 3 == 1 else ""))
+        labels.append(int(i % 4 == 0))
+    frame = spark.createDataFrame([(i, t, label, i % 2) for i, (t, label) in enumerate(zip(texts, labels))], "id long, text string, label int, half int")
+    counted, smooth = tx._counted(frame), tx.Smoothing()
+    models = tx.Models(*(tx._ratios(counted, (0, 1), smooth, order, weight) for order in (1, 2)))
+    want = brute_ratios(texts, labels, weight, smooth)
+    assert b"awful" in want[0] and want[1]
+    for got, expected in zip((models.words, models.pairs), want):
+        expected = {x: r for x, r in expected.items() if r > 1e-6}
+        assert got.keys() == expected.keys() and all(got[x] == pytest.approx(expected[x]) for x in got)
+    for t in [*texts[:50], "", "awful", "you fool", "AWFUL, vile! you fool", "unseen words only"]:
+        assert models.difference(t.encode()) == pytest.approx(brute_difference(t, want))
+
+
 def test_shared_expressions_speak_for_neither_class(spark):
     table, marks = small(spark)
     texts = tx.labelled_texts(table, tx.training_rows(marks, "toxic"), "doc_id", "text").withColumn("half", F.lit(0))
