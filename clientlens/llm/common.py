@@ -26,6 +26,24 @@ def content(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+#: Ids from here on are those of documents; smaller ones stand for missing ids.
+LEAST_ID = -(2**62)
+
+
+def own_id(id_column: str, text: str) -> Column:
+    """The id, or for a missing one a number below all ids that depends on the text.
+
+    Beside 32 further bits of the text it tells documents without an id apart, however many there are.
+    """
+    missing = F.lit(-(2**63)) + F.xxhash64(content(text)).bitwiseAND(F.lit(2**62 - 1))
+    return F.coalesce(F.col(id_column).cast("bigint"), missing)
+
+
+def shown_id(own: Column) -> Column:
+    """The id again: NULL for a number that stands for a missing one."""
+    return F.when(own >= LEAST_ID, own)
+
+
 def fold(id_column: str, of: int) -> Column:
     """crc32 of the id's text, modulo ``of``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % of
@@ -62,4 +80,4 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator
             yield batch.slice(start, size)
 
 
-__all__ = ["OWN", "arrow_step", "content", "documents", "fold", "keyed", "labels", "pieces", "raw", "scratch_path", "written"]
+__all__ = ["LEAST_ID", "OWN", "arrow_step", "content", "documents", "fold", "keyed", "labels", "own_id", "pieces", "raw", "scratch_path", "shown_id", "written"]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clientlens.llm.common import OWN, arrow_step, content, documents, pieces, raw, written
+from clientlens.llm.common import OWN, arrow_step, content, documents, own_id, pieces, raw, shown_id, written
 
 #: Groups of a count vector: a power of two, so that a group counts four shingles on average at most; LEAST at least.
 #: MOST in blocks, where a vector travels with each shingle; as many as it takes in clusters, where vectors stay.
@@ -49,7 +49,6 @@ SKETCH, SKETCH_PIECES = 1 << 18, 64
 WORDS_KEPT = 500_000
 #: With so many clustered documents at most, their ids are sent to the texts; beyond, both are shuffled.
 SENT_ROWS = 200_000
-LEAST_ID = -(2**63)
 
 
 class _Words(dict):
@@ -377,7 +376,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """Id and a hash of the text name a document; rows with both equal have equal sets."""
     own = docs.select(F.col(id_column).alias("doc_id"), content(text).alias("text"))
-    return own.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID)), "mark": F.hash("text")})
+    return own.withColumns({"id": own_id("doc_id", "text"), "mark": F.hash("text")})
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -459,7 +458,7 @@ def _once(links):
 def component_ids(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     linked = linked_documents(docs, width, percent, id_column, text)
-    return linked.select("doc_id", "n_shingles", F.nullif(F.coalesce("root_id", "id"), F.lit(LEAST_ID)).alias("component_id"))
+    return linked.select("doc_id", "n_shingles", shown_id(F.coalesce("root_id", "id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -468,7 +467,7 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     key = [f"{OWN}id", f"{OWN}mark"]
     stays = linked.where("root_id IS NULL OR (id = root_id AND mark = root_mark)").select(
         F.col("id").alias(key[0]), F.col("mark").alias(key[1]), F.col("root_id").isNull().alias(f"{OWN}empty")).distinct()
-    named = docs.withColumns({key[0]: F.coalesce(F.col(id_column).cast("bigint"), F.lit(LEAST_ID)), key[1]: F.hash(content(text))}).join(stays, key)
+    named = docs.withColumns({key[0]: own_id(id_column, text), key[1]: F.hash(content(text))}).join(stays, key)
     own = named.where(~F.col(f"{OWN}empty")).dropDuplicates(key).unionByName(named.where(f"{OWN}empty"))
     return own.select(*docs.columns)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientlens.llm.common import arrow_step, content, documents, pieces, raw, written
+from clientlens.llm.common import arrow_step, content, documents, own_id, pieces, raw, written
 
 BLOCK = 8
 #: String starts sampled at a time; also the most positions that fit beside the hash in one number.
@@ -44,7 +44,6 @@ SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 26) - 1)
 #: With so many list items and documents at most, changes are sent to the texts; beyond, both are shuffled by document.
 SENT_ITEMS = 300_000
-LEAST_ID = -(2**63)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -222,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, width: int = 128, id_colu
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """Id and a hash of the text name a document; rows with both equal share their spans."""
     own = docs.select(F.col(id_column).alias("doc_id"), content(text).alias("text"))
-    return own.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID)), "mark": F.hash("text")})
+    return own.withColumns({"id": own_id("doc_id", "text"), "mark": F.hash("text")})
 
 
 def _merged(covered: DataFrame) -> DataFrame:

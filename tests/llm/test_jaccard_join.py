@@ -179,3 +179,26 @@ def test_first_ones_of_linked_sets_share_enough():
             first = [set(sorted(s)[:jj.first_ones(len(s), 85)]) for s in (a, b)]
             assert len(first[0] & first[1]) >= min(jj.must_share(len(a)), jj.must_share(len(b)))
             assert len(first[0] & first[1]) >= jj.must_share(-(-85 * len(a) // 100))
+
+
+def test_many_texts_without_an_id_stay_apart(spark):
+    """With 32 bits alone, two of 100,000 different texts would likely be taken for one."""
+    n = 100_000
+    word = lambda k: F.concat(F.lit("w"), F.xxhash64("id", F.lit(k)).cast("string"))
+    table = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[word(k) for k in range(6)]).alias("text"))
+    copied = table.limit(50).unionByName(spark.createDataFrame([(7, "a b c d e f g"), (None, "a b c d e f g")], "doc_id long, text string"))
+    found = jj.component_ids(table.unionByName(copied))
+    assert found.count() == n + 52 and found.where("n_shingles <> 2 AND n_shingles <> 3").isEmpty()
+    assert rows(found.where("component_id IS NOT NULL")) == []
+    kept = jj.representatives(table.unionByName(copied))
+    assert kept.count() == n + 1 and kept.where("doc_id = 7").isEmpty()
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(12)
+    words = [f"w{draw.randint(0, 10**7)}" for _ in range(60_000)]
+    near = list(words)
+    for k in range(0, 60_000, 1500):
+        near[k] = "changed"
+    got = sorted(rows(jj.component_ids(docs(spark, [" ".join(words), " ".join(near), " ".join(words[:20_000]), "a b c"]), 5, 80)), key=lambda r: r["doc_id"])
+    assert [r["component_id"] for r in got] == [0, 0, 2, 3] and got[0]["n_shingles"] > 59_000
