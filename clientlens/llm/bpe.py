@@ -21,7 +21,9 @@ from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,7 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 700_000, 500_000, 1_000_000
+CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 1_300_000, 900_000, 1_000_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
 
@@ -96,6 +98,7 @@ class TrieEncoder:
         ``longest``: by node, the longest token that ends there; ``shorter``: by token, the next shorter one.
         """
         self.step: dict[int, int] = {}
+        self.jumps: dict[int, int] = {}
         token, parent, byte = [None], [0], [0]
         for key, i in sorted(self.inside.items(), key=lambda x: (len(x[0]), x[0])):
             node = 0
@@ -173,6 +176,7 @@ class TrieEncoder:
         The word's own end looks among the tokens with a word end."""
         last, lengths, fits, apart = self.last.get, self.lengths, self.fits, self._apart
         step, back, longest, shorter, width = self.step.get, self.back, self.longest, self.shorter, self.length
+        jumps, jump = self.jumps, self.jumps.get
         states: list[int] = []
         starts: list[int] = []
         nodes: list[int] = []
@@ -187,9 +191,15 @@ class TrieEncoder:
             for end in range(common + 1, size):
                 byte = word[end - 1]
                 child = step(node << 8 | byte)
-                while child is None:
-                    node = back[node]
-                    child = step(node << 8 | byte)
+                if child is None:
+                    # the way over shorter suffixes, remembered
+                    child = jump(node << 8 | byte)
+                    if child is None:
+                        key = node << 8 | byte
+                        while child is None:
+                            node = back[node]
+                            child = step(node << 8 | byte)
+                        jumps[key] = child
                 node = child
                 token = longest[node]
                 start = end - width[token]
@@ -230,32 +240,38 @@ class TrieEncoder:
                 start = starts[start - 1]
             yield word, tuple(ids[::-1])
             before = word
-        if len(fits) > PAIRS_KEPT:
-            fits.clear()
+        for kept_ in (fits, jumps):
+            if len(kept_) > PAIRS_KEPT:
+                kept_.clear()
 
     @staticmethod
     def split(chunk: bytes) -> list[bytes]:
         """Words of a chunk without ASCII white space, normalised."""
         if chunk.isascii():
-            return ASCII_WORDS.findall(chunk.lower())
+            lowered = chunk.lower()
+            # letters alone, or letters with one other character behind them, are split by that rule as well
+            if lowered.isalpha():
+                return [lowered]
+            if lowered[:-1].isalpha() and not lowered[-1:].isalpha():
+                return [lowered[:-1], lowered[-1:]]
+            return ASCII_WORDS.findall(lowered)
         text = unicodedata.normalize("NFC", chunk.decode())
         # letter by letter: a final sigma is an ordinary one
         return [w.encode() for w in WORDS.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())]
 
-    def encode_chunks(self, chunks: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def encode_chunks(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct chunks, two bytes each."""
-        split: dict[bytes, list[bytes]] = {}
-        for chunk in chunks:
-            split[chunk] = [*self._with_special(chunk)] if b"<|" in chunk else self.split(chunk)
-        wanted = {w for words in split.values() for w in words}
+        own = self.split
+        split = {chunk: [*self._with_special(chunk)] if b"<|" in chunk else own(chunk) for chunk in chunks}
+        wanted = set().union(*split.values())
         if len(self.words) + len(wanted) > WORDS_KEPT:
             self.words.clear()
             self.words.update(self.special)
-        for word, ids in self.encode_words(wanted - self.words.keys()):
-            self.words[word] = array("H", ids).tobytes()
         known = self.words
-        for chunk, words in split.items():
-            yield chunk, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        for word, ids in self.encode_words([w for w in wanted if w not in known]):
+            known[word] = array("H", ids).tobytes()
+        find = known.__getitem__
+        return {chunk: find(words[0]) if len(words) == 1 else b"".join(map(find, words)) for chunk, words in split.items()}
 
     def _with_special(self, chunk: bytes) -> Iterator[bytes]:
         """Words and special tokens; a word never looks like a special token, whose brackets are no letters."""
@@ -267,9 +283,14 @@ class TrieEncoder:
         return " ".join(self.text[i] for i in ids)
 
 
-def chunks_of(text: bytes) -> list[bytes]:
-    """White-space-free pieces; in lower case unless that could make a special token."""
-    return (text if b"<|" in text else text.lower()).split()
+def chunks_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """White-space-free pieces of all texts, and how many each has; in lower case unless that could make a special token."""
+    lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(lowered.cast(pa.large_string()))
+    pieces_ = split.flatten()
+    real = pc.greater(pc.binary_length(pieces_), 0)
+    counts = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[np.asarray(split.offsets) - split.offsets[0].as_py()])
+    return pieces_.filter(real).dictionary_encode(), counts
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -288,16 +309,26 @@ class Chunks(dict):
     def __init__(self, path: str):
         self.encoder = encoder(path)
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        """Two-byte ids of each text of a block."""
-        split = [chunks_of(t) for t in texts]
-        wanted = set().union(*split)
-        new = wanted - self.keys()
-        if len(self) + len(new) > CHUNKS_KEPT:
-            self.clear()
-            new = wanted
-        self.update(self.encoder.encode_chunks(new))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Two-byte ids of each text of a block: those of its distinct chunks, put one after the other."""
+        chunks, counts = chunks_of(texts)
+        distinct = raw(chunks.dictionary)
+        found = list(map(self.get, distinct))
+        new = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
+        if new:
+            encoded_ = self.encoder.encode_chunks(new)
+            found = [encoded_[c] if ids is None else ids for c, ids in zip(distinct, found, strict=True)]
+            if len(self) + len(new) > CHUNKS_KEPT:
+                self.clear()
+            self.update(encoded_)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        ids, starts = np.frombuffer(b"".join(found), dtype=np.uint16), np.cumsum(sizes) - sizes
+        codes = chunks.indices.to_numpy(zero_copy_only=False)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(starts[codes] - ends + n, n) + np.arange(n.sum())].tobytes()
+        bounds = (2 * np.append(0, ends)[np.append(0, np.cumsum(counts))]).tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 #: Bytes of text encoded at a time.
@@ -318,7 +349,7 @@ def _digests(path: str):
         token = {i: t.encode() for i, t in text.items()}
         for batch in pieces(batches, BLOCK):
             n, ids, decoded = [], [], []
-            for packed in table.texts(raw(batch["text"])):
+            for packed in table.texts(batch["text"]):
                 own = array("H", packed)
                 n.append(len(own))
                 ids.append(sha256(b" ".join(map(decimal.__getitem__, own))).hexdigest())
@@ -339,7 +370,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: s
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, own = kept(vocabulary), encoder(vocabulary)
         for batch in pieces(batches, BLOCK):
-            ids = [array("H", x) for x in table.texts(raw(batch["text"]))]
+            ids = [array("H", x) for x in table.texts(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())],
                                              ["doc_id", "ids", "decoded"])
     return arrow_step(docs.select(docs[id_column].alias("doc_id"), content(text).alias("text")), step, "doc_id long, ids array<int>, decoded string")

@@ -166,7 +166,7 @@ def _tokenised(vocabulary: str, window: int, end_id: int):
         table, end = kept(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         for batch in pieces(batches, BLOCK):
             size, whole, crc, rest = [], [], [], []
-            for packed in table.texts(raw(batch["text"])):
+            for packed in table.texts(batch["text"]):
                 ids = np.frombuffer(packed, dtype=np.uint16).astype("<u4").tobytes() + end
                 cut = len(ids) - len(ids) % (4 * window)
                 size.append(len(ids) // 4)
