@@ -1,6 +1,7 @@
 """Operators on small hand-made frames: NULLs, ties, boundaries, empty and repeated rows."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from clientlens.functions import nulls, rules, scalars as sc
 from clientlens.operators import condagg, dedupe, gaps, quality, ranges, reshape
 from clientlens.params import Params
-from clientlens.session import scratch_path, written
+from clientlens.session import forget, scratch_path, written
 
 
 def d(text):
@@ -148,7 +149,10 @@ def test_sample_is_repeatable_and_exact(spark):
 
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert written(spark.range(3), "kept").count() == 3
+    stored = written(spark.range(3), "kept")
+    assert stored.count() == 3
+    forget(stored)
+    assert not os.path.exists(stored.stored_at.removeprefix("file:"))
 
 
 def test_params_name_the_bank():
