@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clientlens.session import scratch_path, written
+from clientlens.session import forget, scratch_path, written
 
 #: Prefix of helper columns, so that columns of the input never clash with them.
 OWN = "_llm_"
@@ -80,4 +80,4 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator
             yield batch.slice(start, size)
 
 
-__all__ = ["LEAST_ID", "OWN", "arrow_step", "content", "documents", "fold", "keyed", "labels", "own_id", "pieces", "raw", "scratch_path", "shown_id", "written"]
+__all__ = ["LEAST_ID", "OWN", "arrow_step", "content", "documents", "fold", "forget", "keyed", "labels", "own_id", "pieces", "raw", "scratch_path", "shown_id", "written"]

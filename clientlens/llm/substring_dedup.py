@@ -15,8 +15,8 @@ the same anchor, grouped and counted by Spark:
 4. single strings of the blocks left.
 
 A settled run or block goes on, once for each different content, as a witness for those of its rank that are
-not settled. Counts are aggregated before they are joined back, so a passage that a third of all documents
-hold is a partial count and a splittable join, never one task's list.
+not settled. Counts are aggregated before they are joined back, and the rows of a passage that many documents hold are
+dealt out for that join, so it is never one task's list. A stage is deleted once those that read it are written.
 
 Names are 64-bit hashes; a string counts as repeated only when its gram, the common part and the whole agree,
 each by its own hash.
@@ -36,12 +36,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientlens.llm.common import arrow_step, content, documents, own_id, pieces, raw, written
+from clientlens.llm.common import arrow_step, content, documents, forget, own_id, pieces, raw, written
+from clientlens.operators.skew import HEAVY_PART, salted_join
 
 BLOCK = 8
 #: String starts sampled at a time; also the most positions that fit beside the hash in one number.
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 26) - 1)
+#: Tasks over which the rows of a heavy gram or run are dealt.
+SALTS = 64
 #: With so many list items and documents at most, changes are sent to the texts; beyond, both are shuffled by document.
 SENT_ITEMS = 300_000
 
@@ -164,8 +167,13 @@ def _split(length: int, size: int, chosen: bool):
 PART = "id long, mark int, run long, lo long, n int, gram long, settled boolean, part int, shared long, whole long"
 
 
+def _heavy(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than a ``HEAVY_PART``-th of the rows, as their counts say: few, however many rows there are."""
+    return written(counted.where(F.col("times") * HEAVY_PART > counted.agg(F.sum("times")).scalar()).select(*keys), "heavy")
+
+
 def _round(rows: DataFrame, rank: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """One round: rows that are repeated as a whole, and those to look at more closely with their witnesses.
+    """One round: rows that are repeated as a whole, and those to look at more closely with their witnesses; both stored.
 
     ``rows`` share at least their ``rank`` with another row or are dropped here. A settled row is one whose
     repeats are known from an earlier round.
@@ -175,15 +183,18 @@ def _round(rows: DataFrame, rank: list[str], name: str) -> tuple[DataFrame, Data
     ranks = classes.groupBy(*rank).agg(
         F.sum("times").alias("sharers"), F.bool_or(F.col("open") & (F.col("times") == 1)).alias("unsettled"))
     judged = written(classes.join(ranks, rank).where("sharers > 1 AND (times > 1 OR unsettled)"), f"{name}-judged")
-    with_rows = written(rows.join(judged.drop("open"), key), f"{name}-rows")
-    repeated = with_rows.where("times > 1 AND NOT settled")
+    forget(classes)
+    with_rows = written(salted_join(rows, judged.drop("open"), key, _heavy(judged, key), SALTS), f"{name}-rows")
+    forget(judged)
     left = with_rows.where("unsettled")
     alone = left.where("times = 1")
     several = left.where("times > 1")
     fields = [F.col(c) for c in rows.columns if c not in key]
     witness = several.groupBy(*key).agg(F.min(F.struct(*fields)).alias("r")).select(*[F.col(k) for k in key], "r.*")
-    rest = alone.select(rows.columns).unionByName(witness.withColumn("settled", F.lit(True)).select(rows.columns))
-    return repeated.select("id", "mark", "lo", "n"), rest
+    rest = written(alone.select(rows.columns).unionByName(witness.withColumn("settled", F.lit(True)).select(rows.columns)), f"{name}-rest")
+    repeated = written(with_rows.where("times > 1 AND NOT settled").select("id", "mark", "lo", "n"), f"{name}-repeated")
+    forget(with_rows)
+    return repeated, rest
 
 
 def _to_texts(texts: DataFrame, changes: DataFrame, items: str, how: str) -> DataFrame:
@@ -200,22 +211,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, width: int = 128, id_colu
         raise ValueError("grams of eight bytes at least: length - width >= 7")
     texts = _texts(docs, id_column, text)
     runs = arrow_step(texts.select("id", "mark", "text"), _runs(length, width), f"{RUN}, whole long")
-    common = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    shared = written(runs.join(common, "gram", "left_semi").withColumn("settled", F.lit(False)), "runs")
+    common = written(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "grams")
+    shared = written(salted_join(runs, common.select("gram"), ["gram"], _heavy(common, ["gram"]), SALTS).withColumn("settled", F.lit(False)), "runs")
+    forget(common)
     found, rest = _round(shared, ["gram"], "whole-runs")
+    forget(shared)
     asked = written(rest.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "at", "gram", "settled")).alias("asked")), "asked")
+    forget(rest)
     bodies = written(arrow_step(_to_texts(texts, asked, "asked", "inner").select("id", "mark", "text", "asked"), _bodies(length),
                                 f"{RUN}, settled boolean, body binary"), "bodies")
+    forget(asked)
     blocks = written(bodies.mapInArrow(_split(length, BLOCK, False), PART), "blocks")
     found_blocks, rest_blocks = _round(blocks, ["gram", "part", "shared"], "blocks")
+    forget(blocks)
     wanted = rest_blocks.select("id", "mark", F.col("run").alias("lo"), "part", F.col("settled").alias("settled_part"))
     single = bodies.drop("settled").join(wanted, ["id", "mark", "lo"]).withColumnRenamed("settled_part", "settled")
     strings = written(single.mapInArrow(_split(length, 1, True), PART), "strings")
+    forget(bodies, rest_blocks)
     found_strings = (strings.join(strings.groupBy("gram", "part", "whole").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), ["gram", "part", "whole"])
                      .where("NOT settled").select("id", "mark", "lo", "n"))
     covered = found.unionByName(found_blocks).unionByName(found_strings).select(
         "id", "mark", F.struct("lo", (F.col("lo") + F.col("n") + length - 1).alias("hi")).alias("span"))
-    return written(_merged(covered), "spans")
+    spans = written(_merged(covered), "spans")
+    forget(found, found_blocks, strings)
+    return spans
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
