@@ -9,7 +9,8 @@ Words recur, so a task keeps what it has encoded: two bounded dictionaries (whit
 words), cleared when full. Everything else a task holds is one block of texts and the current path.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are encoded each; special tokens
-in a text are special tokens; truncation and padding do not happen; an empty table gives no rows.
+in a text are special tokens; truncation and padding do not happen; very long texts and words are encoded whole; of merges
+with one rank the one further left comes first; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ move between executors; the texts stay where they are read.
 
 Texts are equal when they agree after lower-casing A-Z. Defined cases: a null text is the empty text;
 all empty texts are one group; of equal texts the row with the largest id stays, a null id counts as
-the smallest; of repeated rows (same id, same text) exactly one stays; an empty table gives no rows;
-other columns pass through untouched, whatever their names.
+the smallest; of repeated rows (same id, same text) exactly one stays, in no stated choice, as they are alike; very long
+texts only cost their digest; an empty table gives no rows; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ grow in number with the corpus; a bucket, a block and an EM table of bounded siz
 Words are what white space (ASCII) parts, lower-cased A-Z; every document ends in an end token, and the context of
 its first word is a start that is seen once per document. Defined cases: a null or empty text is the end token
 alone; a null id counts as empty text for the fold; repeated rows are scored (and learned) each; without training
-rows every token is unknown; an empty table gives no rows; other columns are ignored.
+rows every token is unknown; very long texts are scored whole and may be a block of their own; ties cannot arise; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

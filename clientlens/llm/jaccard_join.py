@@ -18,7 +18,9 @@ their own, so no task holds more than two parts. Exact: no pair, partner or cand
 
 Defined cases: a null text, or one without words, is the empty set and linked with nothing; with fewer words than a
 shingle has, all words are the only shingle; repeated rows are equal sets; a null id is the smallest and its
-component is null; an empty table gives no rows; other columns are ignored.
+component is null (so are ids below -2^62); very long texts are sets like others, split into parts where a task would hold
+too many shingles; ties of similarity cannot arise, as links only ask for a bound; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

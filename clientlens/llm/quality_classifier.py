@@ -13,8 +13,9 @@ features (``WORDS`` words at most each) reach the driver, which fits the model b
 
 Defined cases: a null or empty text has statistics 0 and no words; null labels do not teach; a document that is
 labelled twice teaches once, as good if any label says so; repeated rows are scored each; without labels of both
-classes every score is the share of good labels (0 without any); an empty table gives no rows; other columns are
-ignored.
+classes every score is the share of good labels (0 without any); very long texts are scored whole; a score of exactly the
+threshold is predicted good; of training rows with one hash the smaller id is taken first; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ All steps are DataFrame functions. Positions come from the lengths of the text b
 and of the matches, added up per document and kind; lengths count code points.
 
 Defined cases: a null text is empty and has no spans; a null owner is one owner of its own; repeated
-rows are scanned each; spans of different kinds may overlap, spans of one kind never do; an empty
-table gives no rows; other columns are ignored.
+rows are scanned each; spans of different kinds may overlap, spans of one kind never do, and those that start at one place
+are listed by kind; very long texts are scanned whole; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

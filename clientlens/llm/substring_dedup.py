@@ -22,8 +22,9 @@ Names are 64-bit hashes; a string counts as repeated only when its gram, the com
 each by its own hash.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; matches never cross documents;
-repeated rows (same id, same text) are different documents that repeat each other; an empty table gives no
-rows; other columns are ignored.
+repeated rows (same id, same text) are different documents that repeat each other; documents without an id are told apart
+by their texts; of equally small grams the first is the anchor; very long texts are processed whole, in segments; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
