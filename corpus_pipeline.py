@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the next
 stage's documents, so a lost executor costs a part of one stage. All but the last keep the columns of documents.
+
+Defined cases: a null or empty text fails the quality rules, so it goes in the first stage; documents without an id pass
+like others, equal ones as one; of equal texts the largest id stays, of linked ones the smallest (no id counts as smallest),
+of repeated rows one; very long texts are judged, compared, scanned and packed whole; an empty table gives no rows; other
+columns pass up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
