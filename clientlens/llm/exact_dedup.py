@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest. New rows are reduced to one row per
-digest, anti-joined with the index by sort-merge, and what is new is appended. Only digests and ids
-move between executors; the texts stay where they are read.
+The index is a Parquet table bucketed and sorted by digest, its buckets laid out by size and compacted after some
+appends. New rows are reduced to one row per digest, anti-joined with the index by sort-merge, and what is new is
+appended. Only digests and ids move between executors; the texts stay where they are read.
 
 Texts are equal when they agree after lower-casing A-Z. Defined cases: a null text is the empty text;
 all empty texts are one group; of equal texts the row with the largest id stays, a null id counts as
@@ -13,7 +13,6 @@ texts only cost their digest; an empty table gives no rows; other columns pass t
 from __future__ import annotations
 
 import uuid
-from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,28 +31,87 @@ def digest(text: str) -> Column:
     return F.sha2(ascii_lower(content(text)).cast("binary"), 256)
 
 
+#: Rows of a bucket that an index is laid out for, and appends after which its files are put together.
+BUCKET_ROWS, MOST_APPENDS = 1_000_000, 8
+COLUMNS = "digest STRING, keep_id BIGINT, keep_row BIGINT, batch STRING"
+
+
 class DigestIndex:
-    """Digests seen so far, with the row that stands for each; survives the session at ``path``."""
+    """Digests seen so far, with the row that stands for each; survives the session at ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + md5(path.encode()).hexdigest()
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, keep_row BIGINT, batch STRING) "
-                  f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+    The table below ``path`` is a generation, bucketed and sorted by digest. An append adds a file to each bucket; a
+    compaction writes a new generation with one file per bucket, in as many buckets as its rows need, and then
+    deletes the old one. Readers take the last complete generation. No entry stays behind in the catalog.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.least = spark, path.rstrip("/"), buckets
+        jvm = spark.sparkContext._jvm
+        self._folder = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._files = self._folder("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generation(self) -> tuple[int, int] | None:
+        """Number and buckets of the last complete generation."""
+        root = self._folder(".")
+        names = [f.getPath().getName() for f in self._files.listStatus(root)] if self._files.exists(root) else []
+        found = [tuple(map(int, n.split("-")[1::2])) for n in names if n.startswith("generation-") and self._files.exists(self._folder(f"{n}/_SUCCESS"))]
+        return max(found, default=None)
+
+    @staticmethod
+    def _name(generation: tuple[int, int]) -> str:
+        return f"generation-{generation[0]}-buckets-{generation[1]}"
+
+    def files(self) -> int:
+        """Data files of the generation."""
+        now = self._generation()
+        return 0 if now is None else sum(f.getPath().getName().startswith("part-") for f in self._files.listStatus(self._folder(self._name(now))))
+
+    def _entry(self, generation: tuple[int, int]) -> str:
+        """A name in the catalog for a generation, which the caller drops."""
+        table = f"digest_index_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} ({COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {generation[1]} BUCKETS "
+                       f"LOCATION '{self.path}/{self._name(generation)}'")
+        return table
 
     def read(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        now = self._generation()
+        if now is None:
+            return self.spark.createDataFrame([], COLUMNS)
+        table = self._entry(now)
+        rows = self.spark.table(table)
+        rows.schema  # looked up now, while the table has a name
+        self.spark.sql(f"DROP TABLE {table}")
+        return rows
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Rows whose digest the index lacks."""
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, rows: DataFrame) -> None:
-        """One file per bucket and call."""
-        (rows.select("digest", "keep_id", "keep_row", "batch").repartition(self.buckets, "digest")
-         .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
-
+    def _write(self, rows: DataFrame, generation: tuple[int, int]) -> None:
+        """One more file per bucket."""
+        table = self._entry(generation)
+        (rows.select("digest", "keep_id", "keep_row", "batch").repartition(generation[1], "digest").write.format("parquet").mode("append")
+         .bucketBy(generation[1], "digest").sortBy("digest").saveAsTable(table))
+        self.spark.sql(f"DROP TABLE {table}")
+
+    def _buckets(self, rows: int) -> int:
+        return self.least or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+    def append(self, rows: DataFrame, expected: int) -> None:
+        """Add rows; the first ones lay the index out for ``expected`` rows. Compacts after ``MOST_APPENDS``."""
+        now = self._generation() or (0, self._buckets(expected))
+        self._write(rows, now)
+        if self.files() > MOST_APPENDS * now[1]:
+            self.compact()
+
+    def compact(self) -> None:
+        """Put the files of each bucket together, in as many buckets as the rows need now."""
+        now = self._generation()
+        if now is not None:
+            # without buckets, as Spark would leave out the exchange and read the files as they are
+            rows = self.spark.read.schema(COLUMNS).parquet(f"{self.path}/{self._name(now)}")
+            self._write(rows, (now[0] + 1, self._buckets(rows.count())))
+            self._files.delete(self._folder(self._name(now)), True)
 
 def _register(rows: DataFrame, index: DigestIndex) -> tuple[DataFrame, str]:
     """Add the batch's new digests; gives the batch's groups with the row that stays, and the batch's name."""
@@ -62,7 +120,7 @@ def _register(rows: DataFrame, index: DigestIndex) -> tuple[DataFrame, str]:
         F.max(F.struct(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("id"), "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
     new = groups.select("digest", F.nullif(F.col("keeper.id"), F.lit(LEAST_ID)).alias("keep_id"),
                         F.col("keeper.row").alias("keep_row"), F.lit(batch).alias("batch"))
-    index.append(index.unseen(new))
+    index.append(index.unseen(new), rows.count())
     stays = index.read().join(groups.select("digest", "group_size").hint("merge"), "digest")
     return written(stays, "digest-groups"), batch
 

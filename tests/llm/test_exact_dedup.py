@@ -65,6 +65,37 @@ def test_index_side_of_the_anti_join_is_neither_shuffled_nor_broadcast(spark):
     assert "SortMergeJoin" in text.getvalue() and "Bucketed: true" in text.getvalue() and text.getvalue().count("Exchange hashpartitioning") == 1
 
 
+def test_appends_and_compaction(spark):
+    """One file per bucket again, no exchange and, where Spark may use the files' order, no sort on the index side."""
+    tables, known = len(spark.catalog.listTables()), index(spark)
+    for k in range(3):
+        ed.decisions(docs(spark, [f"t{i}" for i in range(k * 50, k * 50 + 100)]), known)
+    assert known.read().count() == 200 and known.files() == 12
+    known.compact()
+    assert known.read().count() == 200 and known.files() == 4 and len(spark.catalog.listTables()) == tables
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            known.unseen(spark.range(5).select(F.col("id").cast("string").alias("digest")).repartition(4, "digest")).explain()
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    plan = text.getvalue()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Bucketed: true" in plan
+    later = ed.decisions(docs(spark, ["T7", "new"], [900, 901]), ed.DigestIndex(spark, known.path, 4))
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in rows(later)} == {900: (7, False), 901: (901, True)}
+
+
+def test_index_is_laid_out_and_compacted_by_size(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(ed, "MOST_APPENDS", 2)
+    known = ed.DigestIndex(spark, scratch_path(spark, "index"))
+    for k in range(4):
+        ed.decisions(docs(spark, [f"t{i}" for i in range(k * 300, k * 300 + 300)]), known)
+    # 300 rows in 10 buckets, compacted after the third append into 30, one more append
+    assert known._generation() == (1, 30) and known.files() == 60 and known.read().count() == 1200
+
+
 def test_a_third_of_all_rows_in_one_group(spark):
     table = docs(spark, [f"t{i}" if i % 3 else "Same" for i in range(3000)])
     got = rows(ed.decisions(table, index(spark)))
