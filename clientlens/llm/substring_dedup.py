@@ -46,8 +46,6 @@ SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 26) - 1)
 #: Tasks over which the rows of a heavy gram or run are dealt.
 SALTS = 64
-#: With so many list items and documents at most, changes are sent to the texts; beyond, both are shuffled by document.
-SENT_ITEMS = 300_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -198,11 +196,8 @@ def _round(rows: DataFrame, rank: list[str], name: str) -> tuple[DataFrame, Data
     return repeated, rest
 
 
-def _to_texts(texts: DataFrame, changes: DataFrame, items: str, how: str) -> DataFrame:
-    """Join by document; a table of few list ``items`` travels, a larger one is shuffled with the texts."""
-    size = changes.agg(F.count(F.lit(1)) + F.sum(F.size(items))).first()[0] or 0
-    if size <= SENT_ITEMS:
-        changes = F.broadcast(changes)
+def _to_texts(texts: DataFrame, changes: DataFrame, how: str) -> DataFrame:
+    """Join by document. Only a table below Spark's own threshold travels; otherwise both sides are shuffled, at any size alike."""
     return texts.join(changes, ["id", "mark"], how)
 
 
@@ -219,7 +214,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, width: int = 128, id_colu
     forget(shared)
     asked = written(rest.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "at", "gram", "settled")).alias("asked")), "asked")
     forget(rest)
-    bodies = written(arrow_step(_to_texts(texts, asked, "asked", "inner").select("id", "mark", "text", "asked"), _bodies(length),
+    bodies = written(arrow_step(_to_texts(texts, asked, "inner").select("id", "mark", "text", "asked"), _bodies(length),
                                 f"{RUN}, settled boolean, body binary"), "bodies")
     forget(asked)
     blocks = written(bodies.mapInArrow(_split(length, BLOCK, False), PART), "blocks")
@@ -281,7 +276,7 @@ def removal_digests(docs: DataFrame, length: int = 200, width: int = 128, id_col
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     spans = repeated_spans(docs, length, width, id_column, text)
-    joined = _to_texts(_texts(docs, id_column, text), spans, "starts", "left").select("doc_id", "text", "starts", "ends")
+    joined = _to_texts(_texts(docs, id_column, text), spans, "left").select("doc_id", "text", "starts", "ends")
     return arrow_step(joined, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -292,7 +287,7 @@ def without_repeats(docs: DataFrame, length: int = 200, width: int = 128, id_col
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in _kept(batch)], pa.binary())], ["doc_id", "kept"])
 
     spans = repeated_spans(docs, length, width, id_column, text)
-    joined = _to_texts(_texts(docs, id_column, text), spans, "starts", "left").select("doc_id", "text", "starts", "ends")
+    joined = _to_texts(_texts(docs, id_column, text), spans, "left").select("doc_id", "text", "starts", "ends")
     return arrow_step(joined, step, "doc_id long, kept binary")
 
 

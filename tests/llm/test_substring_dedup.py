@@ -102,10 +102,13 @@ def test_remaining_bytes_clashing_columns_and_empty_table(spark):
     assert rows(sd.removal_digests(docs(spark, []))) == []
 
 
-def test_without_sending_changes_to_the_texts(spark, monkeypatch):
-    monkeypatch.setattr(sd, "SENT_ITEMS", 0)
-    base = "".join(chr(97 + (i * i) % 23) for i in range(300))
-    check(spark, [base, base[20:270], "b" * 10], 200, 128)
+def test_without_sending_changes_to_the_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = "".join(chr(97 + (i * i) % 23) for i in range(300))
+        check(spark, [base, base[20:270], "b" * 10], 200, 128)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_grams_of_eight_bytes_at_least(spark):
