@@ -24,7 +24,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
-    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
     "op13_passage_dedup": passage_dedup.OP13_SQL,
 }

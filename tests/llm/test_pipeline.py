@@ -105,3 +105,5 @@ def test_registered_by_number():
     names = list(queries.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
+    assert set(queries.ORACLES) == {"op1_exact_dedup", "op12_merkle_manifest", "op13_passage_dedup"}
+    assert all(callable(q) for q in entry.queries().values()) and all(isinstance(sql, str) for sql in entry.oracle_sql().values())
