@@ -5,8 +5,8 @@ So a word's distinct prefixes are nodes of a trie, each node keeps one state (it
 traversal of all distinct words of a block computes the states of shared prefixes once. A token can be
 the last one when it ends the prefix and merges never cross the border to the token before it.
 
-Words recur, so a task keeps what it has encoded: two bounded dictionaries (whitespace-free chunks,
-words), cleared when full. Everything else a task holds is one block of texts and the current path.
+Words recur, so a task keeps what it has encoded: one bounded dictionary of whitespace-free chunks and their
+words, cleared when full. Everything else a task holds is one block of texts and the current path.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are encoded each; special tokens
 in a text are special tokens; truncation and padding do not happen; very long texts and words are encoded whole; of merges
@@ -35,7 +35,7 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 1_300_000, 900_000, 1_000_000
+TEXTS_KEPT, PAIRS_KEPT = 900_000, 1_000_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
 
@@ -80,7 +80,7 @@ class TrieEncoder:
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.sound: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
-        self.words: dict[bytes, bytes] = dict(self.special)
+        self.known: dict[bytes, bytes] = dict(self.special)
         # a token that its own text does not encode to can never be a last token
         for tokens in (self.inside, self.last):
             for key in [k for k, i in tokens.items() if not self._reachable(i)]:
@@ -261,18 +261,26 @@ class TrieEncoder:
         return [w.encode() for w in WORDS.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())]
 
     def encode_chunks(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct chunks, two bytes each."""
-        own = self.split
+        """Ids of distinct chunks, two bytes each; they and their words are remembered in ``known``.
+
+        A word in ASCII letters is a chunk of its own, so both share an entry; other words stand behind a blank.
+        """
+        own, known = self.split, self.known
         split = {chunk: [*self._with_special(chunk)] if b"<|" in chunk else own(chunk) for chunk in chunks}
-        wanted = set().union(*split.values())
-        if len(self.words) + len(wanted) > WORDS_KEPT:
-            self.words.clear()
-            self.words.update(self.special)
-        known = self.words
-        for word, ids in self.encode_words([w for w in wanted if w not in known]):
-            known[word] = array("H", ids).tobytes()
-        find = known.__getitem__
-        return {chunk: find(words[0]) if len(words) == 1 else b"".join(map(find, words)) for chunk, words in split.items()}
+        wanted = [w for w in set().union(*split.values()) if (w if w.isascii() else b" " + w) not in known]
+        if len(known) + len(wanted) + len(split) > TEXTS_KEPT:
+            known.clear()
+            known.update(self.special)
+            wanted = [w for w in set().union(*split.values()) if w not in known]
+        for word, ids in self.encode_words(wanted):
+            known[word if word.isascii() else b" " + word] = array("H", ids).tobytes()
+
+        def found(word: bytes) -> bytes:
+            return known[word if word.isascii() else b" " + word]
+
+        ids = {chunk: found(words[0]) if len(words) == 1 else b"".join(map(found, words)) for chunk, words in split.items()}
+        known.update(ids)
+        return ids
 
     def _with_special(self, chunk: bytes) -> Iterator[bytes]:
         """Words and special tokens; a word never looks like a special token, whose brackets are no letters."""
@@ -304,8 +312,8 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
-class Chunks(dict):
-    """Two-byte ids by chunk, bounded."""
+class Chunks:
+    """Two-byte ids of texts, from those of their chunks."""
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
@@ -314,14 +322,11 @@ class Chunks(dict):
         """Two-byte ids of each text of a block: those of its distinct chunks, put one after the other."""
         chunks, counts = chunks_of(texts)
         distinct = raw(chunks.dictionary)
-        found = list(map(self.get, distinct))
+        found = list(map(self.encoder.known.get, distinct))
         new = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
         if new:
             encoded_ = self.encoder.encode_chunks(new)
             found = [encoded_[c] if ids is None else ids for c, ids in zip(distinct, found, strict=True)]
-            if len(self) + len(new) > CHUNKS_KEPT:
-                self.clear()
-            self.update(encoded_)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
         ids, starts = np.frombuffer(b"".join(found), dtype=np.uint16), np.cumsum(sizes) - sizes
         codes = chunks.indices.to_numpy(zero_copy_only=False)

@@ -50,9 +50,17 @@ def test_random_words_agree_with_the_library(library):
         assert list(ids) == library.encode(word.decode(), add_special_tokens=False).ids, word
 
 
+def test_words_and_chunks_share_what_is_known(library):
+    """Each text alone, after texts whose chunks and words look alike in another form."""
+    table = bpe.Chunks(PATH)
+    parts = ["word", "word,", "e\u0301", "é", "É", "İ", "i̇", "ΣΑΣ", "σας", "'s", "it's", "!'s", "12", "1", "ﬁ", "Å", "Å", "ẞ", "ß", "ǰ", "ᾳ", "ΐ", "<|", "<|endoftext|>"]
+    for text in (*parts, *(f"{a} {b}" for a in parts for b in parts), *reversed(parts)):
+        (got,) = table.texts(pa.array([text]))
+        assert list(bpe.array("H", got)) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_full_caches_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNKS_KEPT", 3)
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 2)
+    monkeypatch.setattr(bpe, "TEXTS_KEPT", 3)
     monkeypatch.setattr(bpe, "PAIRS_KEPT", 1)
     table = bpe.Chunks(PATH)
     for text in ("the cat sat on the mat", "the dog", "a b c d e f <|endoftext|>"):
