@@ -35,7 +35,7 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-TEXTS_KEPT, PAIRS_KEPT = 750_000, 1_000_000
+TEXTS_KEPT, PAIRS_KEPT = 690_000, 500_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
 
@@ -99,7 +99,6 @@ class TrieEncoder:
         ``longest``: by node, the longest token that ends there; ``shorter``: by token, the next shorter one.
         """
         self.step: dict[int, int] = {}
-        self.jumps: dict[int, int] = {}
         token, parent, byte = [None], [0], [0]
         for key, i in sorted(self.inside.items(), key=lambda x: (len(x[0]), x[0])):
             node = 0
@@ -177,7 +176,6 @@ class TrieEncoder:
         The word's own end looks among the tokens with a word end."""
         last, lengths, fits, apart = self.last.get, self.lengths, self.fits, self._apart
         step, back, longest, shorter, width = self.step.get, self.back, self.longest, self.shorter, self.length
-        jumps, jump = self.jumps, self.jumps.get
         states: list[int] = []
         starts: list[int] = []
         nodes: list[int] = []
@@ -192,15 +190,9 @@ class TrieEncoder:
             for end in range(common + 1, size):
                 byte = word[end - 1]
                 child = step(node << 8 | byte)
-                if child is None:
-                    # the way over shorter suffixes, remembered
-                    child = jump(node << 8 | byte)
-                    if child is None:
-                        key = node << 8 | byte
-                        while child is None:
-                            node = back[node]
-                            child = step(node << 8 | byte)
-                        jumps[key] = child
+                while child is None:
+                    node = back[node]
+                    child = step(node << 8 | byte)
                 node = child
                 token = longest[node]
                 start = end - width[token]
@@ -241,9 +233,8 @@ class TrieEncoder:
                 start = starts[start - 1]
             yield word, tuple(ids[::-1])
             before = word
-        for kept_ in (fits, jumps):
-            if len(kept_) > PAIRS_KEPT:
-                kept_.clear()
+        if len(fits) > PAIRS_KEPT:
+            fits.clear()
 
     @staticmethod
     def split(chunk: bytes) -> list[bytes]:
