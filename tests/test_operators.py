@@ -101,6 +101,22 @@ def test_pivots(spark):
     assert rows(many, "k", "c:x", "c:z", "e:1", "any_e") == [("a", 2, None, 1, 1), ("b", None, 1, None, None)]
 
 
+def test_many_pivots_copy_no_rows_and_take_any_number_of_cells(spark):
+    labels = [f"c{i}" for i in range(130)]
+    cells = [(k, x, f"{k}{i % 7}") for k, n in (("a", 130), ("b", 3)) for i, x in enumerate(labels[:n])]
+    df = spark.createDataFrame([*cells, *cells, ("a", "other", "v"), ("a", "else", "v"), ("b", "c0", "b5"), ("c", "c0", None), ("d", None, "v")],
+                               "k string, c string, v string")
+    many = reshape.pivot_many(df, "k", "v", {"c": ("c", labels)}, present={"any": "c"})
+    got = {r["k"]: r for r in many.collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    assert [got["a"][f"c:{x}"] for x in labels] == [1] * 130 and got["a"]["c:*"] == 1 and got["a"]["any"] == 1
+    assert [got["b"][f"c:{x}"] for x in labels[:4]] == [2, 1, 1, None] and got["b"]["c:*"] is None
+    # a category whose values are all unknown is there, with none counted
+    assert (got["c"]["c:c0"], got["c"]["c:c1"], got["c"]["any"]) == (0, None, 1)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
 def test_fills(spark):
     df = spark.createDataFrame([(None, None, None, None), (1, d("2024-01-01"), "s", 2.0)], "i int, day date, s string, x double")
     assert rows(nulls.fill_by_type(df), "i", "day", "s", "x") == [(-1, d("1900-01-01"), "Unknown", -1.0), (1, d("2024-01-01"), "s", 2.0)]
