@@ -28,7 +28,7 @@ class Context:
     """Driver tables as attributes, bank roles through ``role``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+        self.spark = tune(spark, folder)
         self.tables = Tables(spark, folder)
         self.p = PARAMS
         self.roles: dict[str, DataFrame] = {}

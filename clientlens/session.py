@@ -12,16 +12,34 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even when that costs the following aggregate one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # shuffled data of one task: with sorts and hash maps its rows take some twenty times that in memory
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
 }
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Bytes of stored input per initial shuffle partition; Spark merges those that turn out small.
+INPUT_PER_PARTITION = 4 << 20
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the plans are written for."""
+def tune(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Apply the runtime settings the plans are written for.
+
+    ``folder`` holds the input tables: the number of shuffle partitions before merging grows with their size, so that a task's
+    memory does not. It is never less than ``spark.sql.shuffle.partitions``.
+    """
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    if folder is not None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(INITIAL_PARTITIONS, max(least, stored_bytes(spark, folder) // INPUT_PER_PARTITION))
     return spark
 
 
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of everything below a folder of any store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, or else below the warehouse; all executors share both.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clientlens.functions import nulls, rules, scalars as sc
 from clientlens.operators import condagg, dedupe, gaps, quality, ranges, reshape
 from clientlens.params import Params
-from clientlens.session import forget, scratch_path, written
+from clientlens.session import forget, scratch_path, tune, written
 
 
 def d(text):
@@ -117,6 +117,19 @@ def test_many_pivots_copy_no_rows_and_take_any_number_of_cells(spark):
     assert "Generate" not in plan and "Expand" not in plan
 
 
+def test_partitions_grow_with_the_input(spark, tmp_path):
+    """Tasks merge what is small, so a large input has more of them and not larger ones."""
+    (tmp_path / "small").mkdir()
+    (tmp_path / "large").mkdir()
+    for name, size in (("small", 1), ("large", 400 << 20)):
+        with open(tmp_path / name / "orders.parquet", "wb") as f:
+            f.truncate(size)
+    try:
+        assert [tune(spark, str(tmp_path / x)).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") for x in ("small", "large")] == ["8", "100"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
 def test_fills(spark):
     df = spark.createDataFrame([(None, None, None, None), (1, d("2024-01-01"), "s", 2.0)], "i int, day date, s string, x double")
     assert rows(nulls.fill_by_type(df), "i", "day", "s", "x") == [(-1, d("1900-01-01"), "Unknown", -1.0), (1, d("2024-01-01"), "s", 2.0)]
