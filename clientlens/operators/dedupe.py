@@ -7,7 +7,6 @@ so a key that owns a large share of the table never travels as a whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,19 +28,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def nth_per_key_by_day(df: DataFrame, keys: Sequence[str], day: Column, order: Sequence[Column], n: int) -> DataFrame:
     """The n-th row of each key by day, then in the given order within its day; for keys with long histories and a large n.
 
-    Rows per key and day, added up before the shuffle, and their running total say on which day the n-th row falls;
-    only the rows of that day are ranked, so a history is neither sorted nor moved as a whole. Rows without a
-    day come first.
+    Rows move once, and of a key no more than n from each task before the shuffle: up to the n that Spark limits
+    (``spark.sql.optimizer.windowGroupLimitThreshold``), a key that owns much of the table does not travel as a whole. Rows
+    without a day come first.
     """
     dated = df.withColumn("_day", day)
-    daily = dated.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy(*keys).orderBy(F.asc_nulls_first("_day")).rowsBetween(W.unboundedPreceding, -1)
-    hit = (daily.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-           .filter((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n)))
-    at = [*keys, "_day"]
-    hit = hit.select(*[F.col(k).alias(f"_hit_{k}") for k in at], "_before")
-    near = dated.join(hit, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hit_{k}")) for k in at])).drop(*[f"_hit_{k}" for k in at])
-    return _ranked(near, [*keys, "_day"], order).filter(F.col("_rank") + F.col("_before") == n).drop("_rank", "_before", "_day")
+    return nth_per_key(dated, keys, [F.asc_nulls_first("_day"), *order], n).drop("_day")
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:

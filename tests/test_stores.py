@@ -19,6 +19,8 @@ from clientlens.operators import dedupe, quality, ranges, sinks, skew, stores
 from clientlens.operators.quality import Check
 from clientlens.plans import flags as fl
 from clientlens.session import scratch_path
+from clientlens.sources import standins
+from clientlens.sources.readers import Tables
 from tests.test_operators import d, rows, t
 
 
@@ -215,6 +217,26 @@ def test_nth_row_by_day(spark):
         assert rows(got, "k", "day", "i") == sorted(want, key=str) and got.columns == df.columns
 
 
+def test_balances_move_once(spark, data):
+    """Lines and orders meet in one join, and only balances move by account, at most n of an account from each task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["q33_nth_day_balance"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 3 and "Partial" in plan and "Union" not in plan
+
+
+def test_roles_with_a_text_for_spark_have_the_same_rows(spark, data):
+    tables = Tables(spark, data)
+    for name, text in standins.SPARK_SQL.items():
+        assert text != standins.ROLE_SQL[name]
+        plain = spark.sql(standins.ROLE_SQL[name], lineitem=tables.lineitem, orders=tables.orders)
+        built = standins.role(tables, name)
+        assert built.schema == plain.schema and not plain.isEmpty()
+        assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
+
+
 def test_rank_ninety_finds_accounts(spark, data):
     assert QUERIES["q33_nth_day_balance"](spark, data).count() > 20
     assert not QUERIES["q34_deposit_only"](spark, data).isEmpty()
