@@ -51,26 +51,34 @@ SNAPSHOT_COLUMNS = tuple(f.name for f in DEMOGRAPHIC_SCHEMA if f.name.removepref
     "educationdataflag", "clientdemographicflag", "cdd_flag", "locationdfflag", "loandfFlag", "rnk", "education_id", "Education_Type"))
 
 
+def education_levels(lookup: DataFrame) -> DataFrame:
+    """Id and name of every education level; an id may have several names."""
+    return lookup.filter(F.col("module") == "Education").select(
+        F.col("id").alias("education_id"), F.col("description").alias("Education_Type")).distinct()
+
+
+def highest_per_loan(education: DataFrame, levels: DataFrame) -> DataFrame:
+    """Highest known level of each loan. Names come later, so that rows of a loan are added up before they move, once."""
+    known = education.join(levels.select("education_id").distinct(), "education_id", "left_semi")
+    return known.groupBy("digitalLoanAccountId").agg(F.max("education_id").alias("education_id"))
+
+
 def highest_education(education: DataFrame, lookup: DataFrame, loans: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Highest education per loan, then per customer of the cohort."""
-    levels = lookup.filter(F.col("module") == "Education").select(
-        F.col("id").alias("education_id"), F.col("description").alias("Education_Type"))
-    known = education.join(levels, "education_id").distinct()
-    per_loan = first_per_key(known, ["digitalLoanAccountId"], [F.desc("education_id"), F.asc("Education_Type")])
+    """Highest education per loan, then per customer of the cohort; of several names the first one."""
+    levels = education_levels(lookup)
     members = cohort.select(number_key(F.col("cust_id")).alias("customerId"))
-    mine = loans.join(members, "customerId", "left_semi").select("customerId", "digitalLoanAccountId")
-    return first_per_key(mine.join(per_loan, "digitalLoanAccountId"), ["customerId"],
-                         [F.desc("education_id"), F.asc("Education_Type")]).select(
-        "customerId", "education_id", "Education_Type")
+    mine = loans.select("customerId", "digitalLoanAccountId").join(highest_per_loan(education, levels), "digitalLoanAccountId")
+    named = first_per_key(mine.join(members, "customerId", "left_semi").select("customerId", "education_id"), ["customerId"],
+                          [F.desc("education_id")]).join(first_per_key(levels, ["education_id"], [F.asc("Education_Type")]), "education_id")
+    return named.select("customerId", "education_id", "Education_Type")
 
 
 def highest_education_with_ties(education: DataFrame, lookup: DataFrame, loans: DataFrame) -> DataFrame:
     """Rows at the highest education of their customer, duplicates removed."""
-    levels = lookup.filter(F.col("module") == "Education").select(
-        F.col("id").alias("education_id"), F.col("description").alias("Education_Type"))
-    rows = (education.join(levels, "education_id").join(loans.select("customerId", "digitalLoanAccountId"), "digitalLoanAccountId")
-            .select("customerId", "education_id", "Education_Type").distinct())
-    return latest_with_ties(rows, ["customerId"], "education_id").distinct()
+    levels = education_levels(lookup)
+    mine = loans.select("customerId", "digitalLoanAccountId").join(highest_per_loan(education, levels), "digitalLoanAccountId")
+    return latest_with_ties(mine.select("customerId", "education_id").distinct(), ["customerId"], "education_id").join(
+        levels, "education_id").select("customerId", "education_id", "Education_Type")
 
 
 def _members(df: DataFrame, key: str, cohort: DataFrame | None) -> DataFrame:

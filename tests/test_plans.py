@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bindings import behaviour, campaigns as cb, snapshots, targets
 from bindings.registry import Context, PARAMS
 from clientlens.operators import sinks
-from clientlens.plans import balances as ba, campaigns as ca, channels as ch, devices as dv, flags as fl, transactions as tx
+from clientlens.plans import balances as ba, campaigns as ca, channels as ch, demographics as de, devices as dv, flags as fl, transactions as tx
 from clientlens.plans.demographics import DEMOGRAPHIC_SCHEMA
 from clientlens.sources import readers
 from tests.test_operators import d, rows, t
@@ -269,3 +269,24 @@ def test_no_clock_in_the_library():
     root = pathlib.Path(__file__).parent.parent / "clientlens"
     for f in root.rglob("*.py"):
         assert not re.search(r"current_date|current_timestamp|\bnow\(|toPandas|localCheckpoint|crossJoin", f.read_text()), f
+
+
+def test_education_moves_once_per_loan(spark):
+    """The highest level of a loan is found before anything but its id moves; names follow by level, ties and missing ones included."""
+    lookup = spark.createDataFrame([("1", "school", "Education"), ("2", "b", "Education"), ("2", "a", "Education"), ("2", "a", "Education"),
+                                    ("3", None, "Education"), ("3", "z", "Education"), ("9", "car", "Purpose")], "id string, description string, module string")
+    education = spark.createDataFrame([("L1", "1"), ("L1", "2"), ("L1", "2"), ("L1", "9"), ("L2", "1"), ("L3", "3"), ("L4", "9"), (None, "3")],
+                                      "digitalLoanAccountId string, education_id string")
+    loans = spark.createDataFrame([(1, "L1"), (1, "L2"), (2, "L2"), (3, "L3"), (4, "L4"), (5, "L1"), (None, "L1")], "customerId bigint, digitalLoanAccountId string")
+    cohort = spark.createDataFrame([(str(i),) for i in (1, 2, 3, 4)], "cust_id string")
+    best = de.highest_education(education, lookup, loans, cohort)
+    columns = ("customerId", "education_id", "Education_Type")
+    assert rows(best, *columns) == sorted([(1, "2", "a"), (2, "1", "school"), (3, "3", None)], key=str)
+    tied = de.highest_education_with_ties(education, lookup, loans)
+    assert rows(tied, *columns) == sorted([*[(k, "2", n) for k in (1, 5, None) for n in ("a", "b")], (2, "1", "school"), (3, "3", None), (3, "3", "z")], key=str)
+    per_loan = de.highest_per_loan(education, de.education_levels(lookup))
+    assert per_loan.columns == ["digitalLoanAccountId", "education_id"]
+    for df in (best, tied):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [digitalLoanAccountId" in plan
+        assert not [x for x in plan.split("\n") if "Window" in x and "digitalLoanAccountId" in x]
