@@ -5,8 +5,8 @@ So a word's distinct prefixes are nodes of a trie, each node keeps one state (it
 traversal of all distinct words of a block computes the states of shared prefixes once. A token can be
 the last one when it ends the prefix and merges never cross the border to the token before it.
 
-Words recur, so a task keeps what it has encoded: one bounded dictionary of whitespace-free chunks and their
-words, cleared when full. Everything else a task holds is one block of texts and the current path.
+Words recur, so a worker keeps what it has encoded: whitespace-free chunks and their words, in two halves of bounded
+size. When the newer half is full it becomes the older one, and what recurs moves over, so frequent words stay. Everything else a task holds is one block of texts and the current path.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are encoded each; special tokens
 in a text are special tokens; truncation and padding do not happen; very long texts and words are encoded whole; of merges
@@ -28,14 +28,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from clientlens.llm.common import arrow_step, content, documents, pieces, raw
+from clientlens.llm.common import REMEMBERED, arrow_step, content, documents, pieces, raw
 
 END = "</w>"
 #: Fixed value: how the vocabulary splits a text into words.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-TEXTS_KEPT, PAIRS_KEPT = 690_000, 500_000
+#: Chunks and words remembered (about 100 bytes each), and pairs of tokens.
+TEXTS_KEPT, PAIRS_KEPT = 2_600_000, 500_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
 
@@ -51,6 +52,7 @@ class TrieEncoder:
     """Encoder of a vocabulary file with word ends, byte letters and lower case."""
 
     def __init__(self, path: str):
+        self.texts_kept = TEXTS_KEPT
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -81,6 +83,7 @@ class TrieEncoder:
         self.sound: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = dict(self.special)
+        self.older: dict[bytes, bytes] = {}
         # a token that its own text does not encode to can never be a last token
         for tokens in (self.inside, self.last):
             for key in [k for k, i in tokens.items() if not self._reachable(i)]:
@@ -256,14 +259,14 @@ class TrieEncoder:
 
         A word in ASCII letters is a chunk of its own, so both share an entry; other words stand behind a blank.
         """
-        own, known = self.split, self.known
+        own = self.split
         split = {chunk: [*self._with_special(chunk)] if b"<|" in chunk else own(chunk) for chunk in chunks}
-        wanted = [w for w in set().union(*split.values()) if (w if w.isascii() else b" " + w) not in known]
-        if len(known) + len(wanted) + len(split) > TEXTS_KEPT:
-            known.clear()
-            known.update(self.special)
-            wanted = [w for w in set().union(*split.values()) if w not in known]
-        for word, ids in self.encode_words(wanted):
+        words = list(set().union(*split.values()))
+        if len(self.known) + len(words) + len(split) > self.texts_kept // 2:
+            self.older, self.known = self.known, dict(self.special)
+        known = self.known
+        remembered = self.recall([w if w.isascii() else b" " + w for w in words])
+        for word, ids in self.encode_words([w for w, ids in zip(words, remembered, strict=True) if ids is None]):
             known[word if word.isascii() else b" " + word] = array("H", ids).tobytes()
 
         def found(word: bytes) -> bytes:
@@ -273,6 +276,18 @@ class TrieEncoder:
         known.update(ids)
         return ids
 
+    def recall(self, keys: list[bytes]) -> list[bytes | None]:
+        """What is remembered of each text; what only the older half knew moves to the newer one."""
+        known, older = self.known, self.older
+        found = list(map(known.get, keys))
+        if older:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    again = older.get(keys[i])
+                    if again is not None:
+                        known[keys[i]] = found[i] = again
+        return found
+
     def _with_special(self, chunk: bytes) -> Iterator[bytes]:
         """Words and special tokens; a word never looks like a special token, whose brackets are no letters."""
         for k, piece in enumerate(self.split_special.split(chunk)):
@@ -306,14 +321,15 @@ def encoder(path: str) -> TrieEncoder:
 class Chunks:
     """Two-byte ids of texts, from those of their chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, texts_kept: int | None = None):
         self.encoder = encoder(path)
+        self.encoder.texts_kept = TEXTS_KEPT if texts_kept is None else texts_kept
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         """Two-byte ids of each text of a block: those of its distinct chunks, put one after the other."""
         chunks, counts = chunks_of(texts)
         distinct = raw(chunks.dictionary)
-        found = list(map(self.encoder.known.get, distinct))
+        found = self.encoder.recall(distinct)
         new = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
         if new:
             encoded_ = self.encoder.encode_chunks(new)
@@ -330,13 +346,21 @@ class Chunks:
 
 #: Bytes of text encoded at a time.
 BLOCK = 4 << 20
-_KEPT: dict[str, Chunks] = {}
+_KEPT: dict[tuple[str, int | None], Chunks] = {}
+
+
+def kept(path: str, texts_kept: int | None = None) -> Chunks:
+    if (path, texts_kept) not in _KEPT:
+        _KEPT[path, texts_kept] = Chunks(path, texts_kept)
+    return _KEPT[path, texts_kept]
+
+
+def _drop() -> None:
+    _KEPT.clear()
+    _ENCODERS.clear()
 
 
-def kept(path: str) -> Chunks:
-    if path not in _KEPT:
-        _KEPT[path] = Chunks(path)
-    return _KEPT[path]
+REMEMBERED["tokens"] = _drop
 
 
 def _digests(path: str):
@@ -359,7 +383,7 @@ def _digests(path: str):
 def token_digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: number of tokens, digest of the decimal ids, digest of the decoded text."""
     return arrow_step(docs.select(docs[id_column].alias("doc_id"), content(text).alias("text")), _digests(vocabulary),
-                      "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                      "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "tokens")
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,7 +394,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: s
             ids = [array("H", x) for x in table.texts(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())],
                                              ["doc_id", "ids", "decoded"])
-    return arrow_step(docs.select(docs[id_column].alias("doc_id"), content(text).alias("text")), step, "doc_id long, ids array<int>, decoded string")
+    return arrow_step(docs.select(docs[id_column].alias("doc_id"), content(text).alias("text")), step, "doc_id long, ids array<int>, decoded string", "tokens")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -58,10 +58,28 @@ def keyed(docs: DataFrame, id_column: str, text: str, *more: Column) -> DataFram
                        content(text).alias("text"), *more)
 
 
-def arrow_step(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over whole texts: short batches, as Spark counts rows and not bytes."""
+#: What a Python worker remembers from task to task, by name, and how to drop it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(name: str | None) -> None:
+    """Drop what steps other than those of ``name`` remember: a worker lives on into the next operator."""
+    for other, drop in REMEMBERED.items():
+        if other != name:
+            drop()
+
+
+def arrow_step(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, remembers: str | None = None) -> DataFrame:
+    """``mapInArrow`` over whole texts: short batches, as Spark counts rows and not bytes.
+
+    ``remembers``: the entry of ``REMEMBERED`` that the step uses; the worker drops the others first.
+    """
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(remembers)
+        yield from step(batches)
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df.mapInArrow(step, schema)
+    return df.mapInArrow(alone, schema)
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -80,4 +98,4 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator
             yield batch.slice(start, size)
 
 
-__all__ = ["LEAST_ID", "OWN", "arrow_step", "content", "documents", "fold", "forget", "keyed", "labels", "own_id", "pieces", "raw", "scratch_path", "shown_id", "written"]
+__all__ = ["LEAST_ID", "OWN", "REMEMBERED", "arrow_step", "content", "documents", "fold", "forget", "forget_others", "keyed", "labels", "own_id", "pieces", "raw", "scratch_path", "shown_id", "written"]

@@ -161,9 +161,9 @@ def layout(histogram: np.ndarray, window: int) -> Layout:
     return Layout(window, columns[:, 0], columns[:, 1], columns[:, 2], used, after, combined, combined + -(-residue // window))
 
 
-def _tokenised(vocabulary: str, window: int, end_id: int):
+def _tokenised(vocabulary: str, window: int, end_id: int, texts_kept: int | None):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = kept(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        table, end = kept(vocabulary, texts_kept), np.array([end_id], dtype="<u4").tobytes()
         for batch in pieces(batches, BLOCK):
             size, whole, crc, rest = [], [], [], []
             for packed in table.texts(batch["text"]):
@@ -220,10 +220,14 @@ def _halves(window: int):
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    staged = written(arrow_step(keyed(docs, id_column, text), _tokenised(vocabulary, window, end_id),
-                                "row long, doc_id long, doc_tokens long, whole array<long>, crc long, rest binary"), "tokens")
+def packed(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, id_column: str = "doc_id", text: str = "text",
+           texts_kept: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``texts_kept``: words and chunks that a Python worker remembers; fewer take more time, not other results.
+    """
+    staged = written(arrow_step(keyed(docs, id_column, text), _tokenised(vocabulary, window, end_id, texts_kept),
+                                "row long, doc_id long, doc_tokens long, whole array<long>, crc long, rest binary", "tokens"), "tokens")
     rests = staged.select("row", "doc_id", "doc_tokens", "crc", (F.col("doc_tokens") % window).alias("n")).where("n > 0")
     histogram = np.zeros(window, dtype=np.int64)
     for n, count in rests.groupBy("n").count().collect():  # one row per length below the window

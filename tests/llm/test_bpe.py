@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clientlens.llm import bpe
+from clientlens.llm.common import arrow_step
 from tests.llm.frames import by_id, docs, rows
 
 PATH = bpe.vocabulary_path()
@@ -74,3 +75,30 @@ def test_encoded_and_repeated_rows_and_clashing_columns(spark, library):
     ids = library.encode("The cat", add_special_tokens=False).ids
     assert sorted((r["ids"], r["decoded"]) for r in got) == [([], ""), (ids, "the</w> cat</w>"), (ids, "the</w> cat</w>")]
     assert bpe.token_digests(docs(spark, []), PATH).count() == 0
+
+
+def test_recurring_words_stay_when_the_cache_is_full(library, monkeypatch):
+    """Each text fills a half of the cache; what all of them hold is encoded once."""
+    monkeypatch.setattr(bpe, "TEXTS_KEPT", 60)
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    table, seen = bpe.Chunks(PATH), []
+    encode = table.encoder.encode_words
+    monkeypatch.setattr(table.encoder, "encode_words", lambda words: (seen.extend(words), encode(words))[1])
+    for k in range(20):
+        text = "frequent " + " ".join("abcdefghij"[k % 10] + "abcdefghij"[n] * (2 + k // 10) for n in range(10))
+        (got,) = table.texts(pa.array([text]))
+        assert list(bpe.array("H", got)) == library.encode(text, add_special_tokens=False).ids
+        assert len(table.encoder.known) + len(table.encoder.older) <= 60 + 2 * len(table.encoder.special)
+    assert seen.count(b"frequent") == 1
+    assert len(seen) == 201
+
+
+def test_a_worker_forgets_the_words_of_an_operator_before(spark):
+    """Workers are used again: the next operator does not find the encoder in its memory."""
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._ENCODERS)] * batch.num_rows, pa.int64())], ["held"])
+
+    table = docs(spark, ["The cat"] * 16).repartition(8)
+    assert bpe.token_digests(table, PATH).count() == 16
+    assert {r["held"] for r in rows(arrow_step(table.select("text"), held, "held long"))} == {0}
