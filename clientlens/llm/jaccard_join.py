@@ -33,7 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clientlens.llm.common import OWN, arrow_step, content, documents, own_id, pieces, raw, shown_id, written
+from clientlens.llm.common import OWN, REMEMBERED, arrow_step, content, documents, own_id, pieces, raw, shown_id, written
 
 #: Groups of a count vector: a power of two, so that a group counts four shingles on average at most; LEAST at least.
 #: MOST in blocks, where a vector travels with each shingle; as many as it takes in clusters, where vectors stay.
@@ -62,6 +62,7 @@ class _Words(dict):
 
 
 _HASHES = _Words()
+REMEMBERED["shingle words"] = _HASHES.clear
 
 
 def rolling(text: bytes, width: int) -> np.ndarray:
@@ -222,7 +223,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         return table.slice(0, 1).set_column(table.schema.get_field_index("hits"), "hits", pa.array([total.tobytes()], pa.binary()))
 
     schema = "piece int, salt int, hits binary"
-    parts = arrow_step(docs.select("text"), count, schema).groupBy("piece", "salt").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema)
+    parts = arrow_step(docs.select("text"), count, schema, "shingle words").groupBy("piece", "salt").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema)
     rows = sorted(parts.select("piece", "hits").collect())  # SKETCH counters, whatever the corpus
     if not rows:
         return np.zeros(SKETCH, dtype=np.uint8)
@@ -385,7 +386,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_colu
     """One row per document: doc_id, id, mark, n_shingles, name (of the set) and the component's root (id and mark)."""
     texts = _texts(docs, id_column, text)
     level = _sketch(texts, width)
-    staged = written(arrow_step(texts, _sets(width, percent, level), "doc_id long, id long, mark int, n long, point binary, name binary, first array<long>"), "shingle-sets")
+    staged = written(arrow_step(texts, _sets(width, percent, level), "doc_id long, id long, mark int, n long, point binary, name binary, first array<long>", "shingle words"), "shingle-sets")
     nodes = written(staged.where("n > 0").groupBy("name").agg(F.min(F.struct("id", "mark")).alias("node")).select("name", "node.id", "node.mark"), "nodes")
     # rows with equal id and mark are equal texts; one of them stands for all
     own = (staged.join(nodes.select("id", "mark"), ["id", "mark"], "left_semi").select("id", "mark", "n", "first").dropDuplicates(["id", "mark"])
@@ -439,7 +440,7 @@ def _links(texts: DataFrame, clusters: DataFrame, width: int, percent: int) -> D
 
     chosen = texts.join(sent, ["id", "mark"]).withColumnsRenamed({"root_id": "cluster_id", "root_mark": "cluster_mark"})
     built = arrow_step(chosen.select("id", "mark", "cluster_id", "cluster_mark", "in_parts", "text"), sets,
-                       "id long, mark int, cluster_id long, cluster_mark int, in_parts int, n long, members binary")
+                       "id long, mark int, cluster_id long, cluster_mark int, in_parts int, n long, members binary", "shingle words")
     bins = max(1, count // 500)
     cluster = F.struct("cluster_id", "cluster_mark")
     binned = _parted(built, F.col("in_parts")).withColumn(

@@ -22,6 +22,10 @@ from clientlens.llm.quality_rules import accepted
 from clientlens.llm.secret_scan import redacted
 
 
+#: Words and chunks that a worker of the last stage remembers: its JVM is as large by then as the stages before made it.
+TEXTS_KEPT = 690_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return accepted(docs)
@@ -44,7 +48,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return packed(docs, vocabulary_path())
+    return packed(docs, vocabulary_path(), texts_kept=TEXTS_KEPT)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("n-gram Jaccard join", jaccard_join),

@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from clientlens.llm import quality_rules as qr
-from clientlens.llm import queries
-from clientlens.llm.common import documents, written
+from clientlens.llm import bpe, jaccard_join, queries, quality_rules as qr
+from clientlens.llm.common import documents, forget_others, written
 from tests.llm.frames import docs, rows, stored
 from tests.llm.test_jaccard_join import brute
 from tests.llm.test_packing import check as check_packing
@@ -107,3 +106,13 @@ def test_registered_by_number():
     assert set(names) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
     assert set(queries.ORACLES) == {"op1_exact_dedup", "op12_merkle_manifest", "op13_passage_dedup"}
     assert all(callable(q) for q in entry.queries().values()) and all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+def test_a_stage_forgets_what_stages_before_remember():
+    """Shingle words and the encoder never fill a worker side by side."""
+    bpe.kept(bpe.vocabulary_path())
+    jaccard_join.shingles(b"some words of a text", 2)
+    forget_others("shingle words")
+    assert not bpe._ENCODERS and not bpe._KEPT and jaccard_join._HASHES
+    forget_others(None)
+    assert not jaccard_join._HASHES
