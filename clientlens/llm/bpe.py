@@ -35,7 +35,7 @@ END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile((CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9]+").encode())
 WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: Chunks and words remembered (about 100 bytes each), and pairs of tokens.
+#: Chunks and words remembered by a worker, and pairs of tokens.
 TEXTS_KEPT, PAIRS_KEPT = 2_600_000, 500_000
 #: Lengths that a token can have whatever its end.
 SHORT = (2, 1)
