@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from bindings import behaviour, campaigns as cb, snapshots, targets
 from bindings.registry import Context, PARAMS
 from clientlens.operators import sinks
-from clientlens.plans import balances as ba, campaigns as ca, channels as ch, demographics as de, devices as dv, flags as fl, transactions as tx
+from clientlens.plans import balances as ba, campaigns as ca, channels as ch, demographics as de, devices as dv, flags as fl, products as pr, transactions as tx
 from clientlens.plans.demographics import DEMOGRAPHIC_SCHEMA
-from clientlens.sources import readers
+from clientlens.sources import readers, standins
 from tests.test_operators import d, rows, t
 
 
@@ -207,6 +207,66 @@ def test_unlisted_categories_are_counted(spark):
     assert got["2"]["unlisted_category"] == 0
 
 
+def test_dumps_after_the_last_cutoff_go_before_packages_are_grouped(spark):
+    devices = spark.createDataFrame([("1", "D1", d("2024-05-04")), ("2", "D1", d("2024-05-10")), ("3", "D2", d("2024-05-04"))], "cust_id string, deviceId string, day_120 date")
+    app = "array<struct<package_name:string,first_install_time:timestamp_ntz>>"
+    apps = spark.createDataFrame([(k, t(f"2024-05-{day}T00:00:00"), [(f"p{day}", t("2024-01-01T00:00:00"))] if day != "03" else []) for k in ("D1", "D2", "D3")
+                                  for day in ("03", "04", "10", "11")], f"deviceId string, run_date timestamp_ntz, Application {app}")
+    every, early = dv.device_packages(apps, devices), dv.device_packages(apps, devices, P)
+    assert rows(early, "deviceId", "package_name") == [("D1", "p04"), ("D1", "p10"), ("D2", "p04")]
+    mine = dv.customer_packages(devices, early, P)
+    assert rows(mine, "cust_id", "package_name") == rows(dv.customer_packages(devices, every, P), "cust_id", "package_name") == [("1", "p04"), ("2", "p04"), ("2", "p10"), ("3", "p04")]
+    assert rows(dv.earliest_install(devices, mine, P), *mine.columns[::2]) == rows(dv.earliest_install(devices, every, P), *mine.columns[::2])
+
+
+def test_latest_dump_is_chosen_before_the_mart(spark, data):
+    """Also among several scores and states of a customer, BKYC ones included, and ties in the time of the dump."""
+    c = Context(spark, data)
+    first = snapshots.tracked(c).filter("cast(cust_id AS int) % 3 = 0")
+    again = [first.withColumns({"kycStatus": F.lit(k), "fraudScore": F.lit(s), "day_120": F.lit(d("2030-01-01"))}) for k, s in (("BKYC", "0"), (None, "5"), ("SKYC", None))]
+    devices = snapshots.tracked(c).unionByName(again[0]).unionByName(again[1]).unionByName(again[2]).withColumn("day_120", F.lit(d("2030-01-01")))
+    dump = snapshots.dump(c).withColumn("run_date", F.date_trunc("year", "run_date").cast("timestamp_ntz"))
+    apps, none = dv.equipped(snapshots.inventories(c)), spark.createDataFrame([], "cust_id string, first_install_time timestamp_ntz")
+    counts = dv.app_counts(snapshots.categorised(c))
+    late = dv.latest_dump(dv.device_mart(dv.device_snapshot(devices, dump, apps, P), none, counts, P))
+    soon = dv.device_mart(dv.latest_snapshot(devices, dump, apps, P), none, counts, P)
+    assert late.columns == soon.columns and soon.count() == late.count() > 50
+    assert late.exceptAll(soon).isEmpty() and soon.exceptAll(late).isEmpty()
+    assert unique(soon, "cust_id")
+
+
+def test_only_final_statuses_of_deposits_move(spark):
+    accounts = spark.createDataFrame([(k, "1", "fixdep", t("2024-01-05T00:00:00"), None, "Time Deposit - 6 months") for k in "abcd"],
+                                     "accountid string, ubcustomercode string, productid string, opendate timestamp_ntz, closuredate timestamp_ntz, accountdescription string")
+    balances = spark.createDataFrame([(k, "Time Deposit - 6 months", t("2023-12-31T00:00:00"), 150) for k in "abcd"],
+                                     "accountid string, account_type string, balancedateasof timestamp_ntz, clearedbalance int").withColumn("clearedbalance", F.col("clearedbalance").cast("decimal(18,2)"))
+    statuses = spark.createDataFrame([("a", "4"), ("a", "9"), ("b", "1"), ("c", "9"), ("c", "1"), ("x", "4")], "accountid string, status string")
+    held = pr.deposit_accounts(accounts, balances, statuses, P)
+    assert rows(held, "accountid", "td_completed", "td_broken") == [("a", 1, 1), ("b", 0, 0), ("c", 0, 1), ("d", 0, 0)]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and [x for x in plan.split("\n") if "Filter" in x and "status" in x]
+    got = pr.deposit_metrics(held, P).collect()[0]
+    assert (got.deposit_accnt_cnt, got.td_accnt_opened_cnt, got.td_accnt_completed_cnt, got.td_accnt_broken_cnt, got.td_active_cnt, got.td_balance) == (4, 4, 1, 2, 2, 600.0)
+
+
+def test_roles_of_stored_lines_have_the_same_rows(spark, data):
+    tables = readers.Tables(spark, data)
+    lines = standins.order_lines(tables)
+    for name in standins.OF_LINES:
+        plain, shared = standins.role(tables, name), standins.role(tables, name, lines)
+        assert shared.schema == plain.schema and not plain.isEmpty()
+        assert shared.exceptAll(plain).isEmpty() and plain.exceptAll(shared).isEmpty()
+
+
+def test_modelling_table_joins_lines_with_orders_once(spark, data):
+    c = Context(spark, data)
+    targets.modelling_table(c)
+    assert {"cohort-transactions", "order-lines", "device-rows", "customer-packages"} <= set(c.stages)
+    for name in standins.OF_LINES:
+        if name in c.roles and name != "device_rows":
+            assert "orders.parquet" not in "".join(c.roles[name].inputFiles())
+
+
 def test_modelling_table_has_one_row_per_eligible_customer(spark, data):
     c = Context(spark, data)
     table = targets.modelling_table(c)
