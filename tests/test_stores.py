@@ -4,8 +4,10 @@ import contextlib
 import datetime as dt
 import io
 import random
+import time
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -18,7 +20,7 @@ from bindings.registry import QUERIES, Context
 from clientlens.operators import dedupe, quality, ranges, sinks, skew, stores
 from clientlens.operators.quality import Check
 from clientlens.plans import flags as fl
-from clientlens.session import scratch_path
+from clientlens.session import FREE_SHUFFLES, scratch_path
 from clientlens.sources import standins
 from clientlens.sources.readers import Tables
 from tests.test_operators import d, rows, t
@@ -65,6 +67,53 @@ def test_modelling_table_reads_each_block_once_without_exchange(spark, data):
     assert text.count("FileScan") == 5 and "Exchange" not in text
 
 
+def shuffled(spark):
+    """Shuffle files that are on disk."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+
+def left_behind(spark, before):
+    """Shuffle files that stay; their deletion is not waited for."""
+    until = time.time() + 20
+    while (found := shuffled(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return found
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark, data):
+    setting, rest = spark.conf.get(FREE_SHUFFLES), spark.range(100_000).select((F.col("id") % 997).alias("k"), "id")
+    counted = rest.groupBy("k", "id").count().groupBy("k").agg(F.sum("count").alias("n"))
+    c, before = Context(spark, data), shuffled(spark)
+    c.staging = True
+    stored = c.shared("counted", lambda: counted)
+    block = stores.block(counted, "k", "counted")
+    assert not left_behind(spark, before)
+    assert stored.agg(F.sum("n")).first()[0] == block.agg(F.sum("n")).first()[0] == 100_000
+    assert spark.conf.get(FREE_SHUFFLES) == setting
+
+
+def test_blocks_are_written_one_after_another(spark, monkeypatch):
+    running, most, whole = [], [], stores.block
+
+    def watched(df, key, name, buckets):
+        running.append(name)
+        most.append(len(running))
+        found = whole(df, key, name, buckets)
+        running.remove(name)
+        return found
+
+    monkeypatch.setattr(stores, "block", watched)
+    found = stores.blocks({n: lambda n=n: spark.range(n).withColumnRenamed("id", "k") for n in (3, 5)}, "k", 2)
+    assert most == [1, 1] and {n: df.count() for n, df in found.items()} == {3: 3, 5: 5}
+
+
+def test_modelling_table_leaves_no_shuffle_files(spark, data):
+    before = shuffled(spark)
+    targets.modelling_table(Context(spark, data))
+    assert not left_behind(spark, before)
+
+
 def test_device_mart_explodes_the_inventories_once(spark, data, monkeypatch):
     from clientlens.plans import devices as dv
     calls = []
