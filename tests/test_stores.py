@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F, types as T
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from bindings import snapshots, targets
+from bindings import behaviour, snapshots, targets
 from bindings.registry import QUERIES, Context
 from clientlens.operators import dedupe, quality, ranges, sinks, skew, stores
 from clientlens.operators.quality import Check
@@ -114,6 +114,14 @@ def test_modelling_table_leaves_no_shuffle_files(spark, data):
     assert not left_behind(spark, before)
 
 
+def test_behaviour_mart_stores_its_steps(spark, data):
+    c, before = Context(spark, data), shuffled(spark)
+    mart = behaviour.behaviour_mart(c)
+    assert not left_behind(spark, before)
+    assert {"cohort-transactions", "deposit-days", "deposit-totals", "loan-metrics"} <= set(c.stages)
+    assert "lineitem.parquet" not in "".join(mart.inputFiles()) and "orders.parquet" not in "".join(mart.inputFiles())
+
+
 def test_device_mart_explodes_the_inventories_once(spark, data, monkeypatch):
     from clientlens.plans import devices as dv
     calls = []
