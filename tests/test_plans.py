@@ -249,6 +249,24 @@ def test_only_final_statuses_of_deposits_move(spark):
     assert (got.deposit_accnt_cnt, got.td_accnt_opened_cnt, got.td_accnt_completed_cnt, got.td_accnt_broken_cnt, got.td_active_cnt, got.td_balance) == (4, 4, 1, 2, 2, 600.0)
 
 
+def test_deposits_move_days_and_bits_only(spark):
+    accounts = spark.createDataFrame(
+        [("a", "1", "savings", t("2024-01-05T09:00:00"), t("2024-03-01T00:00:00"), "Group Stash"), ("a", "1", "savings", t("2024-01-09T09:00:00"), None, "Individual Stash"),
+         ("b", "1", "fixdep", t("2024-01-05T00:00:00"), t("2025-03-01T00:00:00"), "Time Deposit - 6 months"), ("c", "1", "fixdep", t("2024-01-07T00:00:00"), None, None),
+         ("d", "1", "fixdep", t("2024-01-07T00:00:00"), t("2024-02-01T00:00:00"), "Time Deposit - 6 months")],
+        "accountid string, ubcustomercode string, productid string, opendate timestamp_ntz, closuredate timestamp_ntz, accountdescription string")
+    balances = spark.createDataFrame([(k, "Any", t("2023-12-31T00:00:00"), n) for k, n in (("a", 150), ("b", 99), ("c", 500), ("d", 100))],
+                                     "accountid string, account_type string, balancedateasof timestamp_ntz, clearedbalance int").withColumn("clearedbalance", F.col("clearedbalance").cast("decimal(18,2)"))
+    held = pr.deposit_accounts(accounts, balances, spark.createDataFrame([("d", "4")], "accountid string, status string"), P)
+    days = pr.deposit_days(held, P)
+    assert not {"opendate", "closuredate", "account_type", "accountid"} & set(days.columns) and days.count() == 5
+    # the account listed twice counts once, in all that it ever was; one without a description counts in no kind
+    got = pr.deposit_metrics(held, P).collect()
+    assert [tuple(r) for r in got] == [("1", 4, 1, 1, 2, 1, 0, 1, 1, 1, 0, 300.0, 100.0, 1.0, 2.0)]
+    moved = pr.deposit_metrics(held, P)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(customer_id" in moved and moved.count("Exchange hashpartitioning(customer_id") == 2
+
+
 def test_roles_of_stored_lines_have_the_same_rows(spark, data):
     tables = readers.Tables(spark, data)
     lines = standins.order_lines(tables)
