@@ -267,6 +267,15 @@ def test_deposits_move_days_and_bits_only(spark):
     assert "hashpartitioning(customer_id" in moved and moved.count("Exchange hashpartitioning(customer_id") == 2
 
 
+def test_dumps_after_the_last_cutoff_do_not_move(spark, c):
+    devices, dump, apps = snapshots.tracked(c), snapshots.dump(c), dv.equipped(snapshots.inventories(c))
+    last = devices.agg(F.max("day_120")).first()[0]
+    later = dump.limit(5).withColumn("run_date", F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL '3' DAY"))
+    plain, more = dv.latest_snapshot(devices, dump, apps, c.p), dv.latest_snapshot(devices, dump.unionByName(later), apps, c.p)
+    assert plain.count() == more.count() > 50 and plain.exceptAll(more).isEmpty()
+    assert "scalar-subquery" in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_roles_of_stored_lines_have_the_same_rows(spark, data):
     tables = readers.Tables(spark, data)
     lines = standins.order_lines(tables)
